@@ -1,6 +1,29 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the SQL that each is held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under name."""
+
+    def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def load() -> None:
+    """Import every module of queries."""
+    from tracewright.plans import balance, corpus, evaluation, features, report, rewards, solving, training  # noqa: F401
