@@ -30,12 +30,12 @@ def eval_accuracy(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("int")).alias("k"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
 
 
-@query("X1_boxed_live", f"SELECT id, coalesce(list_filter(boxes, x -> x <> '')[-1], boxes[-1]) AS box FROM ({PREDICTED})")
+@query("X1_boxed_live", f"SELECT id, coalesce(list_filter(boxes, lambda x: x <> '')[-1], boxes[-1]) AS box FROM ({PREDICTED})")
 def boxed_live(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.boxed_live(F.col("output")).alias("box"))
 
 
-@query("X2_boxed_legacy", rf"SELECT id, coalesce(list_filter(b, x -> x <> '')[-1], b[-1]) AS box FROM (SELECT id, list_transform(regexp_extract_all(output, '\\boxed\{{([^}}]*)(?:\}}|\z)', 1), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM ({OUTPUTS}))")
+@query("X2_boxed_legacy", rf"SELECT id, coalesce(list_filter(b, lambda x: x <> '')[-1], b[-1]) AS box FROM (SELECT id, list_transform(regexp_extract_all(output, '\\boxed\{{([^}}]*)(?:\}}|\z)', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM ({OUTPUTS}))")
 def boxed_legacy(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.boxed_legacy(F.col("output")).alias("box"))
 
@@ -51,7 +51,7 @@ def last_number(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.last_number(F.col("output")).alias("number"))
 
 
-@query("X5_last_line", rf"SELECT id, coalesce(list_filter(list_transform(string_split(output, chr(10)), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '')[-1], 'NOT_FOUND') AS line FROM ({OUTPUTS})")
+@query("X5_last_line", rf"SELECT id, coalesce(list_filter(list_transform(string_split(output, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[-1], 'NOT_FOUND') AS line FROM ({OUTPUTS})")
 def last_line(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", F.coalesce(text.last_line(F.col("output")), F.lit(text.NOT_FOUND)).alias("line"))
 
@@ -81,7 +81,7 @@ def split_thinking(spark, sf_dir):
 NAMES = "SELECT c_custkey AS id, c_name AS a, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN replace(c_name, '1', '7') ELSE c_name || '#' END AS b FROM customer"
 
 
-@query("X10_first_difference", f"SELECT id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(range(1, greatest(length(a), length(b)) + 1), i -> substr(a, i, 1) = substr(b, i, 1)), false), 0) - 1 END AS at FROM ({NAMES})")
+@query("X10_first_difference", f"SELECT id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(range(1, greatest(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false), 0) - 1 END AS at FROM ({NAMES})")
 def first_difference(spark, sf_dir):
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
     b = F.when(k == 0, F.col("c_name")).when(k == 1, F.replace("c_name", F.lit("1"), F.lit("7"))).otherwise(F.concat("c_name", F.lit("#")))
@@ -90,8 +90,8 @@ def first_difference(spark, sf_dir):
 
 @query("X11_token_divergence", r"""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'),
     p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2),
-    d AS (SELECT *, list_position(list_transform(range(1, greatest(len(x), len(y)) + 1), i -> x[i] IS NOT DISTINCT FROM y[i]), false) - 1 AS at FROM p)
-    SELECT conv_id, turn, CAST(at AS INT) AS at, array_to_string(x[greatest(1, at - 4) : at + 6], ' ') AS context FROM d WHERE at >= 0""")
+    d AS (SELECT *, list_position(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS NOT DISTINCT FROM y[i]), false) - 1 AS pos FROM p)
+    SELECT conv_id, turn, CAST(pos AS INT) AS "at", array_to_string(x[greatest(1, pos - 4) : pos + 6], ' ') AS context FROM d WHERE pos >= 0""")
 def token_divergence(spark, sf_dir):
     """The first differing token of two outputs of a conversation, with five tokens on either side."""
     t = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.split("text", " ").alias("w"))
@@ -102,7 +102,7 @@ def token_divergence(spark, sf_dir):
     return p.select("conv_id", "turn", "at", F.array_join(F.slice("w", begin, F.col("at") + 7 - begin), " ").alias("context"))
 
 
-@query("X12_snippet", "SELECT id, CASE WHEN at > 0 THEN replace(substr(text, greatest(1, at - 20), at - greatest(1, at - 20) + 24), chr(10), ' ') END AS snippet FROM (SELECT doc_id AS id, text, instr(text, 'tion') AS at FROM documents)")
+@query("X12_snippet", "SELECT id, CASE WHEN pos > 0 THEN replace(substr(text, greatest(1, pos - 20), pos - greatest(1, pos - 20) + 24), chr(10), ' ') END AS snippet FROM (SELECT doc_id AS id, text, instr(text, 'tion') AS pos FROM documents)")
 def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.snippet(F.col("text"), "tion", 20).alias("snippet"))
 
@@ -127,7 +127,7 @@ FAMILIES = [("\u2225", "concat"), ("\u00d7", "mul"), (r"\+", "add"), (r"-|\|", "
 LOCKS = "SELECT o_orderkey AS id, 'lock f = a' || substr(chr(215) || '+-' || chr(8741), CAST(o_orderkey % 4 AS INT) + 1, 1) || 'b, lock g = |a-b|, lock h = a+b' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '+1' END AS cot FROM orders"
 
 
-@query("X15_locked_families", f"""SELECT id, list_distinct(list_transform(regexp_extract_all(cot, 'lock \\w+ = ([^,]+)', 1), x -> CASE WHEN contains(x, chr(8741)) THEN 'concat' WHEN contains(x, chr(215)) THEN 'mul' WHEN contains(x, '+') THEN 'add' ELSE 'sub' END)).list_sort().array_to_string(',') AS families FROM ({LOCKS})""")
+@query("X15_locked_families", f"""SELECT id, list_distinct(list_transform(regexp_extract_all(cot, 'lock \\w+ = ([^,]+)', 1), lambda x: CASE WHEN contains(x, chr(8741)) THEN 'concat' WHEN contains(x, chr(215)) THEN 'mul' WHEN contains(x, '+') THEN 'add' ELSE 'sub' END)).list_sort().array_to_string(',') AS families FROM ({LOCKS})""")
 def locked_families(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     sign = F.substring(F.lit("\u00d7+-\u2225"), (F.col("o_orderkey") % 4).cast("int") + 1, F.lit(1))

@@ -10,7 +10,7 @@ from tracewright.plans.inputs import BITS, EQUATIONS, bits, equations, table
 from tracewright.plans.registry import query
 
 #: A prompt for each order: its equation lines, then the question.
-PROMPTS = f"""SELECT puzzle, string_agg(a || op || b || ' = ' || out, chr(10) ORDER BY ex) || chr(10) || 'Now, determine the result for: ' || min(a) || min(op) || max(b) AS prompt FROM ({EQUATIONS}) GROUP BY puzzle"""
+PROMPTS = f"""SELECT puzzle, string_agg(a || op || b || ' = ' || out, chr(10) ORDER BY ex, a || op || b || ' = ' || out) || chr(10) || 'Now, determine the result for: ' || min(a) || min(op) || max(b) AS prompt FROM ({EQUATIONS}) GROUP BY puzzle"""
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("puzzle", text.alias("prompt"))
 
 
-EXAMPLES = f"SELECT puzzle, unnest(list_filter(string_split(prompt, chr(10)), x -> contains(x, '=') AND NOT starts_with(x, 'Now'))) AS line FROM ({PROMPTS})"
+EXAMPLES = f"SELECT puzzle, unnest(list_filter(string_split(prompt, chr(10)), lambda x: contains(x, '=') AND NOT starts_with(x, 'Now'))) AS line FROM ({PROMPTS})"
 
 
 @query("P1_parse_prompt", f"SELECT puzzle, count(*) AS examples, count(DISTINCT trim(split_part(line, '=', 1))) AS inputs, max(question) AS question FROM (SELECT *, (SELECT trim(split_part(p.prompt, 'result for:', 2)) FROM ({PROMPTS}) p WHERE p.puzzle = e.puzzle) AS question FROM ({EXAMPLES}) e) GROUP BY puzzle")
@@ -36,7 +36,7 @@ def parse_equation(spark, sf_dir):
     return e.select("puzzle", "ex", "s.a", "s.op", "s.b")
 
 
-@query("P3_symbol_letters", "SELECT id, list_distinct(string_split(p, '')).len() AS symbols, array_to_string(list_filter(list_transform(range(1, length(p) + 1), i -> CASE WHEN instr(p, substr(p, i, 1)) = i THEN substr(p, i, 1) END), x -> x IS NOT NULL), '') AS in_order FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part)")
+@query("P3_symbol_letters", "SELECT id, list_distinct(string_split(p, '')).len() AS symbols, array_to_string(list_filter(list_transform(range(1, length(p) + 1), lambda i: CASE WHEN instr(p, substr(p, i, 1)) = i THEN substr(p, i, 1) END), lambda x: x IS NOT NULL), '') AS in_order FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part)")
 def symbol_letters(spark, sf_dir):
     """Symbols in the order in which they first appear."""
     s = F.array_distinct(F.split(F.replace("p_name", F.lit(" "), F.lit("")), ""))
@@ -96,7 +96,7 @@ def symbol_pool(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), parse.symbol_pool(F.col("p_name")).alias("pool"))
 
 
-PAIRS = "SELECT id, p, list_distinct(list_transform(range(1, length(p)), i -> substr(p, i, 2))) AS pairs FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part)"
+PAIRS = "SELECT id, p, list_distinct(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) AS pairs FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +106,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(F.length(p) > 1).select(F.col("p_partkey").alias("id"), two.alias("pairs"))
 
 
-@query("P11_merged_tokens", f"SELECT id, CAST(len(list_filter(pairs, x -> x IN ('ar', 'er', 'ti', 'P1', 't1', 'rt'))) AS BIGINT) AS fused FROM ({PAIRS}) WHERE length(p) > 1")
+@query("P11_merged_tokens", f"SELECT id, CAST(len(list_filter(pairs, lambda x: x IN ('ar', 'er', 'ti', 'P1', 't1', 'rt'))) AS BIGINT) AS fused FROM ({PAIRS}) WHERE length(p) > 1")
 def merged_tokens(spark, sf_dir):
     known = F.array(*map(F.lit, ["ar", "er", "ti", "P1", "t1", "rt"]))
     return pairs(spark, sf_dir).select("id", F.size(F.array_intersect("pairs", known)).cast("long").alias("fused"))
 
 
-@query("P12_fused_tokens", "SELECT id, array_to_string(list_filter(list_transform(range(1, length(p)), i -> CASE WHEN instr(p, substr(p, i, 2)) = i THEN substr(p, i, 2) END), x -> x IS NOT NULL), ' ') AS fused FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part) WHERE length(p) > 1")
+@query("P12_fused_tokens", "SELECT id, array_to_string(list_filter(list_transform(range(1, length(p)), lambda i: CASE WHEN instr(p, substr(p, i, 2)) = i THEN substr(p, i, 2) END), lambda x: x IS NOT NULL), ' ') AS fused FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS p FROM part) WHERE length(p) > 1")
 def fused_tokens(spark, sf_dir):
     return pairs(spark, sf_dir).select("id", F.array_join("pairs", " ").alias("fused"))
 

@@ -52,15 +52,15 @@ OUTPUTS = r"""
 PREDICTED = rf"""
     SELECT *, CASE
         WHEN contains(output, '\boxed{{') THEN coalesce(
-            list_filter(boxes, x -> x <> '')[-1], boxes[-1])
+            list_filter(boxes, lambda x: x <> '')[-1], boxes[-1])
         ELSE coalesce(
             trim(regexp_extract_all(output, '(?i)The final answer is:\s*([^\n]+)', 1)[-1]),
             trim(regexp_extract_all(output, '(?i)Final answer is:\s*([^\n]+)', 1)[-1]),
             trim(regexp_extract_all(output, '(?i)Final answer\s*[:' || chr(65306) || ']\s*([^\n]+)', 1)[-1]),
             regexp_extract_all(output, '-?\d+(?:\.\d+)?')[-1],
-            list_filter(list_transform(string_split(output, chr(10)), x -> trim(x)), x -> x <> '')[-1],
+            list_filter(list_transform(string_split(output, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1],
             'NOT_FOUND') END AS predicted
-    FROM (SELECT *, list_transform(string_split(output, '\boxed{{')[2:], x -> regexp_replace(
+    FROM (SELECT *, list_transform(string_split(output, '\boxed{{')[2:], lambda x: regexp_replace(
             CASE WHEN contains(x, '}}') THEN regexp_extract(x, '^(.*)\}}', 1, 's') ELSE x END, '^\s+|\s+$', '', 'g')) AS boxes FROM ({OUTPUTS}))
 """
 
@@ -79,7 +79,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS = r"""
     SELECT doc_id AS id, source AS category, lang AS label, 'trace ' || (doc_id % 50) AS solver_cot,
         CASE WHEN doc_id % 3 = 0 THEN 'gold' ELSE 'model' END AS origin, CAST(doc_id % 4 AS VARCHAR) AS oversampling,
-        CAST(coalesce(len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')), 0) AS VARCHAR) AS token_length,
+        CAST(coalesce(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), 0) AS VARCHAR) AS token_length,
         CASE WHEN doc_id % 5 = 0 THEN 'False' ELSE 'True' END AS gt_match
     FROM documents
 """
