@@ -125,6 +125,8 @@ class BiGru:
     def predict(self, texts: list[bytes | None], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Label index (-1: none) and score of each text."""
         n, labels = len(texts), len(self.labels)
+        if not labels:
+            return np.full(n, -1), np.zeros(n)
         total = np.zeros((labels, n))
         sizes = np.fromiter((len(b) if b else 0 for b in texts), np.int64, n)
         data = np.frombuffer(b"".join(b.ljust(WINDOW) if len(b) < WINDOW else b for b in texts if b), np.uint8)
@@ -143,8 +145,6 @@ class BiGru:
             pooled = p.sum(0)
             for j in range(labels):
                 total[j] += np.bincount(doc[k], weights=pooled[j], minlength=n)
-        if not labels:
-            return np.full(n, -1), np.zeros(n)
         best = total.argmax(0)
         score = np.clip(total[best, np.arange(n)] / np.maximum(sizes, 1), 0, 1)
         return np.where(sizes > 0, best, -1), score
