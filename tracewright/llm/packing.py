@@ -15,8 +15,10 @@ other than the id and the text aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from tracewright.llm.common import cut
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 CAPACITY = (2048, 256, 2048)
 #: Pieces that are packed together in one task; rests are cut at this length; distinct chunks of text a worker remembers.
-GROUP, MAX_REST, REMEMBERED = 8192, 1024, 700_000
+GROUP, MAX_REST, REMEMBERED = 8192, 1024, 400_000
 END_ID = 1
 
 
@@ -76,34 +78,97 @@ def pack_vectors(items: np.ndarray, capacity: tuple[int, ...] = CAPACITY) -> tup
     return bins, places
 
 
+class WordEncoder:
+    """Ids of single lower-case words under a BPE with ends of words, by the rank-merging encoder of tiktoken.
+
+    It merges bytes; the end of a word is a byte 255 of its own (UTF-8 has
+    none), and pairs with it come first, so that the last byte is marked before
+    any other merge, as the vocabulary has it.
+    """
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        end = spec["model"]["end_of_word_suffix"]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        byte = {c: b for b, c in shown.items()}
+        raw = lambda t: bytes(byte[c] for c in t.removesuffix(end)) + (b"\xff" if t.endswith(end) else b"")
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        for merge in spec["model"]["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            ranks.setdefault(raw(left + right), len(ranks) + 1)
+        special = {t["content"] for t in spec["added_tokens"]}
+        ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.ids = {rank: ids.get(key) for key, rank in ranks.items()}
+        self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __call__(self, word: bytes) -> bytes:
+        return np.array([self.ids[r] for r in self.encode(word + b"\xff")], "<u4").tobytes()
+
+
 class ChunkTokenizer:
     """Token ids as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so a text's ids
-    are those of its white-space chunks in a row; ids of chunks are remembered
-    for as long as the worker lives, up to a bound.
+    are those of its white-space chunks in a row. A chunk of letters, with
+    signs of PUNCTUATION behind them or not, is a word and a run of signs; all
+    other chunks go to the tokenizer itself. Ids of chunks and words are
+    remembered for as long as the worker lives, up to a bound.
     """
 
+    PUNCTUATION = b".,;:!?|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         known = tokenizers.__dict__.setdefault("_chunks", {})  # of this process, whatever task it runs
         if path not in known:
-            known[path] = (tokenizers.Tokenizer.from_file(path), {})
-        self.tokenizer, self.seen = known[path]
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            words = spec["model"].get("end_of_word_suffix") == "</w>" and "[\\p{L}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
+            known[path] = (tokenizers.Tokenizer.from_file(path), WordEncoder(spec) if words else None, {}, {})
+        self.tokenizer, self.encoder, self.seen, self.words = known[path]
+
+    def _whole(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        body = chunk.rstrip(self.PUNCTUATION)
+        if self.encoder is None or not body:
+            return self._whole(chunk)
+        if body.isalpha():
+            word = body.lower()
+        else:
+            text = body.decode()
+            low = text.lower()
+            # a capital sigma is lowered by its place, some letters to two, and what isn't composed is composed first
+            if not text.isalpha() or "\u03a3" in text or len(low) != len(text) or not unicodedata.is_normalized("NFC", text):
+                return self._whole(chunk)
+            word = low.encode()
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            ids = self.words[word] = self.encoder(word)
+        if len(body) == len(chunk):
+            return ids
+        tail = chunk[len(body) :]
+        if tail not in self.words:
+            self.words[tail] = self._whole(tail)
+        return ids + self.words[tail]
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         seen = self.seen
         for text in texts:
             chunks = (text or b"").split()
-            new = list({c for c in chunks if c not in seen})
-            if new:
+            if new := set(chunks).difference(seen):
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                    new = list(set(chunks))
-                found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-                seen.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+                    new = set(chunks)
+                for c in new:
+                    seen[c] = self._chunk(c)
             yield b"".join(map(seen.__getitem__, chunks))
 
 
