@@ -272,3 +272,19 @@ def audit_claims(text: str) -> tuple[int, int]:
         claims += 1
         wrong += value != int(m[1])
     return claims, wrong
+
+
+def all_different(domains: list[set[int]]) -> bool:
+    """Whether distinct values can be drawn from all domains: a matching by augmenting paths."""
+    owner: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        for v in domains[i]:
+            if v not in tried:
+                tried.add(v)
+                if v not in owner or place(owner[v], tried):
+                    owner[v] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(domains)))

@@ -249,3 +249,11 @@ def construct_puzzles(spark, sf_dir):
     found = ops.consistent_variants(e.withColumn("out", out), ["puzzle", "kind"]).filter(F.size("variants") == 1)
     planted = F.element_at(F.array(*map(F.lit, ops.VARIANTS)), F.col("kind").cast("int") + 1)
     return found.select("puzzle", F.col("variants")[0].alias("variant"), (F.col("variants")[0] == planted).alias("as_planted"))
+
+
+def traces_of(examples: DataFrame) -> DataFrame:
+    """(puzzle, trace): a line for each operator with the first variant that fits, and the number of operators in a box."""
+    c = ops.consistent_variants(examples, ["puzzle", "op"])
+    line = F.struct("op", F.concat(F.lit("lock "), "op", F.lit(" = "), F.coalesce(F.try_element_at("variants", F.lit(1)), F.lit("exotic"))).alias("t"))
+    g = c.groupBy("puzzle").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    return g.select("puzzle", F.concat(F.array_join(F.transform("l", lambda s: s["t"]), "\n"), F.lit("\n\\boxed{"), F.size("l"), F.lit("}")).alias("trace"))
