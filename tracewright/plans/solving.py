@@ -122,13 +122,29 @@ def cipher_search(spark, sf_dir):
     return ciphers(spark, sf_dir).repartition(n, "puzzle").mapInPandas(solve_batches, "puzzle long, solutions int, budget_met boolean, as_planted boolean, solved boolean")
 
 
-UNARY_COUNT = len(ops.UNARY)
-
-
-@query("K16_unary_rules", f"SELECT puzzle, bool_and(y = (((x << CAST(puzzle % 7 + 1 AS INT)) | (x >> CAST(7 - puzzle % 7 AS INT))) & 255)) AS rotation FROM ({BITS}) GROUP BY 1")
+def _unary_sql(name: str, x: str = "x") -> str:
+    if name.startswith("not_"):
+        return f"(255 - {_unary_sql(name[4:], x)})"
+    if name == "id":
+        return x
+    k = int(name[4] if name[:3] == "rot" else name[3])
+    left, right = f"(({x} << {k}) & 255)", f"({x} >> {k})"
+    if name[:4] == "rotl":
+        return f"({left} | ({x} >> {8 - k}))"
+    if name[:4] == "rotr":
+        return f"({right} | (({x} << {8 - k}) & 255))"
+    if name[:3] == "shl":
+        return f"({left} | {(1 << k) - 1})" if name[-1] == "1" else left
+    return f"({right} | {255 & ~(255 >> k)})" if name[-1] == "1" else right
+
+
+UNARY_RULES = f"SELECT puzzle, concat_ws(',', {', '.join(f"CASE WHEN bool_and({_unary_sql(n)} = y) THEN '{n}' END" for n in ops.UNARY)}) AS rules FROM ({BITS}) GROUP BY 1"
+
+
+@query("K16_unary_rules", UNARY_RULES)
 def unary_rules(spark, sf_dir):
-    found = ops.unary_rules(bits(spark, sf_dir), "puzzle")
-    return found.select("puzzle", F.array_contains("rules", F.concat(F.lit("rotl"), F.col("puzzle") % 7 + 1)).alias("rotation"))
+    """All of 86 one-byte forms that reproduce a puzzle's examples, in order of trial."""
+    return ops.unary_rules(bits(spark, sf_dir), "puzzle").select("puzzle", F.array_join("rules", ",").alias("rules"))
 
 
 def word_rule_column(xs: Column, ys: Column) -> Column:
@@ -160,9 +176,17 @@ def apply_word(spark, sf_dir):
     return bits(spark, sf_dir).select("puzzle", "ex", choice.alias("choice"), majority.alias("majority"))
 
 
-@query("K20_truth_index", f"SELECT puzzle, min(x) AS key, count(DISTINCT y) AS outputs FROM ({BITS}) GROUP BY puzzle, x % 16")
+_TABLES = " UNION ALL ".join(f"SELECT {i} AS rank, '{n}' AS name, md5(string_agg(CAST({_unary_sql(n)} AS VARCHAR), ',' ORDER BY x)) AS key FROM range(256) r(x)" for i, n in enumerate(ops.UNARY))
+
+
+@query("K20_truth_index", f"SELECT key, arg_min(name, rank) AS label, count(*) AS forms FROM ({_TABLES}) GROUP BY key")
 def truth_index(spark, sf_dir):
-    return bits(spark, sf_dir).groupBy("puzzle", (F.col("x") % 16).alias("g")).agg(F.min("x").alias("key"), F.countDistinct("y").alias("outputs")).drop("g")
+    """Forms by truth table, the first label winning: the index that a hash join looks functions up in."""
+    x = F.col("id").cast("int")
+    key = lambda n: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x.alias("x"), ops.unary(n, x).alias("v")))), lambda s: s["v"].cast("string")), ",").cast("binary"))
+    tables = spark.range(256).coalesce(1).agg(*(key(n).alias(n) for n in ops.UNARY)).unpivot([], ops.UNARY, "name", "key")
+    ranks = spark.createDataFrame(list(enumerate(ops.UNARY)), "rank int, name string")
+    return tables.join(F.broadcast(ranks), "name").groupBy("key").agg(F.min_by("name", "rank").alias("label"), F.count("*").alias("forms"))
 
 
 @query("K21_decompose", f"SELECT puzzle, bit, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM (SELECT puzzle, bit, src FROM (SELECT puzzle, x, y, bit, unnest(range(8)) AS src FROM (SELECT *, unnest(range(8)) AS bit FROM ({BITS}))) GROUP BY ALL HAVING bool_and(((y >> CAST(bit AS INT)) & 1) = ((x >> CAST(src AS INT)) & 1))) GROUP BY 1, 2")
@@ -174,11 +198,14 @@ def decompose(spark, sf_dir):
     return g.select("puzzle", F.explode(each).alias("r")).select("puzzle", "r.bit", "r.sources").filter("sources <> ''")
 
 
-@query("K22_hypothesis_class", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN puzzle % 7 = 0 THEN 'near' ELSE 'far' END AS kind FROM (SELECT DISTINCT puzzle FROM ({BITS}))) GROUP BY 1")
+@query("K22_hypothesis_class", f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN r = '' THEN 'fallback' WHEN starts_with(r, 'not_') THEN 'complement' WHEN starts_with(r, 'id') THEN 'direct' WHEN starts_with(r, 'rot') THEN 'wrap' ELSE 'notwrap' END AS kind
+    FROM (SELECT split_part(rules, ',', 1) AS r FROM ({UNARY_RULES}))) GROUP BY 1""")
 def hypothesis_class(spark, sf_dir):
-    """The class of the rotation that solves a puzzle: by one place, or by more."""
-    g = bits(spark, sf_dir).groupBy("puzzle").agg(F.every(ops.unary("rotl1", F.col("x")) == F.col("y")).alias("one"))
-    return g.groupBy(F.when(F.col("one") & (F.col("puzzle") % 7 == 0), "near").otherwise("far").alias("kind")).agg(F.count("*").alias("n"))
+    """Puzzles by the class of the first form that solves them."""
+    r = F.coalesce(F.try_element_at("rules", F.lit(1)), F.lit(""))
+    starts = lambda p: F.startswith(r, F.lit(p))
+    kind = F.when(r == "", "fallback").when(starts("not_"), "complement").when(starts("id"), "direct").when(starts("rot"), "wrap").otherwise("notwrap")
+    return ops.unary_rules(bits(spark, sf_dir), "puzzle").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("K23_near_miss", f"SELECT puzzle, bit, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n, sum(hit) = count(*) AS full, sum(hit) = count(*) - 1 AS near FROM (SELECT puzzle, bit, CAST(((y >> CAST(bit AS INT)) & 1) = ((x >> CAST(bit AS INT)) & 1) AS INT) AS hit FROM (SELECT *, unnest(range(8)) AS bit FROM ({BITS}))) GROUP BY 1, 2")
