@@ -44,7 +44,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(samples: bytes, width: int = WIDTH, level: int = 1) -> bytes:
+def encode_png(samples: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     """A grey 8-bit image; every line has filter 0."""
     height = len(samples) // width
     lines = np.zeros((height, width + 1), np.uint8)
