@@ -34,13 +34,13 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "lang", ids(F.left("text", F.lit(200))).alias("prompt"), ids(F.col("text")).alias("completion"))
 
 
-@query("T3_tokenise", f"SELECT id, least(512, len(prompt) + len(completion)) AS n, list_sum((prompt || completion)[:512]) AS total FROM ({IDS})")
+@query("T3_tokenise", f"SELECT id, least(512, len(prompt) + len(completion)) AS n, CAST(list_sum((prompt || completion)[:512]) AS BIGINT) AS total FROM ({IDS})")
 def tokenise(spark, sf_dir):
     ids = F.slice(F.concat("prompt", "completion"), 1, 512)
     return token_ids(spark, sf_dir).select("id", F.size(ids).cast("long").alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("T4_mask_and_shift", f"SELECT id, len(ids) - 1 AS n, coalesce(list_sum(ids[2:]), 0) AS targets, greatest(0, len(ids) - greatest(1, p)) AS weights FROM (SELECT id, (prompt || completion)[:256] AS ids, least(len(prompt), 256) AS p FROM ({IDS}))")
+@query("T4_mask_and_shift", f"SELECT id, len(ids) - 1 AS n, CAST(coalesce(list_sum(ids[2:]), 0) AS BIGINT) AS targets, greatest(0, len(ids) - greatest(1, p)) AS weights FROM (SELECT id, (prompt || completion)[:256] AS ids, least(len(prompt), 256) AS p FROM ({IDS}))")
 def mask_and_shift(spark, sf_dir):
     """T4 and T5."""
     m = ops.mask_and_shift(F.col("prompt"), F.col("completion"), 256)
