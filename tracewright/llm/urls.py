@@ -8,7 +8,7 @@ active after it, and a url meets the stack of the last end before its key.
 Among those, rules whose path begins the url's path fit, and the longest
 (host and path; then the longer host) decides.
 
-Urls are dealt by a hash of their id into sweeps of about SWEEP rows, each with
+Urls are dealt by a hash of the row into sweeps of about SWEEP rows, each with
 all ends; hosts with a third of all pages are spread like others.
 
 Defined cases: a null url or one without `://` has an empty host and path and
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import LOWER, UPPER
 
-#: Pages of a sweep.
-SWEEP = 50_000
+#: Pages of a sweep at least; with many rules, EACH pages for an end of an interval, so that copies of the ends stay a small part.
+SWEEP, EACH = 5_000, 4
 #: Rules: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -70,10 +70,11 @@ def rule_ends(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep: int = SWEEP, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages."""
     host, path = split_url(F.col(url))
-    n = max(1, -(-pages.select(page_id).count() // sweep))
+    ends = rule_ends(rules)
+    n = max(1, -(-pages.select(page_id).count() // max(sweep, EACH * ends.count())))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.select(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(n)).cast("int").alias("deal"), host_key(F.col("host")).alias("key"), F.lit(1).alias("rank"), "page_id", "host", "path")
-    ends = rule_ends(rules).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ends = ends.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     both = rows.unionByName(ends, allowMissingColumns=True)
     order = Window.partitionBy("deal").orderBy("key", "rank").rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).filter("rank = 1")
