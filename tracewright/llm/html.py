@@ -4,7 +4,8 @@ Every block node of the DOM gets a density: its characters for each tag,
 scaled down by its share of link text. A node's density sum adds up its
 children's densities; the node with the largest sum holds the main text. The
 least density on the way from it to the body is the threshold: nodes outside
-it that reach the threshold are kept too. Elements that are never article text
+it that reach the threshold are kept too. A page's article or main elements,
+where it has them, are the nodes to choose from. Elements that are never article text
 (menus, forms, scripts, ..) leave the DOM first; inline elements belong to
 their block, links being counted.
 
@@ -189,13 +190,14 @@ def main_text(page: str | None) -> str:
             up[i] = up[up[i]]
         if block[i] and inside[i] and i != body:
             total[up[i]] += dense[i]
-    best = max((i for i in range(n) if inside[i] and block[i] and not gone[i]), key=lambda i: (total[i], i))
-    # an article that holds the best node is the article
+    nodes = [i for i in range(n) if inside[i] and block[i] and not gone[i]]
+    # where the page marks articles, the best node is one of theirs, and its article is taken whole
+    best = max([i for i in nodes if article[i] and c[i]] or nodes, key=lambda i: (total[i], i))
     path, i = [], best
     while i > 0 and i != body:
         path.append(i)
         i = parent[i]
-    best = next((i for i in reversed(path) if tag[i] in ("article", "main")), best)
+    best = next((i for name in ("article", "main") for i in reversed(path) if tag[i] == name), best)
     threshold = min([dense[i] for i in path if block[i]] + [dense[body]])
     chosen = [False] * n
     closed = tag[best] in ("article", "main")  # nothing outside an article belongs to it
