@@ -168,12 +168,12 @@ def compacted(index: DataFrame) -> DataFrame:
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """digest with width, height and bits, by range reads of the headers alone."""
+    """Places with width, height and bits, by range reads of the headers alone."""
     return _read(places, folder, HEADER, "width long, height long, bits long", lambda data: png_header(data))
 
 
 def contents(places: DataFrame, folder: str) -> DataFrame:
-    """digest with what is computed from the stored bytes as read back."""
+    """Places with what is computed from the stored bytes as read back."""
 
     def values(data: bytes) -> tuple:
         samples = decode_png(data)
@@ -198,13 +198,13 @@ def _read(places: DataFrame, folder: str, most: int | None, schema: str, values)
                     shard, source = name, filesystem.open_input_file(f"{path}/{name}")
                 out.append(values(source.read_at(length if most is None else min(most, length), offset)))
             cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["digest", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*batch.schema.names, *names])
         if source is not None:
             source.close()
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = places.select("digest", "shard", "offset", "length").repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(run, f"digest binary, {schema}")
+    return dealt.mapInArrow(run, f"digest binary, shard string, offset long, length long, {schema}")
 
 
 def media(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,5 +213,4 @@ def media(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", te
     index = store(docs, folder, doc_id, text)
     places = cut(compacted(index), "media-places")
     found = cut(contents(places, folder), "media-contents")
-    whole = places.drop("payload_bytes").join(found, "digest")
-    return index.drop("shard", "offset", "length").join(whole, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    return index.drop("shard", "offset", "length").join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
