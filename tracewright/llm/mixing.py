@@ -80,7 +80,8 @@ def schedule(docs: DataFrame, rows: list[dict], key: Column | None = None) -> Da
     j = j.withColumn("u", F.col("u") - F.floor("u")).withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)).cast("int"))
     # shares has one row for each source and cell: at most cells + sources rows
     hit = j.join(F.broadcast(share), "cell").filter("u >= low and u < high").select("source_no", "slots", F.col("id").alias("position"))
-    ranked = running(hit, "source_no", ["position"], F.floor(F.col("position") / (PIECE * 4)), F.lit(1), "rank")
+    piece = max(1024, points >> 20)  # a source has a million pieces at most, whose sums are one window's rows
+    ranked = running(hit, "source_no", ["position"], F.floor(F.col("position") / piece), F.lit(1), "rank")
     given = cut(ranked.filter("rank < slots").select("source_no", "rank", "position"), "slots")
     have = given.groupBy("source_no").agg(F.count("*").alias("have"))
     need = spark.createDataFrame([(i, r["slots"]) for i, r in enumerate(rows) if r["slots"]], "source_no int, slots long")
