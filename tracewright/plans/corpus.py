@@ -304,7 +304,11 @@ def multi_key_sort(spark, sf_dir):
 
 @query("O10_stable_sort", "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal < 0, s_suppkey) AS place FROM supplier")
 def stable_sort(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.row_number().over(Window.orderBy(F.col("s_acctbal") < 0, "s_suppkey")).cast("long").alias("place"))
+    from tracewright.operators import ranges
+
+    key = F.col("s_suppkey") + F.when(F.col("s_acctbal") < 0, F.lit(1 << 60)).otherwise(F.lit(0))
+    n = ranges.numbered(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), key.alias("k")), "k")
+    return n.select("id", (F.col("row_no") + 1).alias("place"))
 
 
 @query("O12_first_per_group", "SELECT l_returnflag AS k, min(l_orderkey) AS first FROM lineitem GROUP BY 1")
@@ -321,7 +325,10 @@ def top_three(spark, sf_dir):
 @query("O14_rarest_first", "SELECT token, row_number() OVER (ORDER BY count(*), token) AS place FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) GROUP BY 1")
 def rarest_first(spark, sf_dir):
     g = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return g.select("token", F.row_number().over(Window.orderBy("n", "token")).cast("long").alias("place"))
+    from tracewright.operators import ranges
+
+    n = ranges.numbered(g.select("token", F.concat(F.lpad(F.col("n").cast("string"), 19, "0"), F.lit(" "), "token").alias("k")), "k")
+    return n.select("token", (F.col("row_no") + 1).alias("place"))
 
 
 @query("O15_mod_shards", "SELECT shard, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY c_custkey) - 1) % 5 AS shard FROM customer) GROUP BY 1")
