@@ -27,7 +27,7 @@ from tracewright.llm.common import cut, running
 #: Weights by rank of the source, repeating; how often a source's words may be taken; words of a block; most sources that the driver plans for.
 WEIGHTS, REPEATS, BLOCK, MAX_SOURCES = (5.0, 2.0, 1.0), 3.0, 512, 100_000
 #: Rows of a piece of a source that is ordered in one task.
-PIECE = 4096
+PIECE = 1024
 PHI = (math.sqrt(5) - 1) / 2
 
 
@@ -100,11 +100,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float =
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     steps = plan({r["source"]: r["size"] for r in stats}, weights, repeats, block)
-    sources = spark.createDataFrame([(i, s["source"], s["source_size"], s["target"], s["slots"], s["blocks"], s["last"]) for i, s in enumerate(steps)], "source_no int, name string, source_size long, target double, slots long, blocks long, last long")
-    pieces = max(1, -(-max([r["n"] for r in stats], default=1) // PIECE))
+    rows_of = {r["source"]: r["n"] for r in stats}
+    sources = spark.createDataFrame([(i, s["source"], s["source_size"], s["target"], s["slots"], s["blocks"], s["last"], -(-rows_of[s["source"]] // PIECE)) for i, s in enumerate(steps)], "source_no int, name string, source_size long, target double, slots long, blocks long, last long, pieces long")
     # sources has at most MAX_SOURCES short rows
     named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    placed = running(named, "source_no", ["h", "doc_id", "size"], F.floor(F.col("h") / F.lit(float(2**63) / pieces)), F.col("size"), "begin")
+    placed = running(named, "source_no", ["h", "doc_id", "size"], F.floor(F.col("h") / (F.lit(float(2**63)) / F.col("pieces"))), F.col("size"), "begin")
     placed = cut(placed.select("doc_id", "size", "source_no", "source_size", "target", "slots", "blocks", "begin"), "placed")
     filled = F.when((F.col("rank") == F.col("slots") - 1) & F.col("last").isNotNull(), F.col("last"))
     slots = schedule(docs, steps).join(F.broadcast(sources.select("source_no", "slots", "blocks", "last")), "source_no")
