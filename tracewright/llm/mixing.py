@@ -90,10 +90,10 @@ def schedule(docs: DataFrame, rows: list[dict], key: Column | None = None) -> Da
     return given.unionByName(tail.select("source_no", "rank", "position"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int = BLOCK, seed: int = 13, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of docs; only ids, sources and sizes are dealt out, never texts."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int = BLOCK, seed: int = 13, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns keep of every row of docs; only ids, sources and sizes are dealt out, never texts."""
+    spark, keep = docs.sparkSession, keep or []
+    rows = docs.select(*keep, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     # upper bits of the hash order documents and cut a source into pieces
     rows = cut(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1)), "sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float =
     # sources has at most MAX_SOURCES short rows
     named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     placed = running(named, "source_no", ["h", "doc_id", "size"], F.floor(F.col("h") / (F.lit(float(2**63)) / F.col("pieces"))), F.col("size"), "begin")
-    placed = cut(placed.select("doc_id", "size", "source_no", "source_size", "target", "slots", "blocks", "begin"), "placed")
+    placed = cut(placed.select(*keep, "doc_id", "size", "source_no", "source_size", "target", "slots", "blocks", "begin"), "placed")
     filled = F.when((F.col("rank") == F.col("slots") - 1) & F.col("last").isNotNull(), F.col("last"))
     slots = schedule(docs, steps).join(F.broadcast(sources.select("source_no", "slots", "blocks", "last")), "source_no")
     taken = slots.groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.when(filled.isNull(), 1)).alias("times"), F.sum(F.coalesce(filled, F.lit(0))).alias("part"))
@@ -117,6 +117,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float =
     words = (F.col("high") - F.col("low")) * F.col("times") + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
     got = joined.groupBy("source_no", "begin").agg(F.sum(words).alias("taken"))
     some = full.join(got, ["source_no", "begin"], "left")
-    every = some.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    every = some.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+    none = placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *keep)
     return every.unionByName(none)
