@@ -4,15 +4,15 @@ Every block node of the DOM gets a density: its characters for each tag,
 scaled down by its share of link text. A node's density sum adds up its
 children's densities; the node with the largest sum holds the main text. The
 least density on the way from it to the body is the threshold: nodes outside
-it that reach the threshold are kept too. A page's article or main elements,
-where it has them, are the nodes to choose from. Elements that are never article text
+it that reach the threshold are kept too. Where the best node lies in
+an article or main element, the way ends at that element. Elements that are never article text
 (menus, forms, scripts, ..) leave the DOM first; inline elements belong to
 their block, links being counted.
 
 Defined cases: null or empty html gives an empty text, like a page without any
 main text; unclosed and unmatched tags close where HTML lets them; a page
-without a body element is its own body; of equal density sums the deeper node
-wins; repeated pages are read each by itself; an empty table gives an empty
+without a body element is its own body; of equal density sums a node in
+an article or main wins, then the deeper one; repeated pages are read each by itself; an empty table gives an empty
 result; extra columns pass through when listed in `keep`.
 """
 
@@ -191,19 +191,19 @@ def main_text(page: str | None) -> str:
         if block[i] and inside[i] and i != body:
             total[up[i]] += dense[i]
     nodes = [i for i in range(n) if inside[i] and block[i] and not gone[i]]
-    # where the page marks articles, the best node is one of theirs, and its article is taken whole
-    best = max([i for i in nodes if article[i] and c[i]] or nodes, key=lambda i: (total[i], i))
+    # of equal sums the node of an article wins, then the deeper one
+    best = max(nodes, key=lambda i: (total[i], article[i], i))
     path, i = [], best
     while i > 0 and i != body:
         path.append(i)
         i = parent[i]
-    best = next((i for name in ("article", "main") for i in reversed(path) if tag[i] == name), best)
-    threshold = min([dense[i] for i in path if block[i]] + [dense[body]])
+    # the threshold is the least density on the way to the body; where the best node lies in an article, on the way to that
+    marked = next((k for k in range(len(path) - 1, -1, -1) if tag[path[k]] in ("article", "main")), None)
+    threshold = min([dense[i] for i in (path if marked is None else path[: marked + 1]) if block[i]] + [dense[body]] * (marked is None))
     chosen = [False] * n
-    closed = tag[best] in ("article", "main")  # nothing outside an article belongs to it
     for i in range(n):
         p = parent[i]
-        chosen[i] = i == best or p >= 0 and chosen[p] or not closed and block[i] and inside[i] and not t[i] and dense[i] >= max(threshold, 1e-9)
+        chosen[i] = i == best or p >= 0 and chosen[p] or block[i] and inside[i] and not t[i] and dense[i] >= max(threshold, 1e-9)
     blocks, line = [], []
 
     def flush() -> None:
