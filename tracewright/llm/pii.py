@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -101,11 +102,13 @@ DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: An address whose sign or dots are disguised: a bracketed at, or any at with a disguised dot in the domain.
 DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]+(?:(?:\.|{DOT})[A-Za-z0-9_%+\-]+){{0,4}}(?:{HARD_AT}{LABEL}(?:(?:\.|{DOT}){LABEL}){{1,6}}|{AT}{LABEL}(?:\.{LABEL}){{0,4}}{DOT}{LABEL}(?:(?:\.|{DOT}){LABEL}){{0,5}})",
+    rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+\-]++)*+(?:{HARD_AT}{LABEL}(?:(?:\.|{DOT}){LABEL})+|{AT}{LABEL}(?:\.{LABEL})*{DOT}{LABEL}(?:(?:\.|{DOT}){LABEL})*)",
     re.I,
 )
+#: Every DISGUISED match has a bracketed at or a disguised dot, and so one of these.
+MAY_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)|\sdot\s", re.I)
 DISGUISE_PART = re.compile(rf"({HARD_AT}|\s+at\s+|\s*@\s*)|({DOT})", re.I)
-ODD_SIGN = re.compile("[" + re.escape("".join(LOOKALIKES) + "".join(SIGNS) + INVISIBLE) + "\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]")
+ODD_SIGN = re.compile("[" + re.escape("".join(LOOKALIKES) + "".join(SIGNS) + INVISIBLE) + "\uff01-\uff5e" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()) + "]")
 
 
 class Rewriting:
@@ -172,11 +175,10 @@ def plain_digits(r: Rewriting) -> Rewriting:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, both by kind and then by start."""
     base = base_spans(text)
-    low = text.lower()
     r = Rewriting(text)
     if not text.isascii():
         r = plain_signs(r)
-    if "dot" in low or "[at" in low or "(at" in low or "at)" in low or "at]" in low or "@" in text or "@" in r.text:
+    if MAY_DISGUISE.search(r.text):
         r = plain_addresses(r)
     if SPELLED.search(r.text):
         r = plain_digits(r)
