@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Pieces whose sums are summed in one task.
+PARTS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,23 +34,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def total_rows(df: DataFrame) -> int:
-    return df.count()
-
-
-def running(df: DataFrame, key: str, order: list[str], part: Column, value: Column, out: str) -> DataFrame:
+def running(df: DataFrame, key: str, order: list[str], part: Column, value: Column, out: str, levels: int = 2) -> DataFrame:
     """Sum of value over the rows of a key that come before each row, in (part, order).
 
     part is a number that rises with the order and splits a key into pieces that
     fit a task, so that a key with a third of all rows is spread: sums per
-    (key, part) are gathered first, and only inside a piece are rows sorted.
+    (key, part) are gathered first, and only inside a piece are rows sorted. The
+    sums are summed in the same way, PARTS pieces at a time, levels deep.
     """
-    p, v, base = "__part", "__value", "__base"
+    p, v, base = f"__part{levels}", f"__value{levels}", f"__base{levels}"
     df = df.withColumn(p, part).withColumn(v, value)
-    sums = df.groupBy(key, p).agg(F.sum(v).alias(v))
-    before = Window.partitionBy(key).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(key).alias("__k"), F.col(p).alias("__p"), F.coalesce(F.sum(v).over(before), F.lit(0)).alias(base))
+    sums = df.groupBy(F.col(key).alias("__k"), F.col(p).alias("__p")).agg(F.sum(v).alias("__v"))
+    if levels:
+        sums = running(sums, "__k", ["__p"], F.floor(F.col("__p") / PARTS), F.col("__v"), base, levels - 1)
+    else:
+        before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn(base, F.coalesce(F.sum("__v").over(before), F.lit(0)))
+    sums = sums.select(F.col("__k").alias("__key"), F.col("__p").alias("__at"), base)
     inside = Window.partitionBy(key, p).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__in", F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    joined = df.join(sums, df[key].eqNullSafe(sums["__k"]) & (df[p] == sums["__p"]))
-    return joined.withColumn(out, F.col(base) + F.col("__in")).drop(p, v, base, "__in", "__k", "__p")
+    joined = df.join(sums, df[key].eqNullSafe(sums["__key"]) & (df[p] == sums["__at"]))
+    return joined.withColumn(out, F.col(base) + F.col("__in")).drop(p, v, base, "__in", "__key", "__at")

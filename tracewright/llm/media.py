@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.common import cut, scratch
 
@@ -163,35 +164,40 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
 def compacted(index: DataFrame) -> DataFrame:
     """One row for each digest: of its places the first."""
-    place = F.struct("shard", "offset", "length", "payload_bytes")
-    return index.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """Places with width, height and bits, by range reads of the headers alone."""
-    return _read(places, folder, HEADER, "width long, height long, bits long", lambda data: png_header(data))
+    """Places with width, height and bits, by range reads of the headers alone. Rows stay where they are."""
+    return _read(places, folder, HEADER, "width long, height long, bits long", png_header)
 
 
 def contents(places: DataFrame, folder: str) -> DataFrame:
-    """Places with what is computed from the stored bytes as read back."""
+    """Places with what is computed from the stored bytes as read back; a stored form other than its digest is an error. Rows stay where they are."""
 
     def values(data: bytes) -> tuple:
         samples = decode_png(data)
-        return (*png_header(data), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(samples))
+        return hashlib.sha256(data).digest(), hashlib.sha256(samples).digest(), zlib.crc32(samples[-32:]), features(samples)
 
-    return _read(places, folder, None, "width long, height long, bits long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", values)
+    return _read(places, folder, None, "stored_digest binary, payload_digest binary, tail_crc32 long, feature string", values)
+
+
+def dealt(places: DataFrame) -> DataFrame:
+    """Places in the order of their shards, so that each task reads runs of them."""
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _read(places: DataFrame, folder: str, most: int | None, schema: str, values) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = opened(folder)
         shard, source = None, None
         for batch in batches:
             out = []
-            for name, offset, length in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if name != shard:
                     if source is not None:
                         source.close()
@@ -202,15 +208,20 @@ def _read(places: DataFrame, folder: str, most: int | None, schema: str, values)
         if source is not None:
             source.close()
 
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = places.select("digest", "shard", "offset", "length").repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(run, f"digest binary, shard string, offset long, length long, {schema}")
+    made = T.StructType(places.schema.fields)
+    for name, kind in zip(names, schema.split(", "), strict=True):
+        made = made.add(name, kind.split()[1])
+    return places.mapInArrow(run, made)
 
 
 def media(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text of docs and returns its row with place, metadata and what was read back."""
+    """Stores every text of docs and returns its row with place, metadata (of the headers) and what was read back (of the bodies)."""
     folder = folder or scratch(docs.sparkSession, "shards")
     index = store(docs, folder, doc_id, text)
-    places = cut(compacted(index), "media-places")
-    found = cut(contents(places, folder), "media-contents")
-    return index.drop("shard", "offset", "length").join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    places = dealt(cut(compacted(index), "media-places"))
+    found = cut(contents(metadata(places, folder), folder), "media-contents")
+    wrong = F.raise_error(F.concat(F.lit("stored bytes are not those of "), F.hex("digest")))
+    found = found.withColumn("digest", F.when(F.col("stored_digest") == F.col("digest"), F.col("digest")).otherwise(wrong)).drop("stored_digest")
+    text_of = lambda c, out: F.lower(F.hex(c)).alias(out)
+    rows = index.drop("shard", "offset", "length").join(found, "digest")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", text_of("payload_digest", "payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), text_of("digest", "media_sha256"), "feature", "width", "height", "bits", "shard", "offset", "length")

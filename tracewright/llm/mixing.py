@@ -1,18 +1,23 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot j of the mix belongs to the source in whose share of the cumulative target
-weights the golden-ratio point frac(j * phi) falls. Slots are ranked inside
+weights the golden-ratio point frac(j * phi) falls, and to no other: how many
+slots a source gets, and when, follows from the points. Slots are ranked inside
 their source; a source's documents, in the order of a seeded hash, make one
-stream of words that is cut into blocks of BLOCK words, and the slot of rank k
-takes block k modulo the number of blocks. A source has the slots that its
-target needs, the last one partly filled; slots beyond that are passed over,
-and slots that the points leave wanting follow at the end.
+stream of words that is cut into blocks of equal size, and the slot of rank k
+takes block k modulo the number of blocks. Slots that would take a block more
+often than `repeats` allows are passed over.
+
+The mix has about SLOTS slots at every size, more where there are many sources
+(SLOTS_EACH for each), so what a source takes is off its target by the points'
+discrepancy, a few slots, and by less than two blocks for its last, shorter
+block. Shares and points are whole numbers, sums are exact, so reruns agree.
 
 Defined cases: a null text has size 0, and takes 0 words; a null source is a
 source of its own, ordered last; a source without words has target 0; repeated
-rows count each time; ties of the hash go by id, then by size (equal rows may
-change places); an empty table gives an empty result; extra columns pass
-through `keep`.
+rows count each time; ties of the hash go by id, then by size (rows that are
+equal in all that returns may change places); an empty table gives an empty
+result; extra columns pass through `keep`.
 """
 
 from __future__ import annotations
@@ -23,100 +28,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, running
+from tracewright.operators.ranges import numbered
 
-#: Weights by rank of the source, repeating; how often a source's words may be taken; words of a block; most sources that the driver plans for.
-WEIGHTS, REPEATS, BLOCK, MAX_SOURCES = (5.0, 2.0, 1.0), 3.0, 512, 100_000
-#: Rows of a piece of a source that is ordered in one task.
-PIECE = 1024
-PHI = (math.sqrt(5) - 1) / 2
+#: Weights by rank of the source, repeating; how often a source's words may be taken.
+WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3.0
+#: Slots of a mix and slots for each source at least; never more than MAX_SLOTS, whose products stay within 63 bits.
+SLOTS, SLOTS_EACH, MAX_SLOTS = 1 << 20, 256, 1 << 30
+#: Points are multiples of 1 / CIRCLE; PHI, the golden ratio less 1, is the step from one to the next.
+CIRCLE, PHI = 1 << 32, (math.sqrt(5) - 1) / 2
+#: Parts of a wanted slot that shares are counted in; rows of a piece that is ordered in one task.
+FINE, PIECE = 1 << 16, 1024
+#: Sources that are broadcast at most; beyond, rows meet them in a join salted into SALT parts.
+BROADCAST, SALT = 100_000, 64
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> dict[str | None, float]:
-    """Words for each source: in proportion to the weights, none over repeats times its size, excess reshared until none is above."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be", "surrogatepass")) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    result, open_, left = {}, list(names), float(sum(sizes.values()))
-    while open_:
-        whole = math.fsum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / whole > repeats * sizes[s]]
-        for s in above or open_:
-            result[s] = repeats * sizes[s] if above else left * weight[s] / whole
-        if not above:
+def targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
+    """Adds source_no, weight and target to (source, source_size, ..), one row a source.
+
+    Open sources share what is left in proportion to their weights. That ratio
+    only rises as sources stop at `repeats` times their size, so a source has
+    stopped just when the last ratio would give it more; each round is one sum.
+    """
+    named = stats.withColumn("__name", F.concat(F.col("source").isNull().cast("int").cast("string"), F.coalesce("source", F.lit(""))))
+    st = numbered(named, "__name", "source_no").drop("__name")
+    st = cut(st.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))), "sources")
+    most = F.col("source_size") * F.lit(float(repeats))
+    row = st.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, left, whole, stopped = float(row["size"] or 0), float(row["size"] or 0), row["weight"] or 1.0, 0
+    while True:
+        above = F.lit(left) * F.col("weight") / F.lit(whole) > most if whole else F.lit(True)
+        row = st.agg(F.sum(F.when(above, most)).alias("most"), F.sum(F.when(~above, F.col("weight"))).alias("weight"), F.count(F.when(above, 1)).alias("n")).first()
+        if row["n"] == stopped:
+            break
+        left, whole, stopped = total - (row["most"] or 0.0), row["weight"] or 0.0, row["n"]
+        if not whole:
             break
-        left -= math.fsum(result[s] for s in above)
-        open_ = [s for s in open_ if s not in set(above)]
-    return {s: max(0.0, result[s]) for s in names}
-
-
-def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int = BLOCK) -> list[dict]:
-    """For each source: size, target, whole words, slots, words of the last slot, blocks and its share [low, high) of the points."""
-    goal, rows = targets(sizes, weights, repeats), []
-    for name, target in goal.items():
-        size, words = sizes[name], round(target)
-        blocks = -(-size // block)
-        whole, rest = divmod(words, size) if size else (0, 0)
-        slots = whole * blocks + -(-rest // block)
-        rows.append({"source": name, "source_size": size, "target": target, "slots": slots, "blocks": blocks, "last": rest - (-(-rest // block) - 1) * block if rest else None})
-    all_slots, at = sum(r["slots"] for r in rows), 0
-    for r in rows:
-        r["low"], r["high"] = (at / all_slots, (at + r["slots"]) / all_slots) if all_slots else (0.0, 0.0)
-        at += r["slots"]
-    return rows
-
-
-def schedule(docs: DataFrame, rows: list[dict], key: Column | None = None) -> DataFrame:
-    """(source_no, rank, position): the slots of the mix; position is j, or beyond all j for those that the points leave wanting."""
-    spark = docs.sparkSession
-    total = sum(r["slots"] for r in rows)
-    points = total + len(rows) * 4 * (1 + total.bit_length())
-    cells = 1 << max(4, (4 * len(rows)).bit_length())
-    shares = [(i, c, r["low"], r["high"], r["slots"]) for i, r in enumerate(rows) if r["slots"] for c in range(int(r["low"] * cells), min(cells - 1, int(r["high"] * cells)) + 1)]
-    share = spark.createDataFrame(shares, "source_no int, cell int, low double, high double, slots long")
-    j = spark.range(points if total else 0).withColumn("u", F.col("id") * F.lit(PHI))
-    j = j.withColumn("u", F.col("u") - F.floor("u")).withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)).cast("int"))
-    # shares has one row for each source and cell: at most cells + sources rows
-    hit = j.join(F.broadcast(share), "cell").filter("u >= low and u < high").select("source_no", "slots", F.col("id").alias("position"))
-    piece = max(1024, points >> 20)  # a source has a million pieces at most, whose sums are one window's rows
-    ranked = running(hit, "source_no", ["position"], F.floor(F.col("position") / piece), F.lit(1), "rank")
-    given = cut(ranked.filter("rank < slots").select("source_no", "rank", "position"), "slots")
-    have = given.groupBy("source_no").agg(F.count("*").alias("have"))
-    need = spark.createDataFrame([(i, r["slots"]) for i, r in enumerate(rows) if r["slots"]], "source_no int, slots long")
-    short = need.join(have, "source_no", "left").select("source_no", "slots", F.coalesce("have", F.lit(0)).alias("have")).filter("have < slots")
-    tail = short.select("source_no", F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank")).withColumn("position", F.col("rank") + points)
-    return given.unionByName(tail.select("source_no", "rank", "position"))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int = BLOCK, seed: int = 13, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the columns keep of every row of docs; only ids, sources and sizes are dealt out, never texts."""
-    spark, keep = docs.sparkSession, keep or []
+    share = F.when(above, most).otherwise(F.lit(left) * F.col("weight") / F.lit(whole)) if whole else most
+    return st.withColumn("target", F.greatest(share, F.lit(0.0)))
+
+
+def shares(goals: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Adds blocks, low and high to the goals: the arc [low, high) of the circle that is a source's; and the number of slots."""
+    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    want = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size") * FINE)).otherwise(F.lit(0)).cast("long")
+    rows = goals.withColumn("blocks", blocks).withColumn("want", want).withColumn("__all", F.lit(0))
+    whole = rows.agg(F.sum("want").alias("n")).first()["n"] or 0
+    at = lambda x: F.floor(x.cast("double") / F.lit(float(max(whole, 1))) * F.lit(float(CIRCLE))).cast("long")
+    placed = running(rows, "__all", ["source_no"], F.floor(F.col("source_no") / PIECE), F.col("want"), "before")
+    arcs = placed.withColumn("low", at(F.col("before"))).withColumn("high", at(F.col("before") + F.col("want")))
+    return arcs.drop("__all", "before", "want"), round(whole / FINE)
+
+
+def schedule(arcs: DataFrame, slots: int, sources: int, repeats: float = REPEATS) -> DataFrame:
+    """(source_no, blocks, position, rank) of every slot: position is j, rank counts the slots of a source before it."""
+    bits = max(4, (4 * sources).bit_length())
+    shift = max(0, CIRCLE.bit_length() - 1 - bits)
+    # a circle cut into about four cells for each source: an arc goes to the cells that it meets
+    cells = F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift)))
+    met = arcs.filter("high > low").select("source_no", "blocks", "low", "high", cells.alias("cell"))
+    step = round(PHI * CIRCLE)
+    points = arcs.sparkSession.range(slots).select(F.col("id").alias("position"), (F.col("id") * F.lit(step)).bitwiseAND(F.lit(CIRCLE - 1)).alias("u"))
+    hit = points.withColumn("cell", F.shiftright("u", shift)).join(met, "cell").filter("u >= low AND u < high").select("source_no", "blocks", "position")
+    ranked = running(hit, "source_no", ["position"], F.floor(F.col("position") / PIECE), F.lit(1), "rank")
+    return ranked.filter(F.col("rank") < F.floor(F.col("blocks") * F.lit(float(repeats))))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int | None = None, seed: int = 13, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot, slots and the columns keep of every row of docs.
+
+    first_slot is the first slot of the schedule that takes words of the row
+    (null: none does), slots how many do. Only ids, sources and sizes are dealt
+    out, never texts. block is the words of a block, by default what gives
+    about SLOTS slots.
+    """
+    keep = keep or []
     rows = docs.select(*keep, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     # upper bits of the hash order documents and cut a source into pieces
-    rows = cut(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1)), "sizes")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    steps = plan({r["source"]: r["size"] for r in stats}, weights, repeats, block)
-    rows_of = {r["source"]: r["n"] for r in stats}
-    sources = spark.createDataFrame([(i, s["source"], s["source_size"], s["target"], s["slots"], s["blocks"], s["last"], -(-rows_of[s["source"]] // PIECE)) for i, s in enumerate(steps)], "source_no int, name string, source_size long, target double, slots long, blocks long, last long, pieces long")
-    # sources has at most MAX_SOURCES short rows
-    named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    placed = running(named, "source_no", ["h", "doc_id", "size"], F.floor(F.col("h") / (F.lit(float(2**63)) / F.col("pieces"))), F.col("size"), "begin")
-    placed = cut(placed.select(*keep, "doc_id", "size", "source_no", "source_size", "target", "slots", "blocks", "begin"), "placed")
-    filled = F.when((F.col("rank") == F.col("slots") - 1) & F.col("last").isNotNull(), F.col("last"))
-    slots = schedule(docs, steps).join(F.broadcast(sources.select("source_no", "slots", "blocks", "last")), "source_no")
-    taken = slots.groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.when(filled.isNull(), 1)).alias("times"), F.sum(F.coalesce(filled, F.lit(0))).alias("part"))
-    full = placed.filter("size > 0")
-    parts = full.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
-    low, high = F.greatest("begin", F.col("block") * block), F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block)
-    parts = parts.withColumn("low", low - F.col("block") * block).withColumn("high", high - F.col("block") * block)
+    rows = cut(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", *keep), 1)), "sizes")
+    stats = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")), "stats")
+    row = stats.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
+    sources, words = row["n"], row["words"] or 0
+    block = block or max(1, words // min(MAX_SLOTS, max(SLOTS, SLOTS_EACH * sources)))
+    arcs, slots = shares(targets(stats, weights, repeats), block)
+    arcs = cut(arcs.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("long")), "arcs")
+    known = arcs.select(F.col("source").alias("__name"), "source_no", "source_size", "target", "pieces")
+    if sources <= BROADCAST:
+        named = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__name")))
+    else:
+        salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        named = rows.withColumn("__s", (F.col("h") % SALT).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("__name")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
+    named = named.drop("__name", "source")
+    piece = F.floor(F.col("h") / (F.lit(float(2**63)) / F.col("pieces")))
+    full = running(named.filter("size > 0"), "source_no", ["h", "doc_id", "size", *keep], piece, F.col("size"), "begin")
+    full = cut(full.select(*keep, "doc_id", "size", "source_no", "source_size", "target", "begin"), "placed")
+    taken = schedule(arcs, slots, sources, repeats).groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"), F.min("position").alias("first"))
+    parts = full.select("source_no", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
+    words_in = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
     joined = parts.join(taken, ["source_no", "block"])
-    words = (F.col("high") - F.col("low")) * F.col("times") + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
-    got = joined.groupBy("source_no", "begin").agg(F.sum(words).alias("taken"))
-    some = full.join(got, ["source_no", "begin"], "left")
-    every = some.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
-    none = placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *keep)
+    got = joined.groupBy("source_no", "begin").agg(F.sum(words_in * F.col("times")).alias("taken"), F.min("first").alias("first_slot"), F.sum("times").alias("slots"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    every = full.join(got, ["source_no", "begin"], "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("slots"), *keep)
+    none = named.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("slots"), *keep)
     return every.unionByName(none)
