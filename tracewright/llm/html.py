@@ -6,8 +6,10 @@ children's densities; the node with the largest sum holds the main text. The
 least density on the way from it to the body is the threshold: nodes outside
 it that reach the threshold are kept too. Where the best node lies in
 an article or main element, the way ends at that element. Elements that are never article text
-(menus, forms, scripts, ..) leave the DOM first; inline elements belong to
-their block, links being counted.
+(menus, forms, scripts, ..) leave the DOM first, and so do parts whose class or
+id names one of these, unless they hold most of the page; whatever else stands
+in the article (formulas, drawings, lists of links, hidden parts) stays. Inline
+elements belong to their block, links being counted.
 
 Defined cases: null or empty html gives an empty text, like a page without any
 main text; unclosed and unmatched tags close where HTML lets them; a page
@@ -35,13 +37,13 @@ CLOSES_P = BLOCK - set("caption dd dt head html body tbody td tfoot th thead tr
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = set("html body table td th caption article section div ul ol dl main aside nav header footer form blockquote fieldset button".split())
 # Fixed values of pages: what is never article text, by element, role, and word of a class or id.
-NEVER = set("head script style noscript template nav footer aside form iframe svg math canvas object embed audio video button select textarea dialog menu noembed noframes search title".split())
+NEVER = set("head script style noscript template nav footer aside form iframe embed button select textarea dialog menu noembed noframes search title".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HINTS = set("nav navbar navigation menu footer masthead sidebar ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup social share sharing related recommended breadcrumb breadcrumbs pagination pager toolbar widget login paywall disclaimer".split())
+HINTS = set("nav navbar navigation menu footer masthead sidebar ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup breadcrumb breadcrumbs pagination pager toolbar login paywall disclaimer".split())
 COMMENTS = set("comment comments commentlist disqus replies responses discussion".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 SPACE = re.compile(r"\s+")
 
@@ -116,11 +118,9 @@ def _hinted(tag: str, attributes: str, in_article: bool) -> int:
     level = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
         if name == "role":
             level = 2 if value.lower() in ROLES else level
-        elif name in ("class", "id"):
+        else:
             words = {w.lower() for w in WORDS.findall(value)}
             level = max(level, 2 if words & COMMENTS else 1 if words & HINTS or "header" in words and not in_article else 0)
         if level == 2:

@@ -101,8 +101,11 @@ def tar_header(name: str, size: int) -> bytes:
 
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of an address and the path there; s3a and s3n are names that Hadoop has for s3."""
     from pyarrow import fs
 
+    scheme, _, rest = uri.partition("://")
+    uri = f"s3://{rest}" if scheme in ("s3a", "s3n") else uri
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -208,7 +211,7 @@ def _read(places: DataFrame, folder: str, most: int | None, schema: str, values)
         if source is not None:
             source.close()
 
-    made = T.StructType(places.schema.fields)
+    made = T.StructType(list(places.schema.fields))
     for name, kind in zip(names, schema.split(", "), strict=True):
         made = made.add(name, kind.split()[1])
     return places.mapInArrow(run, made)
