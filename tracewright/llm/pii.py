@@ -4,8 +4,8 @@ Plain identifiers (the base) are found in the text as it stands. Transducers
 then rewrite what may hide others: look-alike and full-width signs, invisible
 signs, spelled digits, and at / dot disguises. Each sign they write remembers
 the source span that it came from, so identifiers found in the rewritten text
-have offsets in the source. A found span that overlaps a base span of its kind
-is dropped; the base stays as it is.
+have offsets in the source. A found span that lies in a base span of its kind
+says nothing new; one that reaches further is added, and the base stays.
 
 Defined cases: null text is empty; a match that fails its check (Luhn, digits,
 parts) is dropped and not tried again shorter; spans of different kinds may
@@ -90,24 +90,32 @@ SIGNS = {
     "\ufe6b": "@", "\u3002": ".", "\u2024": ".", "\ufe52": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\ufe63": "-", "\u00a0": " ", "\u202f": " ", "\u2009": " ", "\ufe62": "+",
 }
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-GAP = r"[ ,.\-\n]{1,3}"
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus{GAP})?{WORD}(?:{GAP}(?:{WORD}|dot|point))*{GAP}{WORD}(?![A-Za-z])", re.I)
-SPELLED_PART = re.compile(rf"(plus)|({WORD})|(dot|point)", re.I)
-AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
-HARD_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
-DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+#: Words of English, German, French and Spanish for digits, plus, dot and at; at stands for itself only beside another disguise.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+PLUS_WORDS, DOT_WORDS, AT_WORDS = ("plus", "más"), ("dot", "point", "punkt", "punto"), ("klammeraffe", "arobase", "arroba")
+
+WORD, PLUS, POINT, SURE_AT = (f"(?:{'|'.join(words)})" for words in (DIGIT_WORDS, PLUS_WORDS, DOT_WORDS, AT_WORDS))
+LETTER = r"[^\W\d_]"
+GAP = r"[\s,.\-]+"
+SPELLED = re.compile(rf"(?<!{LETTER})(?:{PLUS}{GAP})?{WORD}(?:{GAP}(?:{WORD}|{POINT}))*{GAP}{WORD}(?!{LETTER})", re.I)
+SPELLED_PART = re.compile(rf"({PLUS})|({WORD}(?!{LETTER}))|({POINT})", re.I)
+HARD_AT = rf"(?:\s*[\[({{<]\s*(?:at|{SURE_AT}|@)\s*[\])}}>]\s*|\s+{SURE_AT}\s+)"
+AT = rf"(?:{HARD_AT}|\s+at\s+|\s*@\s*)"
+DOT = rf"(?:\s*[\[({{<]\s*(?:{POINT}|\.)\s*[\])}}>]\s*|\s+{POINT}\s+)"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-#: An address whose sign or dots are disguised: a bracketed at, or any at with a disguised dot in the domain.
+#: An address whose sign or dots are disguised: an at that is sure, or any at with a disguised dot in the domain.
 DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+\-]++)*+(?:{HARD_AT}{LABEL}(?:(?:\.|{DOT}){LABEL})+|{AT}{LABEL}(?:\.{LABEL})*{DOT}{LABEL}(?:(?:\.|{DOT}){LABEL})*)",
     re.I,
 )
-#: Every DISGUISED match has a bracketed at or a disguised dot, and so one of these.
-MAY_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)|\sdot\s", re.I)
-DISGUISE_PART = re.compile(rf"({HARD_AT}|\s+at\s+|\s*@\s*)|({DOT})", re.I)
+#: Every DISGUISED match has a sure at or a disguised dot, and so one of these.
+MAY_DISGUISE = re.compile(rf"[\[({{<]\s*(?:at|@|{SURE_AT}|{POINT}|\.)|\s(?:{POINT}|{SURE_AT})\s", re.I)
+DISGUISE_PART = re.compile(rf"({AT})|({DOT})", re.I)
 ODD_SIGN = re.compile("[" + re.escape("".join(LOOKALIKES) + "".join(SIGNS) + INVISIBLE) + "\uff01-\uff5e" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()) + "]")
 
 
@@ -187,7 +195,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     every = base[:]
     for kind, a, b in base_spans(r.text):
         a, b = r.source(a, b)
-        if not any(k == kind and s < b and a < e for k, s, e in base):
+        if not any(k == kind and s <= a and b <= e for k, s, e in base):
             every.append((kind, a, b))
     every.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return base, every
