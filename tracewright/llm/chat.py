@@ -14,8 +14,10 @@ digests are folded over them, so that a long conversation isn't held at once.
 Defined cases: a null text or role is empty; rows of a conversation are ordered
 by turn (nulls first), ties by role and then by text, repeated rows count each
 time; rows of a null conversation are one conversation; an empty table gives
-only what is added; extra columns aren't read; a record of unknown layout is
-an error that names its paths.
+only what is added; extra columns aren't read; fields of a record that no
+layout is known by (EXTRAS) are passed over; a record of unknown layout, null or
+no JSON goes to the rejects, counted by fingerprint; an empty list of messages
+has no turns.
 """
 
 from __future__ import annotations
@@ -31,26 +33,30 @@ from pyspark.sql import functions as F
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 
-#: Layouts: a record's paths, and where its turns are. `each` walks an array; (role, path) gives one turn; a role "=path" is read from the record; "?" marks what may be missing.
+#: Layouts: a record's paths, and where its turns are. `each` walks an array ("": the record itself); (role, path) gives one turn; a role "=path" is read from the record; a path ending in "?" may be missing, and its turn goes where it is.
 LAYOUTS = {
-    "turn row": {"paths": ["role", "text"], "turns": [("=role", ["text"])]},
-    "messages": {"paths": ["messages[].content", "messages[].role"], "each": "messages", "turns": [("=role", ["content"])]},
-    "from and value": {"paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "turns": [("=from", ["value"])], "roles": {"human": "user", "gpt": "assistant", "bot": "assistant"}},
-    "prompt and response": {"paths": ["prompt", "response"], "turns": [("user", ["prompt"]), ("assistant", ["response"])]},
-    "prompt and completion": {"paths": ["completion", "prompt"], "turns": [("user", ["prompt"]), ("assistant", ["completion"])]},
-    "system, prompt and response": {"paths": ["prompt", "response", "system"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
-    "instruction and output": {"paths": ["instruction", "output"], "turns": [("user", ["instruction"]), ("assistant", ["output"])]},
-    "instruction, input and output": {"paths": ["input", "instruction", "output"], "turns": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
-    "question and answer": {"paths": ["answer", "question"], "turns": [("user", ["question"]), ("assistant", ["answer"])]},
+    "turn row": {"paths": ["role", "text?"], "turns": [("=role", ["text"])]},
+    "messages": {"paths": ["messages[].content?", "messages[].role"], "each": "messages", "turns": [("=role", ["content"])]},
+    "no messages": {"paths": ["messages[]"], "each": "messages", "turns": []},
+    "bare messages": {"paths": ["[].content?", "[].role"], "each": "", "turns": [("=role", ["content"])]},
+    "system and messages": {"paths": ["messages[].content?", "messages[].role", "system"], "first": [("system", ["system"])], "each": "messages", "turns": [("=role", ["content"])]},
+    "from and value": {"paths": ["conversations[].from", "conversations[].value?", "system?"], "first": [("system", ["system"])], "each": "conversations", "turns": [("=from", ["value"])], "roles": {"human": "user", "gpt": "assistant", "bot": "assistant"}},
+    "no conversations": {"paths": ["conversations[]"], "each": "conversations", "turns": []},
+    "prompt and response": {"paths": ["prompt", "response", "system?"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
+    "prompt and completion": {"paths": ["completion", "prompt", "system?"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
+    "instruction and output": {"paths": ["input?", "instruction", "output", "system?"], "turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    "question and answer": {"paths": ["answer", "question", "system?"], "turns": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
 }
+#: Fields that no layout is known by: a path that names one is left out of the fingerprint.
+EXTRAS = frozenset("id uuid name source lang language category tags metadata meta weight score created timestamp model".split())
 
 
 def paths(record, at: str = "") -> set[str]:
-    """Nested field paths of a parsed JSON value; `[]` stands for any element."""
+    """Nested field paths of a parsed JSON value; `[]` stands for any element, or for none; EXTRAS are left out."""
     if isinstance(record, dict):
-        return {p for k, v in record.items() for p in paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in record.items() if k not in EXTRAS for p in paths(v, f"{at}.{k}" if at else k)}
     if isinstance(record, list):
-        return {p for v in record for p in paths(v, f"{at}[]")}
+        return {p for v in record for p in paths(v, f"{at}[]")} if record else {f"{at}[]"}
     return {at}
 
 
@@ -58,25 +64,47 @@ def schema_fingerprint(found: set[str] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-MAPPINGS = {schema_fingerprint(layout["paths"]): layout for layout in LAYOUTS.values()}
+def variants(layout: dict) -> list[frozenset[str]]:
+    """The sets of paths of a layout, with and without what may be missing."""
+    sets = [frozenset()]
+    for p in layout["paths"]:
+        sets = [s | {p.rstrip("?")} for s in sets] + (sets if p.endswith("?") else [])
+    return sets
 
 
-def canonical(record: dict, mappings: dict[str, dict] | None = None) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a record."""
-    found = paths(record)
-    layout = (mappings or MAPPINGS).get(schema_fingerprint(found))
-    if layout is None:
-        raise ValueError(f"no mapping for the fields {sorted(found)}")
-    roles = layout.get("roles", {})
-    turns = []
-    for item in record[layout["each"]] if "each" in layout else [record]:
-        for role, fields in layout["turns"]:
-            role = item[role[1:]] if role[0] == "=" else role
-            texts = [str(item[f]) for f in fields if item[f] not in (None, "")]
-            turns.append((roles.get(role or "", role or ""), "\n".join(texts)))
+MAPPINGS = {schema_fingerprint(v): layout for layout in LAYOUTS.values() for v in variants(layout)}
+
+
+class UnknownLayout(ValueError):
+    def __init__(self, found: set[str]):
+        self.fields, self.fingerprint = sorted(found), schema_fingerprint(found)
+        super().__init__(f"no mapping for the fields {self.fields}")
+
+
+def turns_of(record, layout: dict) -> list[tuple[str, str]]:
+    roles, turns = layout.get("roles", {}), []
+    items = (record[layout["each"]] if layout["each"] else record) if "each" in layout else [record]
+    for item, wanted in [(record, layout.get("first", ())), *((i, layout["turns"]) for i in items)]:
+        for role, fields in wanted:
+            if role[0] != "=" and not any(f in item for f in fields):
+                continue
+            role = (item.get(role[1:]) or "") if role[0] == "=" else role
+            texts = [x if isinstance(x, str) else json.dumps(x) for f in fields if (x := item.get(f)) not in (None, "")]
+            turns.append((roles.get(role, str(role)), "\n".join(texts)))
     return turns
 
 
+def canonical(record, mappings: dict[str, dict] | None = None, known: dict[frozenset, dict | None] | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a record; known remembers the mapping of sets of paths met before."""
+    found = frozenset(paths(record))
+    known = {} if known is None else known
+    if found not in known:
+        known[found] = (MAPPINGS if mappings is None else mappings).get(schema_fingerprint(found))
+    if known[found] is None:
+        raise UnknownLayout(found)
+    return turns_of(record, known[found])
+
+
 def escape(text: str) -> str:
     return re.sub(r"<(~*)\|", r"<~\1|", text)
 
@@ -113,19 +141,42 @@ def read_turns(formatted: str) -> list[tuple[str, str, tuple[int, int] | None]]:
     return turns
 
 
-def format_records(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
-    """The columns keep and `segment`: the formatted turns of the JSON record in column record. Any layout of LAYOUTS, mixed as they come."""
+def read_records(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
+    """The columns keep of every row, and `segment`: the formatted turns of the JSON record in column record, any layout of LAYOUTS, mixed as they come.
+
+    Where no layout fits (or the record is null or no JSON), segment is null, and
+    fingerprint and fields say what was met.
+    """
     names = [f"c{i}" for i in range(len(keep))]
     source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{record}`").alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[frozenset, dict | None] = {}
         for batch in batches:
             *kept, records = batch.columns
-            out = ["".join(format_turn(*turn) for turn in canonical(json.loads(r))) for r in records.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.string())], [*names, "segment"])
+            out = []
+            for r in records.to_pylist():
+                try:
+                    out.append(("".join(format_turn(*turn) for turn in canonical(json.loads(r or ""), None, known)), None, None))
+                except UnknownLayout as e:
+                    out.append((None, e.fingerprint, ", ".join(e.fields)))
+                except json.JSONDecodeError:
+                    out.append((None, "", "no JSON"))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.string()) for c in columns)], [*names, "segment", "fingerprint", "fields"])
+
+    made = source.mapInArrow(run, source.select(*names).schema.add("segment", "string").add("fingerprint", "string").add("fields", "string"))
+    return made.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "segment", "fingerprint", "fields")
+
+
+def format_records(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
+    """The columns keep and segment of the rows whose layout is known."""
+    return read_records(df, record, keep).filter("segment IS NOT NULL").drop("fingerprint", "fields")
+
 
-    made = source.mapInArrow(run, source.select(*names).schema.add("segment", "string"))
-    return made.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "segment")
+def rejects(df: DataFrame, record: str) -> DataFrame:
+    """Layouts that no mapping knows: fingerprint, fields and how many records have them."""
+    return read_records(df, record, []).filter("segment IS NULL").groupBy("fingerprint", "fields").agg(F.count("*").alias("n_records"))
 
 
 def turn_record(role: Column, text: Column) -> Column:
@@ -138,22 +189,25 @@ def message_record(turns: list[tuple[str, str]]) -> str:
 
 
 def format_conversations(turns: DataFrame, added: list[tuple[int, str]] = ()) -> DataFrame:
-    """(conv_id, turn, role, text, segment) of rows by turn, and of added (conv_id, JSON record)."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), turn_record(F.col("role"), F.col("text")).alias("record"))
+    """(conv_id, turn, segment) of rows by turn, and of added (conv_id, JSON record)."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), turn_record(F.col("role"), F.col("text")).alias("record"))
     if added:
-        more = turns.sparkSession.createDataFrame([(i, 0, "", "", r) for i, r in added], "conv_id long, turn long, role string, text string, record string")
+        more = turns.sparkSession.createDataFrame([(i, 0, r) for i, r in added], "conv_id long, turn long, record string")
         rows = rows.unionByName(more)
-    return format_records(rows, "record", ["conv_id", "turn", "role", "text"])
+    return format_records(rows, "record", ["conv_id", "turn"])
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from the segments in order.
 
-    Conversations are dealt by id and sorted; one streams through its task row
-    by row, with two running digests as all that is held.
+    Conversations are dealt by id and sorted, ties by role and text as read from
+    the segment, which alone is dealt out; one streams through its task row by
+    row, with two running digests as all that is held.
     """
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "segment")
+    line = F.instr("segment", "\n")
+    text = F.regexp_replace(F.substring(F.col("segment"), line + 1, F.length("segment")), r"<~(~*)\|", "<$1|")
+    dealt = formatted.select("conv_id", "turn", "segment").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", F.substring(F.col("segment"), F.lit(1), line), text).select("conv_id", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(rows: list[tuple]) -> pa.RecordBatch:
