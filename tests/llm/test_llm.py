@@ -473,7 +473,23 @@ def check_dedup(rows, texts, keep):
 def test_dedup(documents, awkward, digest):
     """A digest of three values makes texts collide; bytes decide."""
     check_dedup(dedup.deduplicate(documents, digest=digest).collect(), [(r["doc_id"], r["text"]) for r in documents.collect()], max)
-    check_dedup(dedup.deduplicate(awkward, "smallest", digest=digest).collect(), [(r[0], r[1]) for r in AWKWARD], min)
+    check_dedup(dedup.deduplicate(documents.repartition(5), digest=digest, levels=3).collect(), [(r["doc_id"], r["text"]) for r in documents.collect()], max)
+    check_dedup(dedup.deduplicate(awkward.repartition(3), "smallest", digest=digest).collect(), [(r[0], r[1]) for r in AWKWARD], min)
+
+
+def test_dedup_with_saturated_filters_and_hot_digests(spark, documents, monkeypatch):
+    """Filters of one bucket let nearly all rows pass; every hit is hot."""
+    monkeypatch.setattr(dedup, "MAX_BITS", 64)
+    monkeypatch.setattr(dedup, "BUCKET_BITS", 64)
+    monkeypatch.setattr(dedup, "HOT", 1)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(10**6 + i, "THE hot text") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_dedup(dedup.deduplicate(df).collect(), rows, max)
+
+
+def test_dedup_without_copies(spark):
+    rows = [(i, f"text {i}") for i in range(50)]
+    check_dedup(dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), rows, max)
 
 
 def test_dedup_empty(empty):
@@ -482,9 +498,24 @@ def test_dedup_empty(empty):
 
 def test_levels_merge(documents):
     half = documents.filter("doc_id % 2 = 0"), documents.filter("doc_id % 2 = 1")
-    one = dedup.compact(dedup.flush(documents))
-    two = dedup.compact(dedup.compact(dedup.flush(half[0])), dedup.flush(half[1]))
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    rows = lambda level: sorted((bytes(r["digest"]), r["low"], r["high"], r["n"]) for r in level.collect())
+    one = rows(dedup.compact(dedup.flush(documents)))
+    levels = [dedup.compact(dedup.flush(h)) for h in half]
+    assert one == rows(dedup.compact(levels[0], dedup.flush(half[1]))) == rows(dedup.merge(*levels))
+    runs = dedup.flush(documents.repartition(7))
+    assert runs.select("run").distinct().count() == 7
+    assert one == rows(dedup.index(runs, 1)) == rows(dedup.index(runs, 2)) == rows(dedup.index(runs, 5))
+
+
+def test_a_filter_that_says_no_is_believed(documents):
+    """Levels meet through their filters alone: with empty bitmaps nothing would be merged."""
+    level = dedup.compact(dedup.flush(documents))
+    bits = dedup.filter_bits(level.count())
+    assert dedup.probed(level, dedup.digest_filter(level, bits), bits).filter("NOT maybe").count() == 0
+    assert dedup.probed(level, dedup.digest_filter(level, bits).limit(0), bits).filter("maybe").count() == 0
+    other = dedup.compact(dedup.flush(documents.selectExpr("doc_id", "concat(text, ' and more') AS text")))
+    seen = dedup.probed(other, dedup.digest_filter(level, bits), bits)
+    assert seen.filter("maybe").count() < 0.2 * seen.count()
 
 
 # 10
@@ -507,12 +538,37 @@ def test_urls(spark):
     rows = [(i, rng.choice(["http://", "https://", "://", "", "x"]) + rng.choice(hosts) + rng.choice(tails)) for i in range(1500)] + [(2000, None), (2000, None), (None, "http://a.net/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("key", F.lit(1)).withColumn("stack", F.lit(1))
     rules = [*urls.RULES, ("block", "a.example.net", "/en/"), ("allow", "b.a.example.net", "/"), ("allow", "net", "/en/x"), ("block", "net", "/en/x")]
-    got = urls.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string"), sweep=400).collect()
+    got = urls.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
     want = [(i, *slow_judge(u, rules, "allow")) for i, u in rows]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_urls_by_thousands_of_rules(spark):
+    """Nested hosts and paths, many rules on one host, a hot host, and a very long url."""
+    rng = random.Random(10)
+    label = lambda: rng.choice("abc")
+    host = lambda n: ".".join([*(label() for _ in range(rng.randrange(n))), rng.choice(["net", "org", "hot.com"])])
+    path = lambda n: "".join(rng.choice(["/a", "/b", "x", "/", "\U0010ffff", " "]) for _ in range(rng.randrange(n)))
+    rules = [(rng.choice(["allow", "block", "BLOCK"]), host(4), path(7)) for _ in range(2500)] + [("block", "hot.com", f"/p{i}") for i in range(1500)] + [("allow", "hot.com", None), ("block", "", "/"), ("allow", "A.net", "/")]
+    rows = [(i, f"http://{host(6)}{path(10)}") for i in range(2500)] + [(i, f"http://hot.com/p{rng.randrange(3000)}/q") for i in range(1500)] + [(-1, "http://a.b.net/" + "a/" * 100_000), (-2, f"http://{'a.' * 1000}net/a")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
+    by_key = collections.defaultdict(dict)
+    for v, h, p in rules:
+        if h:
+            by_key[lower(h)][p or ""] = max(by_key[lower(h)].get(p or "", ""), v.lower())
+    want = []
+    for i, u in rows:
+        h, p = (u.split("://")[1].split("/", 1) + [None])[:2]
+        p = "" if p is None else "/" + p
+        fits = [(len(x) + len(q), len(x), by_key[x][q], x + q) for x in {".".join(h.split(".")[k:]) for k in range(h.count(".") + 1)} & by_key.keys() for q in by_key[x] if p.startswith(q)]
+        best = max(fits, default=None)
+        want.append((i, h, p, best and best[3], best[2] if best else "allow"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_urls_empty(spark):
     rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0

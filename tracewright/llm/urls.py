@@ -2,19 +2,22 @@
 
 A host's labels in reverse, each ended by a sign that sorts below all others,
 make a key; a rule on a host is then the interval of keys that begin with the
-rule's key. Rules' intervals are nested or apart, so a sweep over the sorted
-ends of intervals and urls keeps a stack: each end carries the rules that are
-active after it, and a url meets the stack of the last end before its key.
-Among those, rules whose path begins the url's path fit, and the longest
-(host and path; then the longer host) decides.
+rule's key, and a rule's path the interval of paths that begin with it. Such
+intervals are nested or apart, so one sweep over sorted starts and urls keeps a
+stack: each start carries the intervals that hold it, itself included, and what
+holds a url is among the stack of the last start before it.
 
-Urls are dealt by a hash of the row into sweeps of about SWEEP rows, each with
-all ends; hosts with a third of all pages are spread like others.
+Two sweeps: by host key, which gives a url the hosts that have rules for it (at
+most as many as it has labels), and by (host, path) for each of these, which
+gives the longest path. Sorted rows are dealt by ranges, urls of one key being
+spread by a hash, and the last start of the ranges before is carried into each;
+so neither the rules of a host nor the urls of a host meet in one task.
 
 Defined cases: a null url or one without `://` has an empty host and path and
-the default verdict; an empty host fits no rule; of rules with equal host and
-path `block` wins; repeated rows are judged each by itself; an empty table
-gives an empty result; extra columns aren't read.
+the default verdict; an empty host fits no rule; a rule without a path has an
+empty one, which any path begins with; of rules with equal host and path `block`
+wins, of equal length the longer host; repeated rows are judged each by itself;
+an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, UPPER
+from tracewright.llm.common import LOWER, UPPER, cut
 
-#: Pages of a sweep at least; with many rules, EACH pages for an end of an interval, so that copies of the ends stay a small part.
-SWEEP, EACH = 5_000, 4
 #: Rules: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -46,38 +47,55 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(labels), "\x01"), F.lit("\x01"))
 
 
-def rule_ends(rules: DataFrame) -> DataFrame:
-    """(key, closes, stack): the ends of the hosts' intervals and the rules active after each.
-
-    The stack of a host is its own rules and those of its ancestors, found by an
-    equal join on the ancestors' keys; a closing end carries its parent's.
-    """
-    r = rules.select(F.lower("verdict").alias("verdict"), F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")).filter("host <> ''")
-    r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    one = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "host", "path", "verdict")
-    own = r.groupBy("host").agg(F.collect_list(one).alias("own"))
+def host_starts(rules: DataFrame) -> DataFrame:
+    """(key, stack): where the interval of a host with rules starts, and the hosts whose intervals hold it, found by an equal join on its ancestors."""
+    hosts = rules.select("host").distinct()
     labels = F.split("host", r"\.", -1)
-    up = own.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("above"))
-    above = up.join(own.select(F.col("host").alias("above"), "own"), "above")
-    stacks = above.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("stack"), F.flatten(F.collect_list(F.when(F.col("above") != F.col("host"), F.col("own")))).alias("outer"))
-    key = host_key(F.col("host"))
-    opens = stacks.select(key.alias("key"), F.lit(0).alias("rank"), "stack")
-    closes = stacks.select(F.concat(F.substring(key, F.lit(1), F.length(key) - 1), F.lit("\x02")).alias("key"), (-F.length("host")).alias("rank"), F.col("outer").alias("stack"))
-    # at one key only closes meet; the outermost comes last and leaves what is outside all of them
-    return opens.unionByName(closes)
-
-
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep: int = SWEEP, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    up = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("above"))
+    above = up.join(hosts.select(F.col("host").alias("above")), "above")
+    return above.groupBy("host").agg(F.sort_array(F.collect_list("above")).alias("stack")).select(host_key(F.col("host")).alias("key"), "stack")
+
+
+def path_starts(rules: DataFrame) -> DataFrame:
+    """(rule_host, key, stack): where the interval of a rule's path starts, and the rules of its host whose intervals hold it."""
+    rule = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "host", "path", "verdict")
+    own = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("prefix"), rule.alias("rule"))
+    ways = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("key"), F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+    ways = ways.withColumn("prefix", F.substring(F.col("key"), F.lit(1), F.col("n"))).drop("n")
+    return ways.join(own, ["rule_host", "prefix"]).groupBy("rule_host", "key").agg(F.collect_list("rule").alias("stack"))
+
+
+def swept(rows: DataFrame, starts: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `stack`: that of the last start at or before each row in `order` (null: there is none); row_no spreads rows of one key."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = rows.withColumn("__rank", F.lit(1)).unionByName(starts.withColumn("__rank", F.lit(0)), allowMissingColumns=True)
+    spread = F.when(F.col("__rank") == 1, F.xxhash64("row_no"))
+    dealt = cut(both.withColumn("__spread", spread).repartitionByRange(n, *order, "__rank", "__spread").drop("__spread").withColumn("__range", F.spark_partition_id()), "ranges")
+    last = dealt.filter("__rank = 0").groupBy("__range").agg(F.max_by("stack", F.struct(*order)).alias("__last"))
+    # one row a range: n rows at most, in the window and in the broadcast
+    every = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("__range")).join(last, "__range", "left")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(F.col("__range").alias("__r"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    inside = Window.partitionBy("__range").orderBy(*order, "__rank").rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.withColumn("__open", F.last("stack", ignorenulls=True).over(inside)).filter("__rank = 1")
+    joined = held.join(F.broadcast(carried), F.col("__range") == F.col("__r"))
+    return joined.withColumn("stack", F.coalesce("__open", "__carried")).drop("__open", "__carried", "__r", "__range", "__rank")
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages."""
     host, path = split_url(F.col(url))
-    ends = rule_ends(rules)
-    n = max(1, -(-pages.select(page_id).count() // max(sweep, EACH * ends.count())))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.select(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(n)).cast("int").alias("deal"), host_key(F.col("host")).alias("key"), F.lit(1).alias("rank"), "page_id", "host", "path")
-    ends = ends.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = rows.unionByName(ends, allowMissingColumns=True)
-    order = Window.partitionBy("deal").orderBy("key", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).filter("rank = 1")
-    fits = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(fits)
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    known = rules.select(F.lower("verdict").alias("verdict"), F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")).filter("host <> ''")
+    known = cut(known.groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "rules")
+    rows = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    by_host = swept(rows.withColumn("key", host_key(F.col("host"))), host_starts(known), ["key"])
+    active = F.filter("stack", lambda h: F.startswith(F.col("key"), host_key(h)))
+    by_host = cut(by_host.withColumn("active", F.coalesce(active, F.array().cast("array<string>"))).select("row_no", "page_id", "host", "path", "active"), "hosts")
+    wide = by_host.filter(F.size("active") > 0).select("row_no", "page_id", "host", F.col("path").alias("key"), F.explode("active").alias("rule_host"))
+    by_path = swept(wide, path_starts(known), ["rule_host", "key"])
+    # a stack of another host than the row's is what the sweep left before the first rule of its host
+    fits = F.filter("stack", lambda r: (r["host"] == F.col("rule_host")) & F.startswith(F.col("key"), r["path"]))
+    best = by_path.groupBy("row_no", "page_id", "host", F.col("key").alias("path")).agg(F.max(F.array_max(fits)).alias("best"))
+    judged = best.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    free = by_host.filter(F.size("active") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.unionByName(free)
