@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,8 +34,8 @@ from tracewright.llm.common import cut
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 CAPACITY = (2048, 256, 2048)
-#: Pieces that are packed together in one task; rests are cut at this length; distinct chunks of text a worker remembers.
-GROUP, MAX_REST, REMEMBERED = 8192, 1024, 400_000
+#: Pieces that are packed together in one task; rests are cut at this length; bytes of chunks and ids that a worker remembers, and what an entry takes beside them.
+GROUP, MAX_REST, REMEMBERED, ENTRY = 8192, 1024, 192 << 20, 170
 END_ID = 1
 
 
@@ -104,7 +106,13 @@ class WordEncoder:
         self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __call__(self, word: bytes) -> bytes:
-        return np.array([self.ids[r] for r in self.encode(word + b"\xff")], "<u4").tobytes()
+        ids = [self.ids[r] for r in self.encode(word + b"\xff")]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def loaded() -> dict[str, tuple]:
+    """Tokenizer, word encoder and remembered chunks by path, for as long as the process lives: in a module of its own, since this one reaches executors by value, anew with each task."""
+    return sys.modules.setdefault("_tracewright_loaded", types.ModuleType("_tracewright_loaded")).__dict__.setdefault("chunks", {})
 
 
 class ChunkTokenizer:
@@ -114,7 +122,8 @@ class ChunkTokenizer:
     are those of its white-space chunks in a row. A chunk of letters, with
     signs of PUNCTUATION behind them or not, is a word and a run of signs; all
     other chunks go to the tokenizer itself. Ids of chunks and words are
-    remembered for as long as the worker lives, up to a bound.
+    remembered for as long as the worker lives, up to REMEMBERED bytes (and
+    those of one text).
     """
 
     PUNCTUATION = b".,;:!?|"
@@ -123,13 +132,14 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        known = tokenizers.__dict__.setdefault("_chunks", {})  # of this process, whatever task it runs
+        known = loaded()
         if path not in known:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             words = spec["model"].get("end_of_word_suffix") == "</w>" and "[\\p{L}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
             known[path] = (tokenizers.Tokenizer.from_file(path), WordEncoder(spec) if words else None, {}, {})
         self.tokenizer, self.encoder, self.seen, self.words = known[path]
+        self.held = sum(len(k) + len(v) + ENTRY for d in (self.seen, self.words) for k, v in d.items())
 
     def _whole(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -149,9 +159,8 @@ class ChunkTokenizer:
             word = low.encode()
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
             ids = self.words[word] = self.encoder(word)
+            self.held += len(word) + len(ids) + ENTRY
         if len(body) == len(chunk):
             return ids
         tail = chunk[len(body) :]
@@ -164,12 +173,14 @@ class ChunkTokenizer:
         for text in texts:
             chunks = (text or b"").split()
             if new := set(chunks).difference(seen):
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                    new = set(chunks)
                 for c in new:
-                    seen[c] = self._chunk(c)
+                    ids = seen[c] = self._chunk(c)
+                    self.held += len(c) + len(ids) + ENTRY
             yield b"".join(map(seen.__getitem__, chunks))
+            if self.held > REMEMBERED:
+                seen.clear()
+                self.words.clear()
+                self.held = 0
 
 
 def piece_bounds(n: int, length: int, max_rest: int) -> list[tuple[int, int]]:
@@ -242,6 +253,34 @@ def place(parts: DataFrame, capacity: tuple[int, int, int] = CAPACITY, group: in
     return dealt.mapInArrow(run, parts.schema.add("sequence_id", "long").add("offset", "long"))
 
 
+def instruction_examples(turns: DataFrame, tokenizer: str | None = None, loss_roles: tuple[str, ...] = ("assistant",), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """d, length, loss, turns and slot of each conversation: its tokens (each turn's ids and an end id), those of loss_roles, and its turns.
+
+    Turns are tokenised where they lie, and only their counts are summed.
+    """
+    path = tokenizer or tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = ChunkTokenizer(path)
+        for batch in batches:
+            sizes = [len(b) // 4 + 1 for b in chunks.ids(batch.column(2).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["d", "r", "n"])
+
+    source = turns.select(F.col(f"`{conv_id}`").alias("d"), F.col(f"`{role}`").alias("r"), F.col(f"`{text}`").alias("t"))
+    kind = source.schema["d"].dataType.simpleString()
+    counted = source.mapInArrow(run, f"d {kind}, r string, n long")
+    bears = F.coalesce(F.col("r").isin(*loss_roles), F.lit(False))
+    sums = counted.groupBy("d").agg(F.sum("n").alias("length"), F.sum(F.when(bears, F.col("n")).otherwise(0)).alias("loss"), F.count("*").alias("turns"))
+    return cut(sums.withColumn("slot", F.monotonically_increasing_id()), "examples")
+
+
+def pack_instructions(turns: DataFrame, tokenizer: str | None = None, capacity: tuple[int, int, int] = CAPACITY, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Whole conversations placed under limits on tokens, segments and loss-bearing tokens; and those that no sequence can hold, which aren't placed."""
+    examples = instruction_examples(turns, tokenizer)
+    fits = (F.col("length") <= capacity[0]) & (F.col("loss") <= capacity[2])
+    return place(examples.filter(fits), capacity, group).drop("slot"), examples.filter(~fits).drop("slot")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     if "public_tokenizers" not in sys.modules:
         import public_tokenizers  # noqa: F401
