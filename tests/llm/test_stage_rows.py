@@ -2,6 +2,9 @@
 
 import collections
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tracewright.llm import mixing
 
@@ -32,3 +35,43 @@ def test_mix_takes_rows_by_themselves(spark):
     sizes = {len(t.split()): t for _, t, *_ in rows}
     want = collections.Counter({sizes[r["size"]]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(df).collect()})
     assert got == +want and got[rows[0][1]] > 0
+
+
+CLASH = ["key", "digest", "id", "row", "times", "maybe", "n", "root", "keeps", "kept_id", "size", "h"]
+
+
+@pytest.mark.parametrize("most", [pipeline.BROADCAST, 0])
+def test_stages_on_an_awkward_table(spark, monkeypatch, most):
+    """Null and shared ids, null, empty and very long texts, repeated rows, clashing columns; groups broadcast or joined through their filter."""
+    monkeypatch.setattr(pipeline, "BROADCAST", most)
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join(words[:50] + ["x"] + words[51:]), " ".join(words)]
+    rows = [*ROWS, (11, near[0], "en", "a", 1), (12, near[1], "en", "a", 1), (12, near[1], "en", "a", 1), (None, near[1] + " end", "en", "b", 1), (13, "word " * 30_000, "en", "b", 1), (14, "x" * 70_000, "en", "b", 1), (15, " \t ", "en", "c", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for i, c in enumerate(CLASH):
+        df = df.withColumn(c, F.lit(i))
+    near_kept = pipeline.near_dedup(spark, df, "")
+    got = collections.Counter(tuple(r)[:5] for r in near_kept.collect())
+    assert near_kept.columns == df.columns and all(tuple(r)[5:] == tuple(range(len(CLASH))) for r in near_kept.collect())
+    # of equal texts (null, empty, white space: no words) and near copies the smallest id, one row
+    assert got == collections.Counter([ROWS[0], ROWS[2], min(ROWS[3:5]), ROWS[5], ROWS[7], ROWS[8], ROWS[10], rows[12], rows[16], rows[17]])
+    exact = pipeline.exact_dedup(spark, df, "")
+    got = collections.Counter(tuple(r)[:5] for r in exact.collect())
+    assert exact.columns == df.columns
+    assert got == collections.Counter([ROWS[0], ROWS[2], min(ROWS[3:5]), ROWS[6], ROWS[7], ROWS[8], ROWS[11], *rows[12:14], *rows[15:]])
+    mixed = pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns and all(r["text"] and r["text"].split() for r in mixed.collect())
+    lettered = pipeline.identify_language(spark, df, "")
+    assert lettered.columns == df.columns and not {r["doc_id"] for r in lettered.collect()} & {7, 8, 15}
+    tokens = collections.defaultdict(set)
+    for r in pipeline.pack(spark, df, "").collect():
+        tokens[r["doc_id"]].add(r["doc_tokens"])
+    assert set(tokens) == {r[0] for r in rows} and tokens[7] == tokens[8] == tokens[15] == {1}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
