@@ -10,16 +10,16 @@ from tracewright.functions.text import first_box
 from tracewright.operators import rewards as ops
 from tracewright.plans.evaluation import VERIFY
 from tracewright.plans.inputs import table
-from tracewright.plans.registry import query
+from tracewright.plans.registry import ORACLE_SQL, query
 
 #: A completion for each order: parts of a trace that are there or not by the digits of its key.
 LINES = [
     (2, "We need to find the rule.", "Hello."),
     (3, "Prior knowledge for this kind of question:\n1. a\n2. b\n3. c\n4. d\n5. e\n6. f", "No prior."),
     (5, "Now start to traverse the solution tree, reading order = [rightward, leftward]:", "tree"),
-    (2, "\u00a71 reading rightward:\n\u00a71.1 writing equations:\n\u00a71.4 done", "reading"),
-    (4, "~add and ~sub, lock f = a+b, then lock g = |a-b|", "~div, lock f = a/b, LHS \u2208 set"),
-    (3, "  Conclusion of step \u00a71: {f = a+b, g = unknown}, 1 of 2 resolved. Need to try reading leftward.\n\u00a72 reading leftward:", "  Conclusion of step \u00a71: {f = a+b, g = a-b}, 2 of 2 resolved. This is the answer."),
+    (2, "§1 reading rightward:\n§1.1 writing equations:\n§1.4 done", "reading"),
+    (4, "~add and ~sub, lock f = a+b, then lock g = |a-b|", "~div, lock f = a/b, LHS ∈ set"),
+    (3, "  Conclusion of step §1: {f = a+b, g = unknown}, 1 of 2 resolved. Need to try reading leftward.\n§2 reading leftward:", "  Conclusion of step §1: {f = a+b, g = a-b}, 2 of 2 resolved. This is the answer."),
     (7, "  Summary: Confirm reading order = rightward, f = a+b", "  Summary: Confirm reading order = upward, f = a+b"),
     (5, "Now solve the QUERY f: map the digits back to symbols", "Now guess"),
 ]
@@ -84,36 +84,56 @@ def termination(spark, sf_dir):
 
 @query("R7_solver_alignment")
 def solver_alignment(spark, sf_dir):
-    gold = F.lit("Conclusion of step \u00a71: {f = a+b, g = a-b}, 2 of 2 resolved.")
+    gold = F.lit("Conclusion of step §1: {f = a+b, g = a-b}, 2 of 2 resolved.")
     return ids(completions(spark, sf_dir), ops.scored(ops.solver_alignment, F.col("text"), gold))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with two examples and a query, and completions that read them with a fault by a hash of the key: none, a wrong sign, signs not split, a line left out, a line twice, an operator named wrongly."""
     k = F.col("o_orderkey")
+    fault = F.pmod(F.conv(F.substring(F.md5(k.cast("string").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(6))
     a, b = (k % 90 + 10).cast("string"), (k % 80 + 11).cast("string")
-    prompt = F.concat(F.lit("examples:\n"), a, F.lit("+"), b, F.lit(" = 77\nNow, determine the result for: "), b, F.lit("+"), a)
+    prompt = F.concat(F.lit("examples:\n"), a, F.lit("+"), b, F.lit(" = 77\n"), b, F.lit("*"), a, F.lit("= 5 \nNow, determine the result for: "), b, F.lit("+"), a)
     spaced = lambda s: F.array_join(F.split(s, ""), " ")
-    line = F.concat(a, F.when(k % 3 == 0, "-").otherwise("+"), b, F.lit("=77"))
-    text = F.concat(F.lit("read each equation one symbol\n+ -> f\nEX1 "), a, F.lit("+"), b, F.lit("=77 becomes "), spaced(line), F.lit("\nQUERY "), b, F.lit("+"), a, F.lit(" becomes "), spaced(F.concat(b, F.lit("+"), a)))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), prompt.alias("prompt"), text.alias("text"))
+    first = F.concat(a, F.when(fault == 1, "-").otherwise("+"), b, F.lit("=77"))
+    first = F.when(fault == 2, first).otherwise(spaced(first))
+    second = F.concat(F.lit("EX2 "), b, F.lit("*"), a, F.lit("=5 becomes "), spaced(F.concat(b, F.when(fault == 5, "*").otherwise("g"), a, F.lit("=5"))))
+    lines = [
+        F.lit("read each equation one symbol"), F.when(fault == 5, "* -> f").otherwise("+ -> f"), F.lit("* -> g"), F.concat(F.lit("EX1 "), a, F.lit("+"), b, F.lit("=77 becomes "), first),
+        F.when(fault != 3, second), F.when(fault == 4, F.concat(F.lit("EX1 "), b, F.lit(" becomes 1"))), F.concat(F.lit("QUERY "), b, F.lit("+"), a, F.lit(" becomes "), spaced(F.concat(b, F.lit("f"), a))),
+    ]
+    return table(spark, sf_dir, "orders").select(k.alias("id"), fault.alias("fault"), prompt.alias("prompt"), F.concat_ws("\n", *lines).alias("text"))
 
 
-@query("R8_crypt_parse", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0.85 ELSE 1.5 END::DOUBLE AS score FROM orders")
+FAULT = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6)) AS BIGINT) % 6"
+
+
+@query("R8_crypt_parse", f"SELECT o_orderkey AS id, round(CASE {FAULT} WHEN 1 THEN 0.5 - 0.45 WHEN 2 THEN 0.5 - 0.45 WHEN 3 THEN 0.5 + 1/3 - 0.15 WHEN 5 THEN 2/3 - 0.15 + 0.2 - 0.3 ELSE 0.5 + 1/3 - 0.3 END, 6)::DOUBLE AS score FROM orders")
 def crypt_parse(spark, sf_dir):
-    return ids(parsed(spark, sf_dir), ops.scored(ops.crypt_parse, F.col("prompt"), F.col("text")))
+    return ids(parsed(spark, sf_dir), ops.crypt_parse(F.col("prompt"), F.col("text")))
 
 
-@query("R9_equation_parse", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS score FROM orders")
+@query("R9_equation_parse", f"SELECT o_orderkey AS id, round(CASE {FAULT} WHEN 1 THEN 0.3 + 0.05 + 0.2 WHEN 3 THEN 0.3 + 0.05 + 0.2 WHEN 5 THEN -0.3 + 0.5 - 0.2 ELSE 1 END, 6)::DOUBLE AS score FROM orders")
 def equation_parse(spark, sf_dir):
-    return ids(parsed(spark, sf_dir), ops.scored(ops.equation_parse, F.col("prompt"), F.col("text")))
+    return ids(parsed(spark, sf_dir), ops.equation_parse(F.col("prompt"), F.col("text")))
+
+
+#: Each reward's own SQL, side by side; the prompt is one that no completion reads.
+STACKED = dict(zip("final_answer conclusion query skeleton vocab termination".split(), [f"R{i}" for i in range(1, 7)], strict=True))
+R10 = "SELECT o.id, parse, {cols}, round(parse + {total}, 6)::DOUBLE AS score FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN -0.9 ELSE -0.7 END::DOUBLE AS parse FROM orders) o {joins}".format(
+    cols=", ".join(f"{r}.score AS {n}" for n, r in STACKED.items()), total=" + ".join(f"{r}.score" for r in STACKED.values()),
+    joins=" ".join(f"JOIN ({next(sql for name, sql in ORACLE_SQL.items() if name.startswith(r + '_'))}) {r} ON o.id = {r}.id" for r in STACKED.values()),
+)
 
 
-@query("R10_stacks")
+@query("R10_stacks", R10)
 def stacks(spark, sf_dir):
-    """Every completion under the stack of its category alone."""
-    text, category = F.col("text"), F.col("category")
-    stack = [ops.final_answer(text, F.col("gold"), category, F.col("pool")), ops.conclusion_semantic(text, category), ops.solve_query_remap(text, category), ops.skeleton_alignment(text, category, F.lit(4)), ops.closed_vocabulary(text), ops.termination(text, F.col("tokens"), F.lit(2000))]
-    return ids(completions(spark, sf_dir), ops.by_category(category, {"cryptarithm": stack, "equation_numeric": stack}))
+    """Every completion under the seven rewards of its category's stack, and their sum; each reward is planned once."""
+    c = completions(spark, sf_dir).withColumn("prompt", F.concat(F.lit("examples:\n12+34 = 46\nNow, determine the result for: 56+78")))
+    row = {x: F.col(x) for x in ("text", "category", "gold", "pool", "tokens", "prompt")} | {"examples": F.lit(4), "limit": F.lit(2000)}
+    found = ops.masked(F.col("category"), ops.stacks(row))
+    each = c.select("id", *(score.alias(name) for name, score in found.items()))
+    return each.withColumn("score", F.round(sum((F.col(n) for n in found), F.lit(0.0)), 6))
 
 
 @query("R11_scale", f"SELECT id, round(CASE WHEN id % 3 = 0 THEN s ELSE s * (id % 3) END, 6)::DOUBLE AS score FROM (SELECT id, CASE WHEN id % 5 = 0 THEN -0.3 ELSE 0.3 END AS s FROM ({COMPLETIONS}))")
@@ -132,6 +152,7 @@ def cosine(spark, sf_dir):
     return ids(c, ops.cosine_length(F.col("text"), F.col("box"), F.coalesce(verify(F.col("gold"), F.col("box")), F.lit(False)), 2000))
 
 
-@query("R12_reasoning_quality")
+@query("R12_reasoning_quality", rf"""SELECT id, round(CASE WHEN regexp_matches(lower(text), 'step\s*\d|example\s*\d|first|then|therefore|thus') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '[=×÷+\-*/^]') THEN 0.2 ELSE 0 END + CASE WHEN instr(text, '\boxed') > 101 THEN 0.2 ELSE 0 END
+    + CASE WHEN len(w) > 10 AND len(list_distinct(w)) / len(w) > 0.3 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM ({COMPLETIONS}))""")
 def reasoning_quality(spark, sf_dir):
     return ids(completions(spark, sf_dir), ops.reasoning_quality(F.col("text")))
