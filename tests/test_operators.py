@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import balance, merge, ranges, report, rewards, solve
+from tracewright.operators import balance, bitrules, merge, ranges, report, rewards, solve
 from tracewright.sources import files
 
 
@@ -33,11 +33,11 @@ def test_word_rule_reproduces_its_examples():
     rng = random.Random(5)
     for name in rng.sample(solve.UNARY, 12):
         xs = [rng.randrange(256) for _ in range(8)]
-        rule = solve.word_rule(xs, [solve.unary_number(name, x) for x in xs])
+        rule = bitrules.word_rule(xs, [solve.unary_number(name, x) for x in xs])
         assert rule in solve.UNARY and all(solve.unary_number(rule, x) == solve.unary_number(name, x) for x in xs)
     xs = [rng.randrange(256) for _ in range(9)]
     both = [solve.unary_number("rotl3", x) ^ x for x in xs]
-    assert solve.word_rule(xs, both) == "XOR(id,rotl3)"
+    assert bitrules.word_rule(xs, both) == "XOR(id,rotl3)"
 
 
 def test_unary_columns_and_numbers_agree(spark):

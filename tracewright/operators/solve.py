@@ -114,42 +114,6 @@ def unary_rules(examples: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in UNARY))).alias("rules"))
 
 
-def word_rule(xs: list[int], ys: list[int]) -> str | None:
-    """The first rule that gives ys from xs: one unary form, AND, XOR or OR of two, majority of three, then choice. All examples are one number, so a rule is tried by a few operations."""
-    join = lambda bytes_: int.from_bytes(bytes(bytes_), "big")
-    goal, full = join(ys), (1 << 8 * len(xs)) - 1
-    form = {n: join(unary_number(n, x) for x in xs) for n in UNARY}
-    first: dict[int, str] = {}
-    for n, v in form.items():
-        first.setdefault(v, n)
-    if goal in first:
-        return first[goal]
-    names = list(first.values())  # forms that differ on these examples
-    for op, f in (("AND", int.__and__), ("XOR", int.__xor__), ("OR", int.__or__)):
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                if f(form[a], form[b]) == goal:
-                    return f"{op}({a},{b})"
-    plain = [n for n in names if not n.startswith("not_")]
-    for i, a in enumerate(plain):
-        for j in range(i + 1, len(plain)):
-            both, either = form[a] & form[plain[j]], form[a] | form[plain[j]]
-            if both & ~goal & full or goal & ~either:
-                continue  # a majority lies between the two
-            for c in plain[j + 1 :]:
-                if both | (either & form[c]) == goal:
-                    return f"MAJ({a},{plain[j]},{c})"
-    for s in plain:
-        on, off = form[s], form[s] ^ full
-        yes = [n for n in plain if n != s and form[n] & on == goal & on]
-        no = [n for n in plain if n != s and form[n] & off == goal & off]
-        for a in yes:
-            for b in no:
-                if a != b:
-                    return f"CH({s},{a},{b})"
-    return None
-
-
 # ciphered equations
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import solve as ops
 from tracewright.plans.corpus import _scratch
-from tracewright.plans.inputs import BITS, EQUATIONS, bits, equations, table
+from tracewright.plans.inputs import EQUATIONS, equations, table
 from tracewright.plans.registry import query
-from tracewright.plans.solving import CONSISTENT, SIGN_FAMILIES, ciphers, traces_of, words
+from tracewright.plans.solving import CONSISTENT, SIGN_FAMILIES, ciphers, traces_of
 
 
 @query("S5_path_discovery", "SELECT count(*) AS n FROM region")
@@ -168,30 +168,3 @@ def early_stop(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["puzzle", "nodes_saved", "changed"])
 
     return dealt(spark, sf_dir).mapInPandas(run, "puzzle long, nodes_saved int, changed boolean")
-
-
-@query("K34_global_rule", f"""SELECT puzzle, min(shift) AS shift FROM (SELECT puzzle, bit, (bit - src + 8) % 8 AS shift FROM (SELECT *, unnest(range(8)) AS src FROM (SELECT *, unnest(range(8)) AS bit FROM ({BITS})))
-    GROUP BY puzzle, bit, src HAVING bool_and(((y >> CAST(bit AS INT)) & 1) = ((x >> CAST(src AS INT)) & 1))) GROUP BY puzzle, shift HAVING count(*) = 8 QUALIFY row_number() OVER (PARTITION BY puzzle ORDER BY shift) = 1""")
-def global_rule(spark, sf_dir):
-    """Bits with several sources follow the one shift that explains all eight; the least where several do."""
-    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
-    g = bits(spark, sf_dir).groupBy("puzzle").agg(*(F.every(bit("y", b) == bit("x", (b - s) % 8)).alias(f"m{b}_{s}") for b in range(8) for s in range(8)))
-    all_bits = lambda s: F.when(sum((F.col(f"m{b}_{s}").cast("int") for b in range(8)), F.lit(0)) == 8, F.lit(s).cast("long"))
-    return g.select("puzzle", F.coalesce(*(all_bits(s) for s in range(8))).alias("shift")).filter("shift IS NOT NULL")
-
-
-@query("K35_constant_rules", f"SELECT puzzle, count(DISTINCT xor(x, y)) = 1 AS xor_constant, count(DISTINCT (y - x + 256) % 256) = 1 AS add_constant FROM ({BITS}) GROUP BY 1")
-def constant_rules(spark, sf_dir):
-    d = lambda c: F.min(c) == F.max(c)
-    return bits(spark, sf_dir).groupBy("puzzle").agg(d(F.expr("x ^ y")).alias("xor_constant"), d((F.col("y") - F.col("x") + 256) % 256).alias("add_constant"))
-
-
-@query("K18_rule_classes")
-def rule_classes(spark, sf_dir):
-    """Found rules by kind: one form, two joined, majority, choice, none."""
-    from tracewright.plans.solving import word_rule_column
-
-    w = words(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "puzzle")
-    rule = w.select(word_rule_column(F.col("xs"), F.col("ys")).alias("r"))
-    kind = F.when(F.col("r").isNull(), "none").when(F.col("r").rlike(r"^[A-Z]+\("), F.regexp_extract("r", r"^([A-Z]+)\(", 1)).otherwise("unary")
-    return rule.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators import bitrules
 from tracewright.operators import solve as ops
 from tracewright.plans.inputs import BITS, EQUATIONS, bits, equations, table
 from tracewright.plans.registry import query
@@ -147,83 +148,149 @@ def unary_rules(spark, sf_dir):
     return ops.unary_rules(bits(spark, sf_dir), "puzzle").select("puzzle", F.array_join("rules", ",").alias("rules"))
 
 
-def word_rule_column(xs: Column, ys: Column) -> Column:
-    @F.pandas_udf("string")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puzzles of bytes, one a row, dealt to more tasks than their bytes would give: rows are small and slow.
+
+    By a hash of the puzzle what the examples follow is a rotation, its XOR or AND
+    with the byte, a majority or a choice, either with a complement, a term of
+    three forms, or a sum that no rule of forms says.
+    """
+    g = bits(spark, sf_dir).groupBy("puzzle").agg(F.array_sort(F.collect_list(F.struct("ex", "x", "y"))).alias("e"))
+    kind = F.pmod(F.xxhash64("puzzle"), F.lit(9))
+    u = lambda n, x: ops.unary(n, x)
+    maj = lambda a, b, c: a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+    choose = lambda s, a, b: s.bitwiseAND(a).bitwiseOR((255 - s).bitwiseAND(b))
+    made = lambda x, y: (
+        F.when(kind == 0, y).when(kind == 1, y.bitwiseXOR(x)).when(kind == 2, y.bitwiseAND(x)).when(kind == 3, maj(x, u("rotl3", x), u("shr2f0", x))).when(kind == 4, choose(u("rotl1", x), x, u("shl3f0", x)))
+        .when(kind == 5, maj(x, u("not_rotr2", x), u("shl1f1", x))).when(kind == 6, choose(u("rotr1", x), u("not_rotl2", x), u("shr3f0", x))).when(kind == 7, u("rotl1", x).bitwiseXOR(u("shr2f0", x).bitwiseAND(u("rotl4", x)))).otherwise((x * 5 + y) % 256)
+    )
+    rows = g.select("puzzle", F.transform("e", lambda s: s["x"]).alias("xs"), F.transform("e", lambda s: made(s["x"], s["y"])).alias("ys"))
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "puzzle")
+
+
+def by_puzzle(kind: str, f) -> Column:
+    """f(xs, ys) of each puzzle, over Arrow batches."""
+
+    @F.pandas_udf(kind)
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ops.word_rule(list(map(int, a)), list(map(int, b))) for a, b in zip(x, y, strict=True)])
+        return pd.Series([f(list(map(int, a)), list(map(int, b))) for a, b in zip(x, y, strict=True)], dtype=object)
 
-    return run(xs, ys)
+    return run("xs", "ys")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = bits(spark, sf_dir).groupBy("puzzle").agg(F.array_sort(F.collect_list(F.struct("ex", "x", "y"))).alias("e"))
-    return g.select("puzzle", F.transform("e", lambda s: s["x"]).alias("xs"), F.transform("e", lambda s: F.when(F.col("puzzle") % 4 == 0, s["y"].bitwiseXOR(s["x"])).otherwise(s["y"])).alias("ys"))
+def rule_column(terms: bool) -> Column:
+    return by_puzzle("string", lambda xs, ys: bitrules.word_rule(xs, ys, terms))
 
 
 @query("K17_word_solve")
 def word_solve(spark, sf_dir):
-    """Rules of one to three forms, the first that fits in a fixed order."""
-    n = 4 * spark.sparkContext.defaultParallelism
-    return words(spark, sf_dir).repartition(n, "puzzle").select("puzzle", word_rule_column(F.col("xs"), F.col("ys")).alias("rule"))
+    """The first rule of a fixed order that all examples follow; of terms of three forms only the kind."""
+    return words(spark, sf_dir).select("puzzle", rule_column(False).alias("rule"))
+
 
+@query("K18_word_solve_full")
+def word_solve_full(spark, sf_dir):
+    """The same, with the term itself."""
+    return words(spark, sf_dir).select("puzzle", rule_column(True).alias("rule"))
 
-@query("K19_apply_word", f"SELECT puzzle, ex, (x & ((x << 1) & 255)) | (~x & 255 & (x >> 1)) AS choice, ((x & y) | (x & (y >> 1)) | (y & (y >> 1))) AS majority FROM ({BITS})")
+
+@query("K19_apply_word")
 def apply_word(spark, sf_dir):
-    x, y = F.col("x"), F.col("y")
-    half = F.shiftright(y, 1)
-    choice = x.bitwiseAND(ops.unary("shl1f0", x)).bitwiseOR(ops.unary("not_id", x).bitwiseAND(ops.unary("shr1f0", x)))
-    majority = x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(half)).bitwiseOR(y.bitwiseAND(half))
-    return bits(spark, sf_dir).select("puzzle", "ex", choice.alias("choice"), majority.alias("majority"))
+    """Rules found without a puzzle's last example, applied to that example."""
+
+    def held_out(xs, ys):
+        rule = bitrules.word_rule(xs[:-1], ys[:-1], True) if len(xs) > 1 else None
+        return None if rule is None else f"{bitrules.apply_rule(rule, xs[-1])} {rule}"
+
+    found = words(spark, sf_dir).select("puzzle", F.element_at("xs", -1).alias("x"), F.element_at("ys", -1).alias("y"), by_puzzle("string", held_out).alias("r"))
+    made = F.split("r", " ")[0].cast("int")
+    return found.select("puzzle", "x", "y", F.split("r", " ")[1].alias("rule"), made.alias("predicted"), (made == F.col("y")).alias("right"))
+
+
+def _plane_sql(i: str) -> str:
+    return f"((x >> (7 - {i})) & 1)"
+
 
+_B = {c: _plane_sql(c) for c in "abc"}
+_OP = {"AND": "({} & {})", "OR": "({} | {})", "XOR": "xor({}, {})"}
+_MAJ, _NOT = f"CAST({_B['a']} + {_B['b']} + {_B['c']} >= 2 AS INT)", "(1 - {})"
+_PAIRS = "FROM range(8) r(a), range(8) s(b)"
+_TRIPLES = "FROM range(8) r(a), range(8) s(b), range(8) t(c)"
 
-_TABLES = " UNION ALL ".join(f"SELECT {i} AS rank, '{n}' AS name, md5(string_agg(CAST({_unary_sql(n)} AS VARCHAR), ',' ORDER BY x)) AS key FROM range(256) r(x)" for i, n in enumerate(ops.UNARY))
 
+def _label_sql() -> str:
+    """Labels in order with their truth tables, by joins of small ranges."""
+    parts = [("'I' || a", "FROM range(8) r(a)", _B["a"]), ("'NOT' || a", "FROM range(8) r(a)", _NOT.format(_B["a"])), ("'C' || a", "FROM range(2) r(a)", "a")]
+    for op, f in _OP.items():
+        parts += [(f"'{op}' || a || b", f"{_PAIRS} WHERE a <> b", f.format(_B["a"], _B["b"])), (f"'{op}-NOT' || a || b", f"{_PAIRS} WHERE a <> b", f.format(_B["a"], _NOT.format(_B["b"])))]
+    parts += [("'Maj' || a || b || c", f"{_TRIPLES} WHERE a < b AND b < c", _MAJ), ("'Ch' || a || b || c", f"{_TRIPLES} WHERE a <> b AND b <> c AND a <> c", f"CASE WHEN {_B['a']} = 1 THEN {_B['b']} ELSE {_B['c']} END")]
+    parts += [(f"'NOT-{op}' || a || b", f"{_PAIRS} WHERE a < b", _NOT.format(f.format(_B["a"], _B["b"]))) for op, f in _OP.items()]
+    parts += [("'NOT-Maj' || a || b || c", f"{_TRIPLES} WHERE a < b AND b < c", _NOT.format(_MAJ))]
+    parts += [(f"'{o}' || a || '({i}' || b || c || ')'", f"{_TRIPLES} WHERE b < c AND a <> b AND a <> c", f.format(_B["a"], g.format(_B["b"], _B["c"]))) for o, f in _OP.items() for i, g in _OP.items()]
+    one = "SELECT {k} AS tier, row_number() OVER (ORDER BY {order}) AS nr, {label} AS label, (SELECT string_agg(CAST({value} AS VARCHAR), '' ORDER BY x) FROM range(256) u(x)) AS tt {rows}"
+    return " UNION ALL ".join(one.format(k=k, label=label, value=value, rows=rows, order=", ".join(c for c in "abc" if f"({c})" in rows)) for k, (label, rows, value) in enumerate(parts))
 
-@query("K20_truth_index", f"SELECT key, arg_min(name, rank) AS label, count(*) AS forms FROM ({_TABLES}) GROUP BY key")
+
+TRUTH = f"SELECT md5(tt) AS key, arg_min(label, tier * 100000 + nr) AS label, count(*) AS forms FROM ({_label_sql()}) GROUP BY 1"
+
+
+def bits_text(table: int) -> str:
+    """A truth table as 256 digits, byte 0 first."""
+    return f"{table:0256b}"[::-1]
+
+
+def truth_index_table(spark: SparkSession) -> DataFrame:
+    """(tt, label, forms): the index that a hash join looks functions up in; about 2,000 rows, made from the rule of labels."""
+    return spark.createDataFrame([(bits_text(t), label, n) for t, (_, label, n) in bitrules.truth_index().items()], "tt string, label string, forms long")
+
+
+@query("K20_truth_index", TRUTH)
 def truth_index(spark, sf_dir):
-    """Forms by truth table, the first label winning: the index that a hash join looks functions up in."""
-    x = F.col("id").cast("int")
-    key = lambda n: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x.alias("x"), ops.unary(n, x).alias("v")))), lambda s: s["v"].cast("string")), ",").cast("binary"))
-    tables = spark.range(256).coalesce(1).agg(*(key(n).alias(n) for n in ops.UNARY)).unpivot([], ops.UNARY, "name", "key")
-    ranks = spark.createDataFrame(list(enumerate(ops.UNARY)), "rank int, name string")
-    return tables.join(F.broadcast(ranks), "name").groupBy("key").agg(F.min_by("name", "rank").alias("label"), F.count("*").alias("forms"))
+    """Functions of one bit by truth table, the first label of the order winning."""
+    return truth_index_table(spark).select(F.md5(F.col("tt").cast("binary")).alias("key"), "label", "forms")
 
 
-@query("K21_decompose", f"SELECT puzzle, bit, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM (SELECT puzzle, bit, src FROM (SELECT puzzle, x, y, bit, unnest(range(8)) AS src FROM (SELECT *, unnest(range(8)) AS bit FROM ({BITS}))) GROUP BY ALL HAVING bool_and(((y >> CAST(bit AS INT)) & 1) = ((x >> CAST(src AS INT)) & 1))) GROUP BY 1, 2")
+@query("K21_decompose")
 def decompose(spark, sf_dir):
-    """Input bits that each output bit may copy: 64 conditions in one aggregate."""
-    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
-    g = bits(spark, sf_dir).groupBy("puzzle").agg(*(F.every(bit("y", b) == bit("x", s)).alias(f"m{b}_{s}") for b in range(8) for s in range(8)))
-    each = F.array(*(F.struct(F.lit(b).cast("long").alias("bit"), F.array_join(F.array_compact(F.array(*(F.when(F.col(f"m{b}_{s}"), F.lit(str(s))) for s in range(8)))), ",").alias("sources")) for b in range(8)))
-    return g.select("puzzle", F.explode(each).alias("r")).select("puzzle", "r.bit", "r.sources").filter("sources <> ''")
+    """The label of each output bit of a puzzle's rule, found by its truth table; none where no label says it."""
+    tables = by_puzzle("array<string>", lambda xs, ys: None if (r := bitrules.word_rule(xs, ys, True)) is None else [bits_text(t) for t in bitrules.rule_tables(r)])
+    each = words(spark, sf_dir).select("puzzle", F.posexplode(tables).alias("bit", "tt"))
+    return each.join(F.broadcast(truth_index_table(spark)), "tt", "left").select("puzzle", F.col("bit").cast("long").alias("bit"), F.coalesce("label", F.lit("none")).alias("label"))
 
 
-@query("K22_hypothesis_class", f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN r = '' THEN 'fallback' WHEN starts_with(r, 'not_') THEN 'complement' WHEN starts_with(r, 'id') THEN 'direct' WHEN starts_with(r, 'rot') THEN 'wrap' ELSE 'notwrap' END AS kind
-    FROM (SELECT split_part(rules, ',', 1) AS r FROM ({UNARY_RULES}))) GROUP BY 1""")
+@query("K22_hypothesis_class")
 def hypothesis_class(spark, sf_dir):
-    """Puzzles by the class of the first form that solves them."""
-    r = F.coalesce(F.try_element_at("rules", F.lit(1)), F.lit(""))
-    starts = lambda p: F.startswith(r, F.lit(p))
-    kind = F.when(r == "", "fallback").when(starts("not_"), "complement").when(starts("id"), "direct").when(starts("rot"), "wrap").otherwise("notwrap")
-    return ops.unary_rules(bits(spark, sf_dir), "puzzle").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Puzzles by the class of the rule that solves them."""
+    kind = by_puzzle("string", lambda xs, ys: bitrules.hypothesis_class(bitrules.word_rule(xs, ys, True)))
+    return words(spark, sf_dir).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("K23_near_miss", f"SELECT puzzle, bit, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n, sum(hit) = count(*) AS full, sum(hit) = count(*) - 1 AS near FROM (SELECT puzzle, bit, CAST(((y >> CAST(bit AS INT)) & 1) = ((x >> CAST(bit AS INT)) & 1) AS INT) AS hit FROM (SELECT *, unnest(range(8)) AS bit FROM ({BITS}))) GROUP BY 1, 2")
+@query("K23_near_miss")
 def near_miss(spark, sf_dir):
-    """Bits that a rule gets right in all examples, or in all but one."""
-    b = bits(spark, sf_dir).select("puzzle", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.expr("x ^ y").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0).cast("int"))).alias("bit", "hit"))
-    g = b.groupBy("puzzle", F.col("bit").cast("long").alias("bit")).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
-    return g.withColumn("full", F.col("hits") == F.col("n")).withColumn("near", F.col("hits") == F.col("n") - 1)
+    """For each output bit how many labels are right in all examples, and in all but one, and the first of each."""
+    found = by_puzzle("array<struct<full:int,near:int,first_full:string,first_near:string>>", lambda xs, ys: [{"full": len(f), "near": len(n), "first_full": f[0] if f else None, "first_near": n[0] if n else None} for f, n in bitrules.fitting_labels(xs, ys)])
+    return words(spark, sf_dir).select("puzzle", F.posexplode(found).alias("bit", "r")).select("puzzle", F.col("bit").cast("long").alias("bit"), "r.*")
 
 
-@query("K24_two_steps", "SELECT k, j, CAST(((v << j) | (v >> (8 - j))) & 255 AS INT) AS out FROM (SELECT k, j, ((37 << k) | (37 >> (8 - k))) & 255 AS v FROM (SELECT unnest(range(1, 8))::INT AS k), (SELECT unnest(range(1, 8))::INT AS j))")
+@query("K24_two_steps")
 def two_steps(spark, sf_dir):
-    """Rotations after rotations of one byte; the table of pairs has 49 rows."""
-    pairs = [(k, j) for k in range(1, 8) for j in range(1, 8)]
-    df = spark.createDataFrame(pairs, "k int, j int").withColumn("v", F.lit(None).cast("int"))
-    once = F.coalesce(*(F.when(F.col("k") == k, ops.unary(f"rotl{k}", F.lit(37))) for k in range(1, 8)))
-    df = df.withColumn("v", once)
-    return df.select("k", "j", F.coalesce(*(F.when(F.col("j") == j, ops.unary(f"rotl{j}", F.col("v"))) for j in range(1, 8))).alias("out"))
+    """The first function of a library of bytes, or pair of them, that all examples follow."""
+    found = by_puzzle("string", lambda xs, ys: None if (c := bitrules.composition(xs, ys)) is None else " then ".join(c))
+    return words(spark, sf_dir).select("puzzle", found.alias("steps"))
+
+
+@query("K34_pattern_revision")
+def pattern_revision(spark, sf_dir):
+    """Output bits that several functions fit, and those whose first label gives way to that of the puzzle's one rule."""
+    found = by_puzzle("struct<ambiguous:int,revised:int>", lambda xs, ys: dict(zip(("ambiguous", "revised"), bitrules.revised_bits(xs, ys), strict=True)))
+    return words(spark, sf_dir).select("puzzle", found.alias("r")).select("puzzle", "r.*")
+
+
+@query("K35_explored_rules")
+def explored_rules(spark, sf_dir):
+    """How many puzzles each kind of rule allows: constants, affine maps, single bits, cellular automata."""
+    kinds = by_puzzle("array<string>", lambda xs, ys: [k for k, ok in bitrules.explored(xs, ys).items() if ok])
+    return words(spark, sf_dir).select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("K32_order_sweep", f"""WITH c AS ({CONSISTENT}), p(perm) AS (VALUES ('add,mul,sub'), ('add,sub,mul'), ('mul,add,sub'), ('mul,sub,add'), ('sub,add,mul'), ('sub,mul,add'))
