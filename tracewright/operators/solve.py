@@ -119,7 +119,7 @@ def unary_rules(examples: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Cipher:
-    """Equations (a, op, b, out) of letters, one digit each, all different. Signs are known by family; the variant is found."""
+    """Equations (a, op, b, out) of letters, one digit each, all different; a negative out has a minus in front. Signs are known by family; the variant is found."""
 
     equations: list[tuple[str, str, str, str]]
     families: dict[str, list[str]]
@@ -135,13 +135,14 @@ class Cipher:
 
     def _places(self, word: str) -> dict[str, int]:
         places: dict[str, int] = {}
+        sign, word = (-1, word[1:]) if word.startswith("-") else (1, word)
         for i, c in enumerate(word if self.little_endian else reversed(word)):
-            places[c] = places.get(c, 0) + 10**i
+            places[c] = places.get(c, 0) + sign * 10**i
         return places
 
     @staticmethod
     def _bounds(places: dict[str, int], low: dict[str, int], high: dict[str, int]) -> tuple[int, int]:
-        return sum(p * low[c] for c, p in places.items()), sum(p * high[c] for c, p in places.items())
+        return sum(p * (low if p > 0 else high)[c] for c, p in places.items()), sum(p * (high if p > 0 else low)[c] for c, p in places.items())
 
     @staticmethod
     def _range(variant: str, a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
@@ -194,7 +195,7 @@ class Cipher:
                     if len(domain[c]) == 1:
                         continue
                     share = [w.get(c, 0) for w in words]
-                    rest = [(b[0] - p * low[c], b[1] - p * high[c]) for b, p in zip(bounds, share, strict=True)]
+                    rest = [(b[0] - p * (low if p > 0 else high)[c], b[1] - p * (high if p > 0 else low)[c]) for b, p in zip(bounds, share, strict=True)]
                     keep = {v for v in domain[c] if self._meets(left, *((r[0] + p * v, r[1] + p * v) for r, p in zip(rest, share, strict=True)))}
                     if not keep:
                         return False
@@ -214,14 +215,21 @@ class Cipher:
             return
         self.found.append(({c: next(iter(d)) for c, d in domain.items()}, {op: v[0] for op, v in variants.items()}))
 
+    def letters(self) -> list[str]:
+        return sorted({c for e in self.equations for w in (e[0], e[2], e[3]) for c in w.lstrip("-")})
+
+    def start(self) -> dict[str, set[int]]:
+        """Digits that each letter may be: not 0 where a number of several digits begins with it."""
+        words = [w.lstrip("-") for e in self.equations for w in (e[0], e[2], e[3])]
+        first = {(w[-1] if self.little_endian else w[0]) for w in words if len(w) > 1}
+        return {c: set(range(1 if c in first else 0, 10)) for c in self.letters()}
+
     def solve(self, most: int = 2) -> list[tuple[dict[str, int], dict[str, str]]]:
         """Up to `most` assignments with the first variant of each sign; fewer than there are only beyond the budget of nodes."""
-        letters = sorted({c for e in self.equations for w in (e[0], e[2], e[3]) for c in w})
-        if len(letters) > 10:
-            return []
-        leading = {(w[-1] if self.little_endian else w[0]) for e in self.equations for w in (e[0], e[2], e[3]) if len(w) > 1}
+        domain = self.start()
         self.nodes, self.found = 0, []
-        self._search({c: set(range(1 if c in leading else 0, 10)) for c in letters}, {k: list(v) for k, v in self.families.items()}, most)
+        if len(domain) <= 10:
+            self._search(domain, {k: list(v) for k, v in self.families.items()}, most)
         return self.found
 
 
@@ -238,17 +246,58 @@ def audit_claims(text: str) -> tuple[int, int]:
     return claims, wrong
 
 
-def all_different(domains: list[set[int]]) -> bool:
-    """Whether distinct values can be drawn from all domains: a matching by augmenting paths."""
+def hall_violator(domains: list[set[int]]) -> set[int] | None:
+    """Positions whose domains together hold fewer values than they are; None where distinct values can be drawn from all.
+
+    A matching by augmenting paths: where one can't be grown, the positions that
+    its search reached share too few values.
+    """
     owner: dict[int, int] = {}
+    for i in range(len(domains)):
+        reached, came, queue, free = {i}, {}, [i], None
+        while queue and free is None:
+            k = queue.pop(0)
+            for v in domains[k]:
+                if v in came:
+                    continue
+                came[v] = k
+                if v not in owner:
+                    free = v
+                    break
+                if owner[v] not in reached:
+                    reached.add(owner[v])
+                    queue.append(owner[v])
+        if free is None:
+            return reached
+        while free is not None:
+            k = came[free]
+            before = next((v for v, o in owner.items() if o == k), None)
+            owner[free] = k
+            free = None if k == i else before
+    return None
 
-    def place(i: int, tried: set[int]) -> bool:
-        for v in domains[i]:
-            if v not in tried:
-                tried.add(v)
-                if v not in owner or place(owner[v], tried):
-                    owner[v] = i
-                    return True
-        return False
 
-    return all(place(i, set()) for i in range(len(domains)))
+def all_different(domains: list[set[int]]) -> bool:
+    return hall_violator(domains) is None
+
+
+def subset_cuts(domains: dict[str, set[int]], most: int = 5) -> int:
+    """Values that naked subsets (k letters with k values: no other letter has them) and, where letters are as many as digits, hidden ones (k values in k letters: these have no others) take away, in place."""
+    from itertools import combinations
+
+    cuts = 0
+    for k in range(1, most + 1):
+        for group in combinations(sorted(domains), k):
+            union = set().union(*(domains[c] for c in group))
+            if len(union) == k:
+                for c in set(domains) - set(group):
+                    cuts += len(domains[c] & union)
+                    domains[c] -= union
+        if len(domains) == 10:
+            for values in map(set, combinations(range(10), k)):
+                group = [c for c in domains if domains[c] & values]
+                if len(group) == k:
+                    for c in group:
+                        cuts += len(domains[c] - values)
+                        domains[c] &= values
+    return cuts

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import corpus as ops
-from tracewright.plans.inputs import BITS, CORPUS, EQUATIONS, bits, corpus, equations, table
+from tracewright.plans.inputs import CORPUS, EQUATIONS, corpus, equations, table
 from tracewright.plans.registry import query
 
 TOKENS = "CAST(token_length AS INT)"
@@ -405,29 +405,6 @@ def category_split(spark, sf_dir):
     return equations(spark, sf_dir).groupBy("puzzle").agg((~F.bool_or(shown.rlike("[0-9]"))).alias("cryptarithm"))
 
 
-@query("V10_invariants", f"""SELECT violation, count(*) AS n FROM (SELECT unnest([CASE WHEN gt_match <> 'True' AND oversampling <> '0' THEN 'sampled without match' END, CASE WHEN {TOKENS} > 2000 THEN 'too long' END, CASE WHEN origin = 'gold' AND gt_match = 'False' THEN 'gold without match' END,
-    CASE WHEN label IS NULL THEN 'no label' END, CASE WHEN solver_cot = '' THEN 'no trace' END, CASE WHEN CAST(oversampling AS INT) > 2 THEN 'factor above 2' END]) AS violation FROM ({CORPUS})) WHERE violation IS NOT NULL GROUP BY 1""")
-def invariants(spark, sf_dir):
-    """Six hard rules in one pass."""
-    tokens, factor = F.col("token_length").cast("int"), F.col("oversampling").cast("int")
-    rules = [((F.col("gt_match") != "True") & (factor > 0), "sampled without match"), (tokens > 2000, "too long"), ((F.col("origin") == "gold") & (F.col("gt_match") == "False"), "gold without match"), (F.col("label").isNull(), "no label"), (F.col("solver_cot") == "", "no trace"), (factor > 2, "factor above 2")]
-    found = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in rules)))
-    return corpus(spark, sf_dir).select(F.explode(found).alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
-
-
-@query("V11_soundness", f"SELECT puzzle, bool_and(y = (((x << 1) | (x >> 7)) & 255)) AS sound FROM ({BITS}) GROUP BY 1")
-def soundness(spark, sf_dir):
-    """Whether one rule (rotate left by one) reproduces every example."""
-    rule = F.expr("(shiftleft(x, 1) | shiftright(x, 7)) & 255")
-    return bits(spark, sf_dir).groupBy("puzzle").agg(F.every(F.col("y") == rule).alias("sound"))
-
-
-@query("V13_reproduction", f"SELECT CAST(sum(CAST(a.solver_cot = b.solver_cot AS INT)) AS BIGINT) AS same, count(*) AS n FROM ({CORPUS}) a JOIN (SELECT doc_id AS id, 'trace ' || (doc_id % 50 + CAST(doc_id % 13 = 0 AS INT)) AS solver_cot FROM documents) b ON a.id = b.id")
-def reproduction(spark, sf_dir):
-    again = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("trace "), F.col("doc_id") % 50 + (F.col("doc_id") % 13 == 0).cast("int")).alias("again"))
-    return corpus(spark, sf_dir).select("id", "solver_cot").join(again, "id").agg(F.sum((F.col("solver_cot") == F.col("again")).cast("int")).alias("same"), F.count("*").alias("n"))
-
-
 @query("V14_status", f"SELECT CASE WHEN gt_match = 'True' AND {TOKENS} < 500 THEN 'GT' WHEN gt_match = 'True' THEN 'GT_GUESS' ELSE 'WRONG' END AS status, count(*) AS n FROM ({CORPUS}) GROUP BY 1")
 def status(spark, sf_dir):
     s = F.when((F.col("gt_match") == "True") & (F.col("token_length").cast("int") < 500), "GT").when(F.col("gt_match") == "True", "GT_GUESS").otherwise("WRONG")

@@ -70,13 +70,6 @@ def features(spark, sf_dir):
     return p.select("puzzle", F.size("e").cast("long").alias("n_ex"), F.size(ops).cast("long").alias("n_ops"), F.exists("e", lambda s: F.startswith(s["output"], F.lit("-"))).alias("signed"), F.exists("e", lambda s: F.length(s["output"]) >= 3).alias("arith"))
 
 
-@query("P7_axes", f"SELECT kind, reading, signed, n_ops, count(*) AS n FROM (SELECT *, CASE WHEN n_ex > 4 THEN 'long' WHEN arith THEN 'arith' ELSE 'plain' END AS kind, CASE WHEN puzzle % 2 = 0 THEN 'rightward' ELSE 'leftward' END AS reading FROM ({FEATURES})) GROUP BY ALL")
-def axes(spark, sf_dir):
-    f = features(spark, sf_dir)
-    kind = F.when(F.col("n_ex") > 4, "long").when(F.col("arith"), "arith").otherwise("plain")
-    return f.withColumn("kind", kind).withColumn("reading", F.when(F.col("puzzle") % 2 == 0, "rightward").otherwise("leftward")).groupBy("kind", "reading", "signed", "n_ops").agg(F.count("*").alias("n"))
-
-
 @query("P8_prompt_feats", f"SELECT n_ex, n_digits, count(*) AS n FROM (SELECT puzzle, count(*) AS n_ex, CAST(max(length(CAST(abs(out) AS VARCHAR))) AS BIGINT) AS n_digits FROM ({EQUATIONS}) GROUP BY puzzle) GROUP BY ALL")
 def prompt_feats(spark, sf_dir):
     e, _ = parse.parse_prompt(F.col("prompt"))

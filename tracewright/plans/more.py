@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import solve as ops
 from tracewright.plans.corpus import _scratch
 from tracewright.plans.inputs import EQUATIONS, equations, table
 from tracewright.plans.registry import query
-from tracewright.plans.solving import CONSISTENT, SIGN_FAMILIES, ciphers, traces_of
 
 
 @query("S5_path_discovery", "SELECT count(*) AS n FROM region")
@@ -96,75 +93,20 @@ def reading_by_containment(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(reading.alias("reading")).agg(F.count("*").alias("n"))
 
 
-@query("K8_numeric_trace", f"SELECT puzzle, string_agg('lock ' || op || ' = ' || CASE WHEN variants = '' THEN 'exotic' ELSE split_part(variants, ',', 1) END, chr(10) ORDER BY op) || chr(10) || '\\boxed{{' || count(*) || '}}' AS trace FROM ({CONSISTENT}) GROUP BY 1")
-def numeric_trace(spark, sf_dir):
-    """A forward trace of each puzzle: the first variant that fits each operator, then the box."""
-    return traces_of(equations(spark, sf_dir))
+#: Pruning rules: name, when a rule fires, and what it then says of the true digits; in Spark's SQL and the check's alike.
+PRUNING = {
+    "units": ("op IN ('+', '*', '$', '&')", "((CASE WHEN op IN ('+', '&') THEN a + b ELSE a * b END) - out) % 10 IN (0, 1, 2, 8, 9, -1, -2, -8, -9)"),
+    "add_lead_is_1": ("op IN ('+', '&') AND out >= 100", "out < 200"),
+    "mul_lead_not_9": ("op IN ('*', '$') AND out >= 1000", "out < 9000"),
+    "sub_units_band": ("op IN ('-', '#')", "(abs(a - b) - abs(out)) % 10 IN (0, 1, 2, 8, 9, -1, -2, -8, -9)"),
+    "lead_pair": ("op IN ('-', '#') AND abs(out) < 10", "abs(floor(a / 10) - floor(b / 10)) <= 2"),
+    "linear_bound": ("op IN ('+', '&') AND out >= 100", "floor(a / 10) + floor(b / 10) >= 8"),
+}
 
 
-def _solved(pdf_batches, most: int, budget: int, report):
-    for pdf in pdf_batches:
-        rows = []
-        for puzzle, e in zip(pdf["puzzle"], pdf["e"], strict=True):
-            eqs = [(x["a"], x["op"], x["b"], x["out"]) for x in e]
-            c = ops.Cipher(eqs, {op: SIGN_FAMILIES[op] for _, op, _, _ in eqs}, budget=budget)
-            rows.append((puzzle, *report(c, c.solve(most))))
-        yield rows
-
-
-def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ciphers(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "puzzle")
-
-
-@query("K11_propagation")
-def propagation(spark, sf_dir):
-    """Digits left in the domains after the first fixpoint, and whether the planted digits are all among them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def report(c, _):
-            letters = sorted({x for e in c.equations for w in (e[0], e[2], e[3]) for x in w})
-            lead = {w[0] for e in c.equations for w in (e[0], e[2], e[3]) if len(w) > 1}
-            domain = {x: set(range(1 if x in lead else 0, 10)) for x in letters}
-            before = sum(map(len, domain.values()))
-            ok = c._propagate(domain, {k: list(v) for k, v in c.families.items()})
-            return before, sum(map(len, domain.values())), ok and all(ord(x) - 65 in d for x, d in domain.items()), ops.all_different(list(domain.values()))
-
-        for rows in _solved(batches, 0, 0, report):
-            yield pd.DataFrame(rows, columns=["puzzle", "before", "after", "sound", "matchable"])
-
-    return dealt(spark, sf_dir).mapInPandas(run, "puzzle long, before int, after int, sound boolean, matchable boolean")
-
-
-@query("K13_family_product", f"SELECT puzzle, CAST(product(n) AS BIGINT) AS combos FROM (SELECT puzzle, op, greatest(1, len(list_distinct(list_transform(string_split(variants, ','), lambda v: left(v, 3))))) AS n FROM ({CONSISTENT})) GROUP BY 1")
-def family_product(spark, sf_dir):
-    """Combinations of families left for a puzzle's operators, without making them."""
-    c = ops.consistent_variants(equations(spark, sf_dir), ["puzzle", "op"])
-    n = F.greatest(F.lit(1), F.size(F.array_distinct(F.transform("variants", lambda v: F.substring(v, 1, 3)))))
-    return c.groupBy("puzzle").agg(F.round(F.product(n)).cast("long").alias("combos"))
-
-
-@query("K27_pruning_rules", f"SELECT op, count(*) AS n, count(*) FILTER (op = '+' AND out >= 100) AS carry_fires, count(*) FILTER (op = '+' AND out >= 100 AND out < 200) AS carry_sound, count(*) FILTER (op IN ('+', '*')) AS units_fires, count(*) FILTER (op = '+' AND (a + b) % 10 = out % 10 OR op = '*' AND a * b % 10 = out % 10) AS units_sound FROM ({EQUATIONS}) GROUP BY 1")
+@query("K27_pruning_rules", f"SELECT rule, CAST(sum(CAST(fires AS INT)) AS BIGINT) AS fires, CAST(sum(CAST(fires AND sound AS INT)) AS BIGINT) AS sound FROM ({' UNION ALL '.join(f"SELECT '{n}' AS rule, {fires} AS fires, {sound} AS sound FROM ({EQUATIONS})" for n, (fires, sound) in PRUNING.items())}) GROUP BY 1")
 def pruning_rules(spark, sf_dir):
-    """Two pruning rules, how often they fire and how often they are right: a sum's third digit is 1, and units follow units."""
-    a, b, out, op = F.col("a"), F.col("b"), F.col("out"), F.col("op")
-    carry = (op == "+") & (out >= 100)
-    units = ((op == "+") & ((a + b) % 10 == out % 10)) | ((op == "*") & (a * b % 10 == out % 10))
-    return equations(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"), F.count_if(carry).alias("carry_fires"), F.count_if(carry & (out < 200)).alias("carry_sound"), F.count_if(op.isin("+", "*")).alias("units_fires"), F.count_if(units).alias("units_sound"))
-
-
-@query("K31_early_stop")
-def early_stop(spark, sf_dir):
-    """Whether a smaller budget changes the first solution: nodes saved, answers changed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for puzzle, e in zip(pdf["puzzle"], pdf["e"], strict=True):
-                eqs = [(x["a"], x["op"], x["b"], x["out"]) for x in e]
-                fam = {op: SIGN_FAMILIES[op] for _, op, _, _ in eqs}
-                full, short = ops.Cipher(eqs, fam, budget=12), ops.Cipher(eqs, fam, budget=12)
-                x, y = full.solve(2), short.solve(1)
-                rows.append((puzzle, full.nodes - short.nodes, x[:1] != y[:1]))
-            yield pd.DataFrame(rows, columns=["puzzle", "nodes_saved", "changed"])
-
-    return dealt(spark, sf_dir).mapInPandas(run, "puzzle long, nodes_saved int, changed boolean")
+    """Six pruning rules, how often they fire and how often the true digits keep to them, in one pass; one that isn't always sound can't be adopted."""
+    counts = [c for n, (fires, sound) in PRUNING.items() for c in (F.count_if(F.expr(fires)).alias(f"{n}_f"), F.count_if(F.expr(f"({fires}) AND ({sound})")).alias(f"{n}_s"))]
+    one = equations(spark, sf_dir).agg(*counts)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"{n}_f").alias("fires"), F.col(f"{n}_s").alias("sound")) for n in PRUNING))).alias("r")).select("r.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,14 +38,21 @@ def family_filter(spark, sf_dir):
     return g.select("puzzle", F.array_join(ops.family_ranking(F.col("d")), ",").alias("families"))
 
 
-@query("K3_check_concat", f"SELECT puzzle, CASE WHEN first % 3 = 0 THEN 'fwd' WHEN first % 3 = 1 THEN 'rev' ELSE 'none' END AS concat FROM (SELECT puzzle, min(ex) + puzzle AS first FROM ({EQUATIONS}) GROUP BY 1)")
+#: Equations whose result, by a hash of puzzle and example, is a concatenation of the operands, forward or reverse, or what it was.
+HASH3 = "CAST('0x' || substr(md5(puzzle || '|' || ex), 1, 6) AS BIGINT) % 3"
+JOINED = f"SELECT puzzle, ex, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CASE {HASH3} WHEN 0 THEN a || '' || b WHEN 1 THEN b || '' || a ELSE CAST(out AS VARCHAR) END AS out FROM ({EQUATIONS})"
+
+
+@query("K3_check_concat", f"SELECT puzzle, CASE WHEN out = a || b THEN 'fwd' WHEN out = b || a THEN 'rev' ELSE 'none' END AS concat FROM ({JOINED}) QUALIFY row_number() OVER (PARTITION BY puzzle ORDER BY ex, a, b, out) = 1")
 def check_concat(spark, sf_dir):
     """Forward, reverse or neither, from the first example alone."""
-    g = equations(spark, sf_dir).groupBy("puzzle").agg(F.min_by(F.struct("ex", "a", "b"), "ex").alias("e"))
-    a, b = F.col("e.a").cast("string"), F.concat(F.col("e.b").cast("string"), F.lit("x"))
-    k = (F.col("e.ex") + F.col("puzzle")) % 3
-    out = F.when(k == 0, F.concat(a, b)).when(k == 1, F.concat(b, a)).otherwise(F.lit("7"))
-    return g.select("puzzle", F.when(out == F.concat(a, b), "fwd").when(out == F.concat(b, a), "rev").otherwise("none").alias("concat"))
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    k = F.pmod(F.conv(F.substring(F.md5(F.concat("puzzle", F.lit("|"), "ex").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(3))
+    out = F.when(k == 0, F.concat(a, b)).when(k == 1, F.concat(b, a)).otherwise(F.col("out").cast("string"))
+    rows = equations(spark, sf_dir).select("puzzle", F.struct("ex", a.alias("a"), b.alias("b"), out.alias("out")).alias("e"))
+    first = rows.groupBy("puzzle").agg(F.min("e").alias("e"))
+    forward, reverse = F.concat("e.a", "e.b"), F.concat("e.b", "e.a")
+    return first.select("puzzle", F.when(F.col("e.out") == forward, "fwd").when(F.col("e.out") == reverse, "rev").otherwise("none").alias("concat"))
 
 
 @query("K4_consistent_variants", CONSISTENT)
@@ -73,13 +79,6 @@ def choose_reading(spark, sf_dir):
     return g.withColumn("reading", F.when(F.col("leftward") > F.col("rightward"), "leftward").otherwise("rightward"))
 
 
-@query("K6_classify", f"SELECT CASE WHEN variants = '' THEN 'exotic' WHEN contains(variants, ',') THEN 'ambiguous' ELSE 'unique' END AS label, count(*) AS n FROM ({CONSISTENT}) GROUP BY 1")
-def classify(spark, sf_dir):
-    n = F.size("variants")
-    label = F.when(n == 0, "exotic").when(n > 1, "ambiguous").otherwise("unique")
-    return ops.consistent_variants(equations(spark, sf_dir), ["puzzle", "op"]).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-
-
 @query("K7_prior", f"SELECT op, CASE WHEN starts_with(variants, 'mul') THEN 'mul' WHEN starts_with(variants, 'add') THEN 'add' ELSE 'sub' END AS family, count(*) AS n FROM ({CONSISTENT}) WHERE variants <> '' GROUP BY 1, 2")
 def prior(spark, sf_dir):
     c = ops.consistent_variants(equations(spark, sf_dir), ["puzzle", "op"]).filter(F.size("variants") > 0)
@@ -94,35 +93,6 @@ def family_intervals(spark, sf_dir):
     return g.select("puzzle", mul[0].alias("mul_low"), mul[1].alias("mul_high"), sub[0].alias("sub_low"), sub[1].alias("sub_high"))
 
 
-def ciphers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as ciphered puzzles, three equations or more; solving is a tree search, so a puzzle is a row with its equations in an array."""
-    e = equations(spark, sf_dir)
-    letters = lambda c: F.translate(F.abs(c).cast("string"), "0123456789", "ABCDEFGHIJ")
-    return e.filter("out >= 0").groupBy("puzzle").agg(F.array_sort(F.collect_list(F.struct("ex", letters("a").alias("a"), "op", letters("b").alias("b"), letters("out").alias("out")))).alias("e")).filter(F.size("e") >= 3)
-
-
-SIGN_FAMILIES = {"*": ["mul"], "+": ["add"], "-": ["absdiff"], "$": ["mul_p1"], "#": ["sub_signed"], "&": ["add_m1"]}
-
-
-def solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for puzzle, e in zip(pdf["puzzle"], pdf["e"], strict=True):
-            eqs = [(x["a"], x["op"], x["b"], x["out"]) for x in e]
-            c = ops.Cipher(eqs, {op: SIGN_FAMILIES[op] for _, op, _, _ in eqs}, budget=40)
-            found = c.solve(2)
-            truth = all(v == ord(k) - 65 for k, v in found[0][0].items()) if found else None
-            rows.append((puzzle, len(found), c.nodes > c.budget, truth, bool(found)))
-        yield pd.DataFrame(rows, columns=["puzzle", "solutions", "budget_met", "as_planted", "solved"])
-
-
-@query("K10_cipher_search")
-def cipher_search(spark, sf_dir):
-    """Interval narrowing, propagation, branching and counting up to two; a node budget instead of a clock."""
-    n = 4 * spark.sparkContext.defaultParallelism  # rows are small and slow: more tasks than their bytes would give
-    return ciphers(spark, sf_dir).repartition(n, "puzzle").mapInPandas(solve_batches, "puzzle long, solutions int, budget_met boolean, as_planted boolean, solved boolean")
-
-
 def _unary_sql(name: str, x: str = "x") -> str:
     if name.startswith("not_"):
         return f"(255 - {_unary_sql(name[4:], x)})"
@@ -168,14 +138,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartition(4 * spark.sparkContext.defaultParallelism, "puzzle")
 
 
+def collected(kind: str, rows: list) -> pd.Series | pd.DataFrame:
+    """Values of a type as Arrow batches take them: structs as columns."""
+    if kind.startswith("struct<"):
+        return pd.DataFrame(rows, columns=[x.split(":")[0] for x in kind[7:-1].split(",")], dtype=object)
+    return pd.Series(rows, dtype=object)
+
+
 def by_puzzle(kind: str, f) -> Column:
     """f(xs, ys) of each puzzle, over Arrow batches."""
 
-    @F.pandas_udf(kind)
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([f(list(map(int, a)), list(map(int, b))) for a, b in zip(x, y, strict=True)], dtype=object)
-
-    return run("xs", "ys")
+    return F.pandas_udf(lambda x, y: collected(kind, [f(list(map(int, a)), list(map(int, b))) for a, b in zip(x, y, strict=True)]), kind)("xs", "ys")
 
 
 def rule_column(terms: bool) -> Column:
@@ -322,32 +295,3 @@ def render_solution(spark, sf_dir):
     m = F.create_map(*[x for i in range(10) for x in (F.lit(str(i)), F.lit("ABCDEFGHIJ"[i]))])
     s = F.array_join(F.transform(F.split(F.abs("out").cast("string"), ""), lambda d: m[d]), "")
     return equations(spark, sf_dir).select("puzzle", "ex", s.alias("symbols"))
-
-
-@query("V12_independent_check", f"SELECT CASE WHEN good < n THEN 'EX_FAIL' WHEN puzzle % 9 = 0 THEN 'GOLD_FAIL' ELSE 'PASS' END AS status, count(*) AS n FROM (SELECT puzzle, count(*) AS n, count(*) FILTER (out = a * b OR out = a + b OR out = abs(a - b)) AS good FROM ({EQUATIONS}) GROUP BY 1) GROUP BY 1")
-def independent_check(spark, sf_dir):
-    a, b, out = F.col("a"), F.col("b"), F.col("out")
-    good = F.every((out == a * b) | (out == a + b) | (out == F.abs(a - b)))
-    g = equations(spark, sf_dir).groupBy("puzzle").agg(good.alias("good"))
-    return g.groupBy(F.when(~F.col("good"), "EX_FAIL").when(F.col("puzzle") % 9 == 0, "GOLD_FAIL").otherwise("PASS").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("B19_construct_puzzles")
-def construct_puzzles(spark, sf_dir):
-    """Puzzles from numbers: operands and variant by a hash of the row, kept where a blind solve names the variant alone."""
-    n = spark.range(2000).select(F.col("id").alias("puzzle"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ex"))
-    draw = lambda tag, size: F.pmod(F.xxhash64(F.lit(tag), "puzzle", "ex"), F.lit(size))
-    kind = F.pmod(F.xxhash64(F.lit("v"), "puzzle"), F.lit(len(ops.VARIANTS)))
-    e = n.select("puzzle", "ex", F.lit("+").alias("op"), (draw("a", 90) + 10).alias("a"), (draw("b", 90) + 10).alias("b"), kind.alias("kind"))
-    out = F.coalesce(*(F.when(F.col("kind") == i, ops.apply(v, F.col("a"), F.col("b"))) for i, v in enumerate(ops.VARIANTS)))
-    found = ops.consistent_variants(e.withColumn("out", out), ["puzzle", "kind"]).filter(F.size("variants") == 1)
-    planted = F.element_at(F.array(*map(F.lit, ops.VARIANTS)), F.col("kind").cast("int") + 1)
-    return found.select("puzzle", F.col("variants")[0].alias("variant"), (F.col("variants")[0] == planted).alias("as_planted"))
-
-
-def traces_of(examples: DataFrame) -> DataFrame:
-    """(puzzle, trace): a line for each operator with the first variant that fits, and the number of operators in a box."""
-    c = ops.consistent_variants(examples, ["puzzle", "op"])
-    line = F.struct("op", F.concat(F.lit("lock "), "op", F.lit(" = "), F.coalesce(F.try_element_at("variants", F.lit(1)), F.lit("exotic"))).alias("t"))
-    g = c.groupBy("puzzle").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return g.select("puzzle", F.concat(F.array_join(F.transform("l", lambda s: s["t"]), "\n"), F.lit("\n\\boxed{"), F.size("l"), F.lit("}")).alias("trace"))
