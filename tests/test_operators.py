@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tracewright.operators import balance, bitrules, merge, ranges, report, rewards, solve
@@ -57,6 +59,74 @@ def test_rate_balance_keeps_the_rate(spark):
     assert len(rows) == 100 and sum(r["flag"] for r in rows) == 34
 
 
+def test_rate_balance_against_a_loop(spark):
+    rng = random.Random(31)
+    rows = [(i, rng.choice("abc"), rng.random() < 0.6) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, grp string, flag boolean").repartition(5)
+    got = sorted((r["grp"], r["id"]) for r in balance.balance_rate(df, "id", "flag", "grp", 0.34, 90).collect())
+    want = []
+    for g in "abc":
+        taken = hits = 0
+        for i, h, f in rows:
+            if h == g and taken < 90 and f == (hits < 0.34 * (taken + 1)):
+                want.append((g, i))
+                taken, hits = taken + 1, hits + f
+    assert got == sorted(want)
+
+
+def test_cover_then_fill_against_a_loop(spark):
+    rng = random.Random(32)
+    rows = [(i, rng.choice("gh"), rng.choice(["p", "q", "r"]), sorted(rng.sample("abcdefghij", rng.randrange(1, 4)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, grp string, kind string, items array<string>")
+    for quota in (3, 25, 500):
+        got = {(r["grp"], r["id"]): r["phase"] for r in balance.cover_then_fill(df, "id", "items", "grp", "kind", quota).collect()}
+        for g in "gh":
+            mine = [r for r in rows if r[1] == g]
+            count = lambda x: sum(x in r[3] for r in mine)  # noqa: B023, E731
+            covered, chosen = set(), {}
+            for x in sorted({x for r in mine for x in r[3]}, key=lambda x: (count(x), x)):
+                if x not in covered and len(chosen) < quota:
+                    best = max((r for r in mine if x in r[3]), key=lambda r: (len(set(r[3]) - covered), -r[0]))
+                    chosen[best[0]] = 1
+                    covered |= set(best[3])
+            rest = [r for r in mine if r[0] not in chosen]
+            firsts = [min(r[0] for r in rest if r[2] == k) for k in sorted({r[2] for r in rest})]
+            for i, phase in [*((i, 2) for i in firsts), *((r[0], 3) for r in rest if r[0] not in firsts)]:
+                if len(chosen) < quota:
+                    chosen[i] = phase
+            assert {i: p for (h, i), p in got.items() if h == g} == chosen
+
+
+def test_weighted_merge_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, s, k, rng.normal(size=16).tolist()) for m in range(2) for s in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "module long, step int, k int, embedding array<double>").repartition(7)
+    weights = {0: 1.0, 1: 2.0, 2: 0.5}
+    got = merge.svd_merge(df, 5, weights).collect()
+    for m in range(2):
+        whole = sum(weights[r[1]] * np.outer(r[3][:8], r[3][8:]) for r in rows if r[0] == m) / 3.5
+        assert np.allclose([r["singular"] for r in sorted(got, key=lambda r: r["k"]) if r["module"] == m], np.linalg.svd(whole)[1][:5])
+
+
+def test_places_of_counted_values(spark):
+    rng = random.Random(33)
+    rows = [(g, rng.choice([1, 5, 5, 9, 2000, -3])) for g in "ab" for _ in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "g string, v int")
+    points = {"low": 0.0, "med": 0.5, "p90": 0.9, "high": 1.0}
+    for r in report.index_quantile(df, ["g"], "v", points).collect():
+        values = sorted(v for g, v in rows if g == r["g"])
+        assert [r[p] for p in points] == [values[min(int(len(values) * q), len(values) - 1)] for q in points.values()]
+
+
+def test_a_replaced_table_is_old_or_new(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    files.replace_table(spark.range(5), path)
+    before = files.read_table(spark, path, "id long")
+    files.replace_table(spark.range(10, 13), path)
+    assert sorted(r["id"] for r in before.collect()) == list(range(5))  # a reader that began before
+    assert sorted(r["id"] for r in files.read_table(spark, path, "id long").collect()) == [10, 11, 12]
+
+
 def test_overlap_join(spark):
     rng = random.Random(1)
     a = [(i, x := rng.randrange(500), x + rng.randrange(90)) for i in range(60)]
@@ -79,8 +149,6 @@ def test_index_quantile(spark):
 
 
 def test_svd_merge_is_exact_at_full_rank(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     rows = [(0, s, k, rng.normal(size=12).tolist()) for s in range(2) for k in range(2)]
     df = spark.createDataFrame(rows, "module long, step int, k int, embedding array<double>")
@@ -89,11 +157,12 @@ def test_svd_merge_is_exact_at_full_rank(spark):
     assert np.allclose(got, np.linalg.svd(m)[1][:4])
 
 
-def test_parse_rewards():
+def test_parse_rewards(spark):
     prompt = "examples:\n12+34 = 46\nNow, determine the result for: 34+12"
     good = "read each equation one symbol\n+ -> f\nEX1 12+34=46 becomes 1 2 + 3 4 = 4 6\nQUERY 34+12 becomes 3 4 + 1 2"
-    assert rewards.crypt_parse(prompt, good) == 1.5 and rewards.equation_parse(prompt, good) == 1.0
-    assert rewards.crypt_parse(prompt, "nothing") == -0.9 and rewards.equation_parse("", "nothing") == 0.0
+    of = lambda f, p, t: spark.range(1).select(f(F.lit(p), F.lit(t)).alias("s")).first()["s"]
+    assert of(rewards.crypt_parse, prompt, good) == 1.5 and of(rewards.equation_parse, prompt, good) == 1.0
+    assert of(rewards.crypt_parse, prompt, "nothing") == -0.9 and of(rewards.equation_parse, "", "nothing") == 0.0
     assert rewards.solver_alignment("x", None) == 0.0
 
 

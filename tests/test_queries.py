@@ -36,6 +36,6 @@ def test_query(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"K10_cipher_search"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+    assert registry.QUERIES[name](spark, SF).count() > 0

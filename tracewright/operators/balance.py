@@ -11,7 +11,8 @@ from tracewright.operators.corpus import ranked
 def round_robin_fill(df: DataFrame, stratum: list[str], order: list, quota: int) -> DataFrame:
     """quota rows, one of each stratum in turn, largest stratum first; a window form of the loop."""
     sizes = df.groupBy(*stratum).agg(F.count("*").alias("__size"))
-    r = ranked(df, stratum, order, "__turn").join(sizes, stratum)
+    # a stratum gives at most quota rows: the others leave before anything is dealt out
+    r = ranked(df, stratum, order, "__turn").filter(F.col("__turn") <= F.lit(quota)).join(sizes, stratum)
     picked = r.orderBy("__turn", F.desc("__size"), *stratum, *order).limit(quota)
     return picked.drop("__turn", "__size")
 
@@ -22,29 +23,35 @@ def quota_fill(df: DataFrame, by: list[str], half: str, order: list, targets: Da
     A row's place inside (group, half) decides: up to half the target it comes
     first, beyond that it waits; the target's first rows in that order stay.
     """
-    r = ranked(df, [*by, half], order, "__place").join(targets, by)
+    most = targets.agg(F.max("target").alias("n")).first()["n"] or 0
+    # a half gives at most its group's target: rows beyond the largest leave before anything is dealt out
+    r = ranked(df, [*by, half], order, "__place").filter(F.col("__place") <= F.lit(most)).join(targets, by)
     late = (F.col("__place") > F.ceil(F.col("target") / 2)).cast("int")
     w = Window.partitionBy(*by).orderBy(late, *order)
     return r.withColumn("__k", F.row_number().over(w)).filter("__k <= target").drop("__k", "__place")
 
 
 def greedy_cover(df: DataFrame, key: str, items: str, group: str, quota: int) -> DataFrame:
-    """Rows that cover the items of their group: the rarest uncovered item picks its first row, until all are covered or the quota is met.
+    """Rows that cover the items of their group: the rarest uncovered item picks the row that covers most, until all are covered or the quota is met.
 
-    Choices depend on earlier ones, so a group is one task; groups are dealt
-    apart and hold ids and item lists only.
+    Choices depend on earlier ones, so a group is one task. Of rows with the same
+    items only the least key can be picked, so a group is its distinct sets of
+    items with how many rows have them, not its rows.
     """
+    sets = df.groupBy(group, F.array_sort(F.array_distinct(items)).alias(items)).agg(F.min(key).alias(key), F.count("*").alias("__n"))
 
     def run(pdf):
         import pandas as pd
 
         held = {k: set(v) for k, v in sorted(zip(pdf[key], pdf[items], strict=True))}
         rows: dict = {}
-        for k, v in held.items():
+        count: dict = {}
+        for k, v, n in zip(pdf[key], pdf[items], pdf["__n"], strict=True):
             for item in v:
                 rows.setdefault(item, []).append(k)
+                count[item] = count.get(item, 0) + n
         covered, chosen = set(), []
-        for item in sorted(rows, key=lambda i: (len(rows[i]), i)):
+        for item in sorted(rows, key=lambda i: (count[i], i)):
             if item in covered or len(chosen) >= quota:
                 continue
             k = max(rows[item], key=lambda r: (len(held[r] - covered), -r))
@@ -53,27 +60,49 @@ def greedy_cover(df: DataFrame, key: str, items: str, group: str, quota: int) ->
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(chosen), key: chosen, "place": range(1, len(chosen) + 1)})
 
     kinds = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place int")
+    return sets.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place int")
 
 
-def balance_rate(df: DataFrame, key: str, flag: str, group: str, rate: float, quota: int) -> DataFrame:
-    """quota rows of each group, in order of key, taken or passed over so that the share of flag stays at rate."""
+def cover_then_fill(df: DataFrame, key: str, items: str, group: str, stratum: str, quota: int) -> DataFrame:
+    """(group, key, phase): rows of each group up to its quota, in three phases: cover of the items, strata in turn, then whatever is left, by key.
+
+    Of each stratum at most `quota` rows can be taken, and of a group too, so
+    what is ranked after the cover is bounded by strata and quota.
+    """
+    cover = greedy_cover(df, key, items, group, quota).select(group, key, F.lit(1).alias("phase"))
+    have = cover.groupBy(group).agg(F.count("*").alias("__have"))
+    rest = df.select(group, key, stratum).join(cover.select(group, key), [group, key], "left_anti")
+    turns = ranked(rest, [group, stratum], [key], "__turn").filter(F.col("__turn") <= F.lit(quota))
+    # a first row of each stratum, then rows by key
+    late = (F.col("__turn") > 1).cast("int")
+    fill = turns.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(late, F.when(late == 0, F.col(stratum)), key)))
+    fill = fill.join(have, group, "left").filter(F.col("__k") + F.coalesce("__have", F.lit(0)) <= quota)
+    return cover.unionByName(fill.select(group, key, F.when(F.col("__turn") == 1, 2).otherwise(3).alias("phase")))
 
-    def run(pdf):
-        ones = hits = 0
-        chosen = []
-        rest = pdf.sort_values(key)
-        for k, f in zip(rest[key], rest[flag], strict=True):
-            if ones >= quota:
-                break
-            if bool(f) == (hits < rate * (ones + 1)):
-                chosen.append(k)
-                ones += 1
-                hits += bool(f)
-        return pdf[pdf[key].isin(chosen)][[group, key, flag]]
 
+def balance_rate(df: DataFrame, key: str, flag: str, group: str, rate: float, quota: int) -> DataFrame:
+    """quota rows of each group, in order of key, taken or passed over so that the share of flag stays at rate.
+
+    Each choice depends on those before, so a group goes through one task; it
+    does so row by row, and nothing of it is held.
+    """
     kinds = dict(df.dtypes)
-    return df.select(group, key, flag).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, {flag} {kinds[flag]}")
+
+    def run(batches):
+        now, taken, hits = None, 0, 0
+        for pdf in batches:
+            keep = []
+            for g, f in zip(pdf[group], pdf[flag], strict=True):
+                if g != now:
+                    now, taken, hits = g, 0, 0
+                ok = taken < quota and bool(f) == (hits < rate * (taken + 1))
+                keep.append(ok)
+                taken += ok
+                hits += ok and bool(f)
+            yield pdf[keep]
+
+    dealt = df.select(group, key, flag).filter(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, key)
+    return dealt.mapInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, {flag} {kinds[flag]}")
 
 
 def hash_uniform(seed: int, *keys: str) -> Column:

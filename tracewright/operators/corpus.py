@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ranges import running
+
 
 def swap_join(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """base with columns replaced by those of changes where the key is there; changes holds a key once."""
@@ -49,3 +51,14 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 def ranked(df: DataFrame, by: list[str], order: list, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def ranked_by_pieces(df: DataFrame, by: list[str], order: list, piece: Column, out: str = "rank") -> DataFrame:
+    """ranked for groups of any size: piece is a whole number that rises with the order, and only rows of a piece are sorted together."""
+    keyed = df.withColumn("__by", F.struct(*by))
+    return running(keyed, "__by", order, piece, F.lit(1), "__before").withColumn(out, (F.col("__before") + 1).cast("int")).drop("__by", "__before")
+
+
+def hash_piece(h: str) -> Column:
+    """The piece of a hash_order: one of a million, by its first five digits."""
+    return F.conv(F.substring(h, 1, 5), 16, 10).cast("long")

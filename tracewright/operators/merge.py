@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def svd_merge(factors: DataFrame, rank: int, weights: dict[int, float] | None = None) -> DataFrame:
     """The best rank-`rank` factors of the weighted mean of B_s A_s over snapshots s, for each module.
 
-    factors: module, step, k, embedding; rows of one (module, step) are paired,
-    the first half of the vector being a column of B, the second a row of A.
-    Stacked columns are orthogonalised first, so that only a small matrix is
-    decomposed. Returns module, k, singular value and the norms of the columns.
+    factors: module, step, k, embedding; the first half of the vector is a column
+    of B_s, the second a row of A_s. B_s A_s is the sum of their outer products,
+    so every task adds up those that it has, a module's matrix (half x half) is
+    the sum of the tasks', and only that is decomposed: nothing grows with the
+    number of columns. Singular values are shared evenly by both factors. Returns
+    module, k, singular value and the norms of the columns.
     """
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        half = len(pdf["embedding"].iloc[0]) // 2
-        left, right = [], []
-        steps = sorted(pdf["step"].unique())
-        total = sum((weights or {}).get(s, 1.0) for s in steps)
-        for s in steps:
-            m = np.stack(pdf[pdf["step"] == s].sort_values("k")["embedding"].to_numpy()).astype(np.float64)
-            left.append(m[:, :half].T * ((weights or {}).get(s, 1.0) / total))
-            right.append(m[:, half:])
-        q, r = np.linalg.qr(np.concatenate(left, 1))
-        u, sv, vt = np.linalg.svd(r @ np.concatenate(right, 0), full_matrices=False)
-        n = min(rank, len(sv))
-        root = np.sqrt(sv[:n])
-        b, a = (q @ u[:, :n]) * root, root[:, None] * vt[:n]
-        return pd.DataFrame({"module": [pdf["module"].iloc[0]] * n, "k": range(n), "singular": sv[:n], "b_norm": np.linalg.norm(b, axis=0), "a_norm": np.linalg.norm(a, axis=1)})
-
-    return factors.groupBy("module").applyInPandas(run, "module long, k int, singular double, b_norm double, a_norm double")
+    weight = F.coalesce(*(F.when(F.col("step") == s, F.lit(float(w))) for s, w in (weights or {}).items()), F.lit(1.0))
+    steps = factors.groupBy("module", "step").agg(F.first(weight).alias("w")).groupBy("module").agg(F.sum("w").alias("total"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for module, rows in pdf.groupby("module"):
+                m = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                half = m.shape[1] // 2
+                part = (m[:, :half] * rows["w"].to_numpy()[:, None]).T @ m[:, half:]
+                sums[module] = sums.get(module, 0.0) + part
+        yield pd.DataFrame([(k, *m.shape, m.tobytes()) for k, m in sums.items()], columns=["module", "height", "width", "part"])
+
+    def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = (pdf["height"].iloc[0], pdf["width"].iloc[0])
+        whole = sum(np.frombuffer(p, np.float64).reshape(shape) for p in pdf["part"]) / pdf["total"].iloc[0]
+        u, s, vt = np.linalg.svd(whole, full_matrices=False)
+        n = min(rank, len(s))
+        b, a = u[:, :n] * np.sqrt(s[:n]), np.sqrt(s[:n])[:, None] * vt[:n]
+        return pd.DataFrame({"module": [pdf["module"].iloc[0]] * n, "k": range(n), "singular": s[:n], "b_norm": np.linalg.norm(b, axis=0), "a_norm": np.linalg.norm(a, axis=1)})
+
+    parts = factors.select("module", weight.alias("w"), "embedding").mapInPandas(partial, "module long, height int, width int, part binary")
+    return parts.join(steps, "module").groupBy("module").applyInPandas(decompose, "module long, k int, singular double, b_norm double, a_norm double")

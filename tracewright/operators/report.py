@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.ranges import running
 
-def index_quantile(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """The value at place int(n * q), counting from 0, in sorted order: no interpolation.
 
-    From counts of distinct values, so a group's values are never one list.
+def counted_places(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, __before and __all: how many rows of a group have a lesser value, and how many it has.
+
+    From counts of distinct values, summed by pieces: neither a group's rows nor
+    its distinct values are ever in one task.
     """
-    from pyspark.sql import Window
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__by", F.struct(*by))
+    placed = running(counts, "__by", [value], F.floor(F.col(value)), F.col("__n"), "__before")
+    sizes = counts.groupBy("__by").agg(F.sum("__n").alias("__all"))
+    return placed.join(sizes, "__by").drop("__by")
+
 
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*by).orderBy(value)
-    every = Window.partitionBy(*by)
-    c = counts.withColumn("__end", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(every))
+def nth(value: str, place: Column) -> Column:
+    """Aggregate over counted_places: the value at a place, counting from 0, in sorted order."""
+    return F.min(F.when(F.col("__before") + F.col("__n") > place, F.col(value)))
+
+
+def index_quantile(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """The value at place int(n * q), counting from 0, in sorted order: no interpolation."""
     at = lambda q: F.least(F.floor(F.col("__all") * q), F.col("__all") - 1)
-    return c.groupBy(*by).agg(*(F.min(F.when(F.col("__end") > at(q), F.col(value))).alias(name) for name, q in points.items()))
+    return counted_places(df, by, value).groupBy(*by).agg(*(nth(value, at(q)).alias(name) for name, q in points.items()))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

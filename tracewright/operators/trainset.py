@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.corpus import ranked_by_pieces
+
 
 def mask_and_shift(prompt: Column, completion: Column, limit: int) -> Column:
     """Struct (tokens, targets, weights) of token arrays: cut to limit, loss on the completion, targets one ahead."""
@@ -17,11 +19,11 @@ def mask_and_shift(prompt: Column, completion: Column, limit: int) -> Column:
     return F.struct(F.slice(ids, F.lit(1), short).alias("tokens"), F.slice(ids, F.lit(2), short).alias("targets"), F.slice(mask, F.lit(2), short).alias("weights"))
 
 
-def interleave(df: DataFrame, stratum: str, order: list, out: str = "position") -> DataFrame:
-    """Each stratum spread evenly: a row's key is its rank over the stratum's size."""
+def interleave(df: DataFrame, stratum: str, order: list, piece: Column, out: str = "position") -> DataFrame:
+    """Each stratum spread evenly: a row's key is its rank over the stratum's size; piece rises with the order."""
     n = df.groupBy(stratum).agg(F.count("*").alias("__n"))
-    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1).join(n, stratum)
-    return r.withColumn(out, F.col("__r") / F.col("__n")).drop("__r", "__n")
+    r = ranked_by_pieces(df, [stratum], order, piece, "__r").join(n, stratum)
+    return r.withColumn(out, (F.col("__r") - 1) / F.col("__n")).drop("__r", "__n")
 
 
 def linear(step: Column, steps: int, peak: float) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import balance as ops
-from tracewright.operators.corpus import hash_order
+from tracewright.operators.corpus import hash_order, ranked_by_pieces
+from tracewright.operators.ranges import tile
 from tracewright.plans.inputs import CORPUS, corpus, table
 from tracewright.plans.registry import query
+from tracewright.sources.files import materialised
 
 MD5 = "md5('{}|' || id)"
 UNIFORM = "(CAST(('0x' || substr(md5('{}|' || id), 1, 13)) AS BIGINT) / 4503599627370496.0)"
@@ -29,9 +31,9 @@ def deficit(spark, sf_dir):
 
 @query("B9_set_cover")
 def set_cover(spark, sf_dir):
-    """Greedy cover of name words within a brand; checked by tests, as SQL can't say it."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.array_distinct(F.split("p_name", "")).alias("items"))
-    return ops.greedy_cover(p, "id", "items", "brand", 50)
+    """Cover of name letters within a brand, then types in turn, then the rest, up to a quota; checked by tests, as SQL can't say it."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.array_distinct(F.split("p_name", "")).alias("items"))
+    return ops.cover_then_fill(p, "id", "items", "brand", "kind", 50)
 
 
 @query("B10_round_robin_fill", f"""WITH r AS (SELECT id, category, label, row_number() OVER (PARTITION BY category, label ORDER BY id) AS turn, count(*) OVER (PARTITION BY category, label) AS size FROM ({CORPUS}))
@@ -40,13 +42,24 @@ def round_robin_fill(spark, sf_dir):
     return ops.round_robin_fill(corpus(spark, sf_dir).select("id", "category", "label"), ["category", "label"], ["id"], 100)
 
 
-@query("B11_tercile_rates", f"""SELECT id, band FROM (SELECT id, category, ntile(3) OVER (PARTITION BY category ORDER BY CAST(token_length AS INT), id) AS band FROM ({CORPUS}))
-    WHERE {UNIFORM.format(9)} < CASE band WHEN 1 THEN 0.8 WHEN 2 THEN 0.55 ELSE 0.15 END""")
+TERCILES = f"""WITH c AS (SELECT id, category, label, CAST(token_length AS INT) AS n, ntile(3) OVER (PARTITION BY category ORDER BY CAST(token_length AS INT), id) AS band FROM ({CORPUS})),
+    p AS (SELECT * FROM c WHERE {UNIFORM.format(9)} < CASE band WHEN 1 THEN 0.8 WHEN 2 THEN 0.55 ELSE 0.15 END),
+    f AS (SELECT *, row_number() OVER (PARTITION BY category, label, band ORDER BY n, id) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.category = c.category AND p.label = c.label AND p.band = c.band))
+    SELECT id, band, 'rate' AS why FROM p UNION ALL SELECT id, band, 'floor' FROM f WHERE k = 1"""
+
+
+@query("B11_tercile_rates", TERCILES)
 def tercile_rates(spark, sf_dir):
-    w = Window.partitionBy("category").orderBy(F.col("token_length").cast("int"), "id")
-    c = corpus(spark, sf_dir).select("id", "category", "token_length").withColumn("band", F.ntile(3).over(w))
+    """Rates by tercile of length within a category, then the shortest row of each cell (category, label, band) that got none."""
+    c = corpus(spark, sf_dir).select("id", "category", "label", F.col("token_length").cast("int").alias("n"))
+    sizes = c.groupBy("category").agg(F.count("*").alias("rows"))
+    ranked = ranked_by_pieces(c, ["category"], ["n", "id"], F.col("n")).join(sizes, "category")
+    banded = materialised(ranked.withColumn("band", tile(F.col("rank") - 1, F.col("rows"), 3)).select("id", "category", "label", "n", "band"))
     rate = F.when(F.col("band") == 1, 0.8).when(F.col("band") == 2, 0.55).otherwise(0.15)
-    return c.filter(ops.hash_uniform(9, "id") < rate).select("id", "band")
+    picked = banded.filter(ops.hash_uniform(9, "id") < rate)
+    cell = ["category", "label", "band"]
+    empty = banded.join(picked.select(*cell).distinct(), cell, "left_anti").groupBy(*cell).agg(F.min(F.struct("n", "id")).alias("first"))
+    return picked.select("id", "band", F.lit("rate").alias("why")).unionByName(empty.select("first.id", "band", F.lit("floor").alias("why")))
 
 
 @query("B12_curriculum", f"SELECT CASE WHEN CAST(token_length AS INT) < 200 THEN 1 WHEN CAST(token_length AS INT) < 800 THEN 2 ELSE 3 END AS stage, count(*) AS n FROM ({CORPUS}) GROUP BY 1")

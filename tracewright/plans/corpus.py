@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import corpus as ops
 from tracewright.plans.inputs import CORPUS, EQUATIONS, corpus, equations, table
 from tracewright.plans.registry import query
+from tracewright.sources.files import materialised, scratch
 
 TOKENS = "CAST(token_length AS INT)"
 
@@ -18,11 +17,7 @@ TOKENS = "CAST(token_length AS INT)"
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; of the machine only in local runs without a checkpoint folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{at.rstrip('/')}/tracewright/{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="tracewright-")
+    return scratch(spark, "format")
 
 
 DOCS = "SELECT doc_id, text, lang FROM documents"
@@ -59,11 +54,11 @@ def json_document(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.ref").alias("ref")).agg(F.count("*").alias("n"))
 
 
-@query("S10_id_list", "SELECT DISTINCT c_name AS id FROM customer WHERE c_custkey % 3 = 0")
+@query("S10_id_list", "SELECT DISTINCT c_name AS id FROM customer")
 def id_list(spark, sf_dir):
     """A sorted list of ids as text lines, read with blanks dropped."""
     path = _scratch(spark) + "/ids"
-    table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_name").distinct().orderBy("c_name").write.text(path)
+    table(spark, sf_dir, "customer").select("c_name").distinct().orderBy("c_name").write.text(path)
     return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
 
 
@@ -90,18 +85,24 @@ def folder_rows(spark, sf_dir):
 
 @query("S13_tree_walk", "SELECT depth, CAST(count(*) AS BIGINT) AS n FROM (SELECT floor(log2(p_partkey)) AS depth FROM part WHERE p_partkey > 0) GROUP BY depth")
 def tree_walk(spark, sf_dir):
-    """A tree of nodes (parent = half the id) walked from its root, level by level."""
-    table(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("tw_tree")
-    return spark.sql("""
-        WITH RECURSIVE walk(id, depth) AS (
-            SELECT p_partkey, CAST(0 AS DOUBLE) FROM tw_tree WHERE p_partkey = 1
-            UNION ALL SELECT t.p_partkey, w.depth + 1 FROM tw_tree t JOIN walk w ON t.p_partkey DIV 2 = w.id WHERE t.p_partkey > 1)
-        SELECT depth, count(*) AS n FROM walk GROUP BY depth""")
+    """A tree of nodes (parent = half the id) walked from its root: a join and a table for each level, as deep and as wide as it is."""
+    nodes = table(spark, sf_dir, "part").select("p_partkey")
+    level, depth, walked = materialised(nodes.filter("p_partkey = 1").select("p_partkey")), 0, None
+    while not level.isEmpty():
+        counted = level.agg(F.count("*").alias("n")).select(F.lit(float(depth)).alias("depth"), "n")
+        walked = counted if walked is None else walked.unionByName(counted)
+        above = level.select(F.col("p_partkey").alias("__above"))
+        level = materialised(nodes.filter("p_partkey > 1").join(above, F.expr("p_partkey DIV 2") == F.col("__above")).select("p_partkey"))
+        depth += 1
+    return walked if walked is not None else spark.createDataFrame([], "depth double, n long")
 
 
 @query("S15_page_refs", "SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(DISTINCT url) AS refs FROM pages GROUP BY 1")
 def page_refs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")).agg(F.countDistinct("url").alias("refs"))
+    """Distinct references of each host over two listings of the pages, by id and by address."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    listed = p.select("host", "url", F.lit("id").alias("by")).unionByName(p.select("host", "url", F.lit("address").alias("by")))
+    return listed.select("host", "url").distinct().groupBy("host").agg(F.count("url").alias("refs"))
 
 
 @query("S16_page_bodies", "SELECT page_id, md5(substr(html, 1, 15000)) AS body, html IS NULL AS failed FROM pages")
@@ -109,11 +110,14 @@ def page_bodies(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.substring("html", 1, 15000).cast("binary")).alias("body"), F.col("html").isNull().alias("failed"))
 
 
-@query("S17_skip_existing", "SELECT p.page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id = p.page_id AND q.page_id % 4 = 0)")
+@query("S17_skip_existing", "SELECT page_id, page_id % 4 = 0 AS was_there FROM pages")
 def skip_existing(spark, sf_dir):
-    """Only what the target doesn't have yet."""
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id").join(pages.filter("page_id % 4 = 0").select("page_id"), "page_id", "left_anti")
+    """A second run adds only what its target doesn't have yet; the first one stopped after some."""
+    path, pages = _scratch(spark) + "/target", table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.filter("page_id % 4 = 0").select("page_id", "html", F.lit(True).alias("was_there")).write.parquet(path)
+    there = spark.read.schema("page_id long, html string, was_there boolean").parquet(path)
+    pages.join(there.select("page_id"), "page_id", "left_anti").withColumn("was_there", F.lit(False)).write.mode("append").parquet(path)
+    return spark.read.schema(there.schema).parquet(path).select("page_id", "was_there")
 
 
 @query("S18_keyword_index", "SELECT item_id FROM benchmark WHERE regexp_matches(text, '(?i)\\b(the|and|with)\\b')")
@@ -124,7 +128,9 @@ def keyword_index(spark, sf_dir):
 @query("S27_summary_json", "SELECT '{\"n\":' || count(*) || ',\"open\":' || CAST(sum(CAST(o_orderstatus = 'O' AS INT)) AS BIGINT) || '}' AS summary FROM orders")
 def summary_json(spark, sf_dir):
     s = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "O").cast("int")).alias("open"))
-    return s.select(F.to_json(F.struct("n", "open")).alias("summary"))
+    path = _scratch(spark) + "/summary"
+    s.coalesce(1).write.json(path)
+    return spark.read.text(path).select(F.col("value").alias("summary"))
 
 
 @query("S14_pretokenised", "SELECT doc_id AS id, CAST(len(string_split(text, ' ')) AS BIGINT) AS tokens, CAST(list_sum(list_transform(string_split(text, ' '), lambda x: CAST(length(x) > 3 AS INT))) AS BIGINT) AS masked FROM documents")
@@ -174,9 +180,9 @@ def strict_lookup(spark, sf_dir):
     return ops.strict_lookup(o, c, "c").select("id", "segment")
 
 
-@query("J5_sentinel_join", "SELECT c_custkey AS id, coalesce(min(o_orderstatus), 'M') AS box, coalesce(max(o_orderkey), -1) AS tokens FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 9 = 0 GROUP BY 1")
+@query("J5_sentinel_join", "SELECT c_custkey AS id, coalesce(min(o_orderstatus), 'M') AS box, coalesce(max(o_orderkey), -1) AS tokens FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def sentinel_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderstatus").alias("box"), F.max("o_orderkey").alias("tokens"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderstatus").alias("box"), F.max("o_orderkey").alias("tokens"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left").select("id", F.coalesce("box", F.lit("M")).alias("box"), F.coalesce("tokens", F.lit(-1)).alias("tokens"))
 
 
@@ -215,12 +221,12 @@ def order_replay(spark, sf_dir):
     return first.join(c, "id")
 
 
-@query("J12_interval_overlap", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_orderkey < b.o_orderkey AND floor(a.o_totalprice) <= floor(b.o_totalprice) + 20 AND floor(b.o_totalprice) <= floor(a.o_totalprice) + 20 WHERE a.o_custkey % 10 = 0 AND b.o_custkey % 10 = 0")
+@query("J12_interval_overlap", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_orderkey < b.o_orderkey AND floor(a.o_totalprice) <= floor(b.o_totalprice) + 20 AND floor(b.o_totalprice) <= floor(a.o_totalprice) + 20")
 def interval_overlap(spark, sf_dir):
     """Overlapping intervals by a grid: an interval goes to the cells it touches, pairs meet in the cell of the later start."""
     from tracewright.operators import ranges
 
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("low"), (F.floor("o_totalprice") + 20).alias("high"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("low"), (F.floor("o_totalprice") + 20).alias("high"))
     left = o.toDF("a", "low_a", "high_a")
     right = o.toDF("b", "low_b", "high_b")
     return ranges.overlap_join(left, right, ("low_a", "high_a"), ("low_b", "high_b"), 200).filter("a < b").select("a", "b")
@@ -440,7 +446,8 @@ def _seed(seed: int) -> str:
 def cap_by_type(spark, sf_dir):
     cap = F.when(F.col("category") == "src0", 5).when(F.col("category") == "src1", 20).otherwise(12)
     c = corpus(spark, sf_dir).select("id", "category", ops.hash_order(7, "id").alias("h"))
-    return ops.ranked(c, ["category"], ["h", "id"]).filter(F.col("rank") <= cap).select("id", "category")
+    # the largest cap first: rows beyond it leave before anything is dealt out
+    return ops.ranked(c, ["category"], ["h", "id"]).filter("rank <= 20").filter(F.col("rank") <= cap).select("id", "category")
 
 
 @query("B3_flat_cap", f"SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY {_seed(3)}, id) AS k FROM ({CORPUS})) WHERE k <= 10")
@@ -453,7 +460,7 @@ def flat_cap(spark, sf_dir):
 def downsample_easy(spark, sf_dir):
     c = corpus(spark, sf_dir).select("id", "category", ops.hash_order(5, "id").alias("h"))
     n = c.groupBy("category").agg(F.count("*").alias("n"))
-    r = ops.ranked(c, ["category"], ["h", "id"]).join(n, "category")
+    r = ops.ranked_by_pieces(c, ["category"], ["h", "id"], ops.hash_piece("h")).join(n, "category")
     return r.filter((F.col("category") != "src0") | (F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.1)))).select("id", "category")
 
 

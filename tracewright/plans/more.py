@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from tracewright.plans.corpus import _scratch
 from tracewright.plans.inputs import EQUATIONS, equations, table
 from tracewright.plans.registry import query
+from tracewright.sources import files
 
 
 @query("S5_path_discovery", "SELECT count(*) AS n FROM region")
 def path_discovery(spark, sf_dir):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/region.parquet").agg(F.count("*").alias("n"))
+    """The first of several places that is there; the first wins where two are."""
+    found = files.first_existing(spark, [f"{sf_dir}/old/region*.parquet", f"{sf_dir}/reg*.parquet", f"{sf_dir}/nation.parquet"])
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*found).agg(F.count("*").alias("n"))
 
 
 @query("S9_map_merge", "SELECT k, coalesce(arg_max(v, f), '') AS v FROM (SELECT n_regionkey AS k, n_name AS v, n_nationkey AS f FROM nation) GROUP BY 1")
@@ -27,11 +30,11 @@ def map_merge(spark, sf_dir):
 
 @query("S20_atomic_replace", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 1")
 def atomic_replace(spark, sf_dir):
-    """A table replaced by a committed job: readers see the old one or the new one."""
+    """A table whose content is replaced in one step: readers see the old one or the new one."""
     path, n = _scratch(spark) + "/t", table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    n.filter("id % 2 = 0").write.parquet(path)
-    n.filter("id % 2 = 1").write.mode("overwrite").parquet(path)
-    return spark.read.schema("id int").parquet(path)
+    files.replace_table(n.filter("id % 2 = 0"), path)
+    files.replace_table(n.filter("id % 2 = 1"), path)
+    return files.read_table(spark, path, "id int")
 
 
 @query("S21_append_resume", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
@@ -55,14 +58,16 @@ def batch_checkpoints(spark, sf_dir):
 @query("S25_markdown_report", "SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")
 def markdown_report(spark, sf_dir):
     g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return g.select(F.concat(F.lit("| "), "lang", F.lit(" | "), "n", F.lit(" |")).alias("line"))
+    path = _scratch(spark) + "/report.md"
+    g.select(F.concat(F.lit("| "), "lang", F.lit(" | "), "n", F.lit(" |")).alias("line")).coalesce(1).write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("line")).filter("line <> ''")
 
 
-@query("S28_tensor_files", "SELECT label AS step, round(sum(v), 2) AS total FROM (SELECT label, unnest(embedding[1:8]) AS v FROM embeddings) GROUP BY 1")
+@query("S28_tensor_files", "SELECT label AS step, round(sum(v), 2) AS total FROM (SELECT label, unnest(embedding) AS v FROM embeddings) GROUP BY 1")
 def tensor_files(spark, sf_dir):
     from tracewright.sources import tensors
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("step"), F.slice("embedding", 1, 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("step"), F.col("embedding").alias("v"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

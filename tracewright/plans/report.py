@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import report as ops
+from tracewright.operators.ranges import running
 from tracewright.plans.inputs import CORPUS, corpus, table
 from tracewright.plans.registry import query
 
@@ -31,18 +32,23 @@ def index_quantiles(spark, sf_dir):
 @query("A6_exclusive_quartiles", """WITH t AS (SELECT p_brand AS k, list_sort(list(p_size)) AS l FROM part GROUP BY 1), q AS (SELECT k, l, unnest([1, 2, 3]) AS i FROM t), j AS (SELECT *, greatest(1, least(len(l) - 1, (i * (len(l) + 1)) // 4)) AS j FROM q WHERE len(l) > 1)
     SELECT k, i, round((l[j] * (4 - (i * (len(l) + 1) - 4 * j)) + l[j + 1] * (i * (len(l) + 1) - 4 * j)) / 4.0, 6) AS q FROM j""")
 def exclusive_quartiles(spark, sf_dir):
-    """Cuts at (n + 1) p with interpolation, as the exclusive method has them; a brand's sizes are few distinct numbers."""
-    t = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("k")).agg(F.array_sort(F.collect_list("p_size")).alias("l")).filter(F.size("l") > 1)
-    q = t.select("k", "l", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("i"))
-    j = F.greatest(F.lit(1), F.least(F.size("l") - 1, F.floor(F.col("i") * (F.size("l") + 1) / 4))).cast("int")
-    d = F.col("i") * (F.size("l") + 1) - 4 * F.col("j")
-    return q.withColumn("j", j).select("k", "i", F.round((F.element_at("l", F.col("j")) * (4 - d) + F.element_at("l", F.col("j") + 1) * d) / 4.0, 6).alias("q"))
+    """Cuts at (n + 1) p with interpolation, as the exclusive method has them."""
+    c = ops.counted_places(table(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), "p_size"), ["k"], "p_size").filter("__all > 1")
+    n = F.col("__all")
+    place = lambda i: F.greatest(F.lit(1), F.least(n - 1, F.floor(i * (n + 1) / 4)))
+    g = c.groupBy("k").agg(F.max("__all").alias("__all"), *(x for i in (1, 2, 3) for x in (ops.nth("p_size", place(i) - 1).alias(f"a{i}"), ops.nth("p_size", place(i)).alias(f"b{i}"))))
+    cut = lambda i: (F.col(f"a{i}") * (4 - (i * (n + 1) - 4 * place(i))) + F.col(f"b{i}") * (i * (n + 1) - 4 * place(i))) / 4.0
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(cut(i), 6).alias("q")) for i in (1, 2, 3))))
+    return g.select("k", each.alias("r")).select("k", "r.i", "r.q")
 
 
 @query("A7_median_mean", "SELECT o_orderstatus AS k, median(floor(o_totalprice)) AS med, round(avg(floor(o_totalprice)), 4) AS mean FROM orders GROUP BY 1")
 def median_mean(spark, sf_dir):
-    p = F.floor("o_totalprice")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("k")).agg(F.median(p).alias("med"), F.round(F.avg(p), 4).alias("mean"))
+    """The mean of the two middle values, found by their places."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("k"), F.floor("o_totalprice").alias("p"))
+    c, n = ops.counted_places(o, ["k"], "p"), F.col("__all")
+    middle = (ops.nth("p", F.floor((n - 1) / 2)) + ops.nth("p", F.floor(n / 2))) / 2.0
+    return c.groupBy("k").agg(middle.alias("med"), F.round(F.sum(F.col("p") * F.col("__n")) / F.sum("__n"), 4).alias("mean"))
 
 
 @query("A8_tercile_bands", "WITH c AS (SELECT l[len(l) // 3 + 1] AS a, l[2 * len(l) // 3 + 1] AS b FROM (SELECT list_sort(list(p_size)) AS l FROM part)) SELECT CASE WHEN p_size <= a THEN 'low' WHEN p_size <= b THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM part, c GROUP BY 1")
@@ -204,8 +210,9 @@ def routing(spark, sf_dir):
 @query("A30_loop_statistics", "SELECT batch, n, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS done, round(sum(n) OVER (ORDER BY batch) * 1.0 / (batch + 1), 6) AS rate FROM (SELECT o_orderkey // 64 AS batch, count(*) AS n FROM orders GROUP BY 1)")
 def loop_statistics(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 64).alias("batch")).agg(F.count("*").alias("n"))
-    done = F.sum("n").over(Window.orderBy("batch"))
-    return g.select("batch", "n", done.alias("done"), F.round(done * 1.0 / (F.col("batch") + 1), 6).alias("rate"))
+    placed = running(g.withColumn("__all", F.lit(0)), "__all", ["batch"], F.floor(F.col("batch") / 1024), F.col("n"), "before")
+    done = F.col("before") + F.col("n")
+    return placed.select("batch", "n", done.alias("done"), F.round(done * 1.0 / (F.col("batch") + 1), 6).alias("rate"))
 
 
 @query("A31_histogram", "WITH e AS (SELECT min(length(text)) AS low, max(length(text)) AS high FROM documents) SELECT CAST(least(59, floor((length(text) - low) / greatest(high - low, 1) * 60)) AS INT) AS bin, count(*) AS n FROM documents, e GROUP BY 1")
@@ -213,13 +220,13 @@ def histogram(spark, sf_dir):
     return ops.histogram(table(spark, sf_dir, "documents").select(F.length("text").alias("v")).filter("v IS NOT NULL"), "v", 60)
 
 
-TENSORS = "SELECT label AS step, i, j, CAST(round(v * 1000) AS BIGINT) AS v FROM (SELECT label, vec_id % 4 AS i, j, embedding[j] AS v FROM embeddings, (SELECT unnest(range(1, 5)) AS j) WHERE vec_id < 40)"
+TENSORS = "SELECT label AS step, i, j, CAST(round(v * 1000) AS BIGINT) AS v FROM (SELECT label, vec_id % 4 AS i, j, embedding[j] AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings))"
 
 
 @query("A32_tensor_average", f"SELECT i, j, round(sum(v * (step + 1)) * 1.0 / sum(step + 1), 4) AS v FROM ({TENSORS}) GROUP BY 1, 2")
 def tensor_average(spark, sf_dir):
     """A weighted mean of matrices in long form."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 40").select(F.col("label").alias("step"), (F.col("vec_id") % 4).alias("i"), F.posexplode(F.slice("embedding", 1, 4)).alias("j", "v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("step"), (F.col("vec_id") % 4).alias("i"), F.posexplode("embedding").alias("j", "v"))
     w = F.col("step") + 1
     e = e.withColumn("v", F.round(F.col("v").cast("float") * 1000).cast("long")).withColumn("j", (F.col("j") + 1).cast("long"))
     return e.groupBy("i", "j").agg(F.round(F.sum(F.col("v") * w) * 1.0 / F.sum(w), 4).alias("v"))
@@ -230,7 +237,7 @@ def low_rank_merge(spark, sf_dir):
     """Low-rank factors of the mean of products B A of several snapshots, for each module."""
     from tracewright.operators import merge
 
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 96")
+    e = table(spark, sf_dir, "embeddings")
     f = e.select((F.col("vec_id") % 2).alias("module"), (F.floor(F.col("vec_id") / 2) % 3).alias("step"), F.floor(F.col("vec_id") / 6).cast("int").alias("k"), F.col("embedding"))
     return merge.svd_merge(f, rank=4)
 

@@ -59,10 +59,10 @@ INTERLEAVED = f"SELECT id, category, (row_number() OVER (PARTITION BY category O
 
 @query("T7_interleave", f"SELECT id, category, round(position, 9) AS position FROM ({INTERLEAVED})")
 def interleave(spark, sf_dir):
-    from tracewright.operators.corpus import hash_order
+    from tracewright.operators.corpus import hash_order, hash_piece
 
     c = corpus(spark, sf_dir).select("id", "category", hash_order(1, "id").alias("h"))
-    return ops.interleave(c, "category", ["h", "id"]).select("id", "category", F.round("position", 9).alias("position"))
+    return ops.interleave(c, "category", ["h", "id"], hash_piece("h")).select("id", "category", F.round("position", 9).alias("position"))
 
 
 @query("T8_batches", f"SELECT batch, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM ({CORPUS})) GROUP BY 1")

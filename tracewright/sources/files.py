@@ -11,15 +11,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back; in local runs without one, a folder of the machine."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{at.rstrip('/')}/tracewright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One of the machine only in local mode, where the session names none; on a cluster that is an error."""
+    conf = spark.sparkContext.getConf()
+    at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not at and not (conf.get("spark.master") or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (at or "file:///tmp/checkpoints").rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as Spark itself has them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf), at
+
+
+def scratch(spark: SparkSession, name: str, passing: bool = True) -> str:
+    """A new path in the shared folder; a passing one goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
+    if passing:
+        system, at = hadoop(spark, path)
+        system.deleteOnExit(at)
+    return path
+
+
+def materialised(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no rerun of what came before."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_existing(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The paths that the first pattern with any gives, sorted; none where no pattern has."""
+    for pattern in patterns:
+        system, at = hadoop(spark, pattern)
+        found = system.globStatus(at)
+        if found:
+            return sorted(s.getPath().toString() for s in found)
+    return []
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df as the new content of a table. It is written beside the old one, then a pointer file is renamed over the old pointer in one step: readers see one or the other, whole."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    system, new = hadoop(spark, f"{path}/_next-{version}")
+    out = system.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT"), over)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the pointer of a replaced table names."""
+    version = spark.read.text(f"{path}/CURRENT").first()["value"]
+    return spark.read.schema(schema).parquet(f"{path}/{version}")
+
+
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """Fields are strings whatever they look like; quotes are doubled, line breaks stay inside fields, size has no limit."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
