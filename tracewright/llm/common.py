@@ -1,57 +1,19 @@
-"""What the operators share: the shared folder, lineage cuts, two-level ranks."""
+"""What the operators share: the shared folder, lineage cuts, ranks by pieces, ASCII case."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pieces whose sums are summed in one task.
-PARTS = 1024
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (at or "file:///tmp/checkpoints").rstrip("/")
-
+from tracewright.operators.ranges import running
+from tracewright.sources.files import materialised as cut
+from tracewright.sources.files import scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "running", "scratch"]
 
-
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs no rerun of what came before."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered and nothing else; lower() does the same, faster, where a text is all ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def running(df: DataFrame, key: str, order: list[str], part: Column, value: Column, out: str, levels: int = 2) -> DataFrame:
-    """Sum of value over the rows of a key that come before each row, in (part, order).
-
-    part is a number that rises with the order and splits a key into pieces that
-    fit a task, so that a key with a third of all rows is spread: sums per
-    (key, part) are gathered first, and only inside a piece are rows sorted. The
-    sums are summed in the same way, PARTS pieces at a time, levels deep.
-    """
-    p, v, base = f"__part{levels}", f"__value{levels}", f"__base{levels}"
-    df = df.withColumn(p, part).withColumn(v, value)
-    sums = df.groupBy(F.col(key).alias("__k"), F.col(p).alias("__p")).agg(F.sum(v).alias("__v"))
-    if levels:
-        sums = running(sums, "__k", ["__p"], F.floor(F.col("__p") / PARTS), F.col("__v"), base, levels - 1)
-    else:
-        before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn(base, F.coalesce(F.sum("__v").over(before), F.lit(0)))
-    sums = sums.select(F.col("__k").alias("__key"), F.col("__p").alias("__at"), base)
-    inside = Window.partitionBy(key, p).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__in", F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    joined = df.join(sums, df[key].eqNullSafe(sums["__key"]) & (df[p] == sums["__at"]))
-    return joined.withColumn(out, F.col(base) + F.col("__in")).drop(p, v, base, "__in", "__key", "__at")
