@@ -19,6 +19,28 @@ def mask_and_shift(prompt: Column, completion: Column, limit: int) -> Column:
     return F.struct(F.slice(ids, F.lit(1), short).alias("tokens"), F.slice(ids, F.lit(2), short).alias("targets"), F.slice(mask, F.lit(2), short).alias("weights"))
 
 
+def padded(ids: Column, width: Column, fill: int = 0) -> Column:
+    """Struct (ids, mask): ids filled up to width, and which of them are real."""
+    more = F.greatest(width - F.size(ids), F.lit(0))
+    return F.struct(F.concat(ids, F.array_repeat(F.lit(fill), more)).alias("ids"), F.concat(F.transform(ids, lambda x: F.lit(1)), F.array_repeat(F.lit(0), more)).alias("mask"))
+
+
+def micro_batches(df: DataFrame, row_no: str, ids: str, size: int, fill: int = 0) -> DataFrame:
+    """df with micro, width and padded: rows by number, `size` at a time, each as wide as the widest of its micro-batch."""
+    numbered = df.withColumn("micro", F.floor(F.col(row_no) / size))
+    # widths are one number a micro-batch; arrays are joined to them, not gathered
+    widths = numbered.groupBy("micro").agg(F.max(F.size(ids)).alias("width"))
+    return numbered.join(widths, "micro").withColumn("padded", padded(F.col(ids), F.col("width"), fill))
+
+
+def preference_side(prompt: Column, answer: Column, emitted: Column, end_id: int, limit: int) -> Column:
+    """Struct (ids, mask) of a side of a preference pair: the end id follows only where it was emitted; loss on what the model wrote."""
+    written = F.concat(answer, F.when(emitted, F.array(F.lit(end_id))).otherwise(F.array().cast("array<int>")))
+    ids = F.slice(F.concat(prompt, written), 1, limit)
+    p = F.least(F.size(prompt), F.size(ids))
+    return F.struct(ids.alias("ids"), F.concat(F.array_repeat(F.lit(0), p), F.array_repeat(F.lit(1), F.size(ids) - p)).alias("mask"))
+
+
 def interleave(df: DataFrame, stratum: str, order: list, piece: Column, out: str = "position") -> DataFrame:
     """Each stratum spread evenly: a row's key is its rank over the stratum's size; piece rises with the order."""
     n = df.groupBy(stratum).agg(F.count("*").alias("__n"))

@@ -70,11 +70,24 @@ def features(spark, sf_dir):
     return p.select("puzzle", F.size("e").cast("long").alias("n_ex"), F.size(ops).cast("long").alias("n_ops"), F.exists("e", lambda s: F.startswith(s["output"], F.lit("-"))).alias("signed"), F.exists("e", lambda s: F.length(s["output"]) >= 3).alias("arith"))
 
 
-@query("P8_prompt_feats", f"SELECT n_ex, n_digits, count(*) AS n FROM (SELECT puzzle, count(*) AS n_ex, CAST(max(length(CAST(abs(out) AS VARCHAR))) AS BIGINT) AS n_digits FROM ({EQUATIONS}) GROUP BY puzzle) GROUP BY ALL")
+_LINE = "regexp_extract(line, '^\\s*(\\d+)(\\D)(\\d+)\\s*=\\s*(\\S+)\\s*$', ['a', 'op', 'b', 'out'])"
+
+
+@query("P8_prompt_feats", f"""SELECT puzzle, bool_or(regexp_matches(e.out, '\\D')) AS signed, count(DISTINCT e.op) AS n_ops, count(*) AS n_ex, count(DISTINCT CASE WHEN e.op IN ('+', '-', '*') THEN e.op END) AS arith_syms, bool_or(e.out = e.a || e.b OR e.out = e.b || e.a) AS has_concat,
+    CAST(max(length(regexp_replace(e.out, '\\D', '', 'g'))) AS BIGINT) AS n_digits, CASE WHEN bool_or(regexp_matches(e.out, '\\D$')) THEN 'leftward' ELSE 'rightward' END AS reading FROM (SELECT puzzle, {_LINE} AS e FROM ({EXAMPLES})) GROUP BY puzzle""")
 def prompt_feats(spark, sf_dir):
+    """Seven features from the prompt alone, inside the row."""
     e, _ = parse.parse_prompt(F.col("prompt"))
-    digits = F.array_max(F.transform(e, lambda s: F.length(F.regexp_replace(s["output"], "^-", ""))))
-    return prompts(spark, sf_dir).select(F.size(e).cast("long").alias("n_ex"), digits.cast("long").alias("n_digits")).groupBy("n_ex", "n_digits").agg(F.count("*").alias("n"))
+    pattern = r"^\s*(\d+)(\D)(\d+)\s*$"
+    part = lambda s, i: F.regexp_extract(s["input"], pattern, i)
+    rows = prompts(spark, sf_dir).select("puzzle", F.transform(e, lambda s: F.struct(part(s, 1).alias("a"), part(s, 2).alias("op"), part(s, 3).alias("b"), s["output"].alias("out"))).alias("e"))
+    ops = F.array_distinct(F.transform("e", lambda s: s["op"]))
+    long = lambda c: c.cast("long")
+    return rows.select(
+        "puzzle", F.exists("e", lambda s: s["out"].rlike(r"\D")).alias("signed"), long(F.size(ops)).alias("n_ops"), long(F.size("e")).alias("n_ex"), long(F.size(F.array_intersect(ops, F.array(*map(F.lit, "+-*"))))).alias("arith_syms"),
+        F.exists("e", lambda s: (s["out"] == F.concat(s["a"], s["b"])) | (s["out"] == F.concat(s["b"], s["a"]))).alias("has_concat"), long(F.array_max(F.transform("e", lambda s: F.length(F.regexp_replace(s["out"], r"\D", ""))))).alias("n_digits"),
+        F.when(F.exists("e", lambda s: s["out"].rlike(r"\D$")), "leftward").otherwise("rightward").alias("reading"),
+    )
 
 
 @query("P9_example_count", "SELECT o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS examples FROM orders")

@@ -1,15 +1,18 @@
-"""Training-set materialisation."""
+"""Training-set materialisation."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions import tokens
 from tracewright.functions.text import boxed_live
+from tracewright.operators import bitrules
 from tracewright.operators import trainset as ops
 from tracewright.operators.ranges import numbered
 from tracewright.plans.inputs import CORPUS, OUTPUTS, PREDICTED, corpus, outputs, table
 from tracewright.plans.registry import query
+from tracewright.plans.solving import by_puzzle, words
 
 
 @query("T1_chat_prompt", "SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || chr(10) || 'Put the answer in \\boxed{}.<|im_end|>' || chr(10) AS prompt FROM conversations WHERE role = 'user'")
@@ -26,18 +29,20 @@ def completion(spark, sf_dir):
 
 
 #: Token ids of a text: lengths of its words, a stand-in that both engines have.
-IDS = "SELECT doc_id AS id, lang, list_transform(string_split(left(text, 200), ' '), lambda x: CAST(length(x) AS INT)) AS prompt, list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS INT)) AS completion FROM documents WHERE text IS NOT NULL"
+IDS = "SELECT doc_id AS id, lang, list_transform(string_split('Write in ' || coalesce(lang, 'any language') || ' for ' || source, ' '), lambda x: CAST(length(x) AS INT)) AS prompt, list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS INT)) AS completion FROM documents WHERE text IS NOT NULL"
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda c: F.transform(F.split(c, " ", -1), lambda x: F.length(x))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "lang", ids(F.left("text", F.lit(200))).alias("prompt"), ids(F.col("text")).alias("completion"))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "lang", ids(F.concat(F.lit("Write in "), F.coalesce("lang", F.lit("any language")), F.lit(" for "), "source")).alias("prompt"), ids(F.col("text")).alias("completion"))
 
 
-@query("T3_tokenise", f"SELECT id, least(512, len(prompt) + len(completion)) AS n, CAST(list_sum((prompt || completion)[:512]) AS BIGINT) AS total FROM ({IDS})")
+@query("T3_tokenise")
 def tokenise(spark, sf_dir):
-    ids = F.slice(F.concat("prompt", "completion"), 1, 512)
-    return token_ids(spark, sf_dir).select("id", F.size(ids).cast("long").alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """Ids of prompt and whole text by a public tokenizer, put together, ended and cut at 512."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.token_ids(F.concat(F.lit("Write for "), "source")).alias("prompt"), tokens.token_ids(F.col("text")).alias("completion"))
+    ids = F.slice(F.concat("prompt", "completion", F.array(F.lit(tokens.END_ID))), 1, 512)
+    return d.select("id", F.size("prompt").alias("n_prompt"), F.size("completion").alias("n_completion"), ids.alias("ids"))
 
 
 @query("T4_mask_and_shift", f"SELECT id, len(ids) - 1 AS n, CAST(coalesce(list_sum(ids[2:]), 0) AS BIGINT) AS targets, greatest(0, len(ids) - greatest(1, p)) AS weights FROM (SELECT id, (prompt || completion)[:256] AS ids, least(len(prompt), 256) AS p FROM ({IDS}))")
@@ -78,10 +83,15 @@ def rank_split(spark, sf_dir):
     return n.groupBy(F.floor(F.col("row_no") / 32).alias("batch"), F.floor(F.col("row_no") % 32 / 16).alias("rank")).agg(F.count("*").alias("n"))
 
 
-@query("T10_micro_batches", f"SELECT micro, CAST(max(n) AS BIGINT) AS width, CAST(sum(m - n) AS BIGINT) AS padding FROM (SELECT micro, n, max(n) OVER (PARTITION BY micro) AS m FROM (SELECT id // 4 AS micro, len(completion) AS n FROM ({IDS}))) GROUP BY 1")
+@query("T10_micro_batches", f"""SELECT id, micro, CAST(width AS INT) AS width, md5(array_to_string(list_resize(completion, width, 0), ',')) AS padded, CAST(len(completion) AS BIGINT) AS attended
+    FROM (SELECT *, max(len(completion)) OVER (PARTITION BY micro) AS width FROM (SELECT id, completion, (row_number() OVER (ORDER BY id) - 1) // 4 AS micro FROM ({IDS})))""")
 def micro_batches(spark, sf_dir):
-    n = F.size("completion")
-    return token_ids(spark, sf_dir).groupBy(F.floor(F.col("id") / 4).alias("micro")).agg(F.max(n).cast("long").alias("width"), (F.max(n) * F.count("*") - F.sum(n)).cast("long").alias("padding"))
+    """Rows of four, filled up to the widest of each, with attention masks."""
+    t = token_ids(spark, sf_dir)
+    n = numbered(t.select("id"), "id")
+    m = ops.micro_batches(t.join(n, "id"), "row_no", "completion", 4)
+    attended = F.aggregate("padded.mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return m.select("id", "micro", "width", F.md5(F.array_join("padded.ids", ",").cast("binary")).alias("padded"), attended.alias("attended"))
 
 
 @query("T11_weighted_loss", "SELECT l_orderkey AS id, round(coalesce(sum(l_quantity * l_linenumber) / nullif(sum(l_linenumber), 0), 0), 6) AS loss FROM lineitem GROUP BY 1")
@@ -120,11 +130,24 @@ def snapshots(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array_sort(F.array_union(F.sequence(F.lit(60).cast("bigint"), F.lit(245).cast("bigint"), F.lit(60).cast("bigint")), marks))).alias("step"))
 
 
-@query("T15_preference_pairs", f"SELECT c.id, c.n AS chosen, r.n AS rejected, c.n > r.n AS longer FROM (SELECT id, len(completion) AS n FROM ({IDS}) WHERE id % 2 = 0) c JOIN (SELECT id - 1 AS id, len(completion) AS n FROM ({IDS}) WHERE id % 2 = 1) r ON c.id = r.id")
+#: A rejected text emitted its end where it ends in a stop; the chosen one always did.
+_SIDES = f"SELECT id, source_key, prompt, completion, right(text, 1) = '.' AS ended FROM ({IDS}) JOIN (SELECT doc_id, text, source AS source_key FROM documents) d ON id = d.doc_id"
+
+
+@query("T15_preference_pairs", f"""WITH s AS ({_SIDES}), p AS (SELECT c.id, c.prompt, c.completion AS chosen, r.completion AS rejected, r.ended FROM s c JOIN s r ON c.id % 2 = 0 AND r.id = c.id + 1)
+    SELECT id, CAST(least(1024, len(prompt) + len(chosen) + 1) AS INT) AS chosen_tokens, CAST(least(1024, len(prompt) + len(rejected) + CAST(ended AS INT)) AS INT) AS rejected_tokens,
+        CAST(least(1024, len(prompt) + len(chosen) + 1) - len(prompt) AS BIGINT) AS chosen_loss, CAST(least(1024, len(prompt) + len(rejected) + CAST(ended AS INT)) - len(prompt) AS BIGINT) AS rejected_loss,
+        CAST(list_sum((prompt || chosen || [-1])[:1024]) AS BIGINT) AS chosen_sum, CAST(list_sum((prompt || rejected || CASE WHEN ended THEN [-1] ELSE [] END)[:1024]) AS BIGINT) AS rejected_sum FROM p""")
 def preference_pairs(spark, sf_dir):
-    t = token_ids(spark, sf_dir).select("id", F.size("completion").cast("long").alias("n"))
-    reject = t.filter("id % 2 = 1").select((F.col("id") - 1).alias("id"), F.col("n").alias("rejected"))
-    return t.filter("id % 2 = 0").withColumnRenamed("n", "chosen").join(reject, "id").withColumn("longer", F.col("chosen") > F.col("rejected"))
+    """Two texts after one prompt, the first preferred: ids, masks and ends."""
+    ended = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.right("text", F.lit(1)) == ".").alias("ended"))
+    t = token_ids(spark, sf_dir).join(ended, "id")
+    reject = t.filter("id % 2 = 1").select((F.col("id") - 1).alias("id"), F.col("completion").alias("rejected"), "ended")
+    pairs = t.filter("id % 2 = 0").select("id", "prompt", F.col("completion").alias("chosen")).join(reject, "id")
+    side = lambda answer, end: ops.preference_side(F.col("prompt"), F.col(answer), end, -1, 1024)
+    s = pairs.select("id", side("chosen", F.lit(True)).alias("c"), side("rejected", F.col("ended")).alias("r"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("id", F.size("c.ids").alias("chosen_tokens"), F.size("r.ids").alias("rejected_tokens"), add("c.mask").alias("chosen_loss"), add("r.mask").alias("rejected_loss"), add("c.ids").alias("chosen_sum"), add("r.ids").alias("rejected_sum"))
 
 
 @query("T16_eos_flag", "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS eos FROM orders")
@@ -142,12 +165,12 @@ def sequence_logprob(spark, sf_dir):
     return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.round(-F.sum(F.col("l_quantity") / 10.0 * (F.col("l_linenumber") % 2)), 6).alias("logprob"))
 
 
-@query("T18_failure_correction", f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n > 1500 THEN 'too long' WHEN id % 5 = 0 THEN 'no trace' WHEN n + 300 <= 1000 THEN 'top 3' WHEN n + 200 <= 1000 THEN 'top 2' ELSE 'top 1' END AS reason FROM (SELECT id, len(completion) AS n FROM ({IDS}))) GROUP BY 1")
+@query("T18_failure_correction")
 def failure_correction(spark, sf_dir):
-    """How many of three corrections fit behind a trace, or why none is added."""
-    n = F.size("completion")
-    reason = F.when(n > 1500, "too long").when(F.col("id") % 5 == 0, "no trace").when(n + 300 <= 1000, "top 3").when(n + 200 <= 1000, "top 2").otherwise("top 1")
-    return token_ids(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Behind each puzzle's failed guess the bits that it got wrong, with the rule that an example refutes and one that holds: as many of three as fit, or why none is there."""
+    kind = "struct<reason:string,corrected:int,text:string>"
+    rows = words(spark, sf_dir).withColumn("c", by_puzzle(kind, lambda xs, ys: dict(zip(("reason", "corrected", "text"), bitrules.correction(xs, ys, limit=60), strict=True))))
+    return rows.select("puzzle", "c.*")
 
 
 @query("T19_category_prefix", f"SELECT id, category || ': \\boxed{{' || answer || '}}' AS target FROM ({OUTPUTS})")
