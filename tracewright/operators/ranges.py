@@ -12,7 +12,7 @@ from tracewright.sources.files import materialised
 PARTS = 1024
 
 
-def running(df: DataFrame, key: str, order: list[str], part: Column, value: Column, out: str, levels: int = 2) -> DataFrame:
+def running(df: DataFrame, key: str, order: list[str], part: Column, value: Column, out: str, levels: int = 1) -> DataFrame:
     """Sum of value over the rows of a key that come before each row, in (part, order).
 
     part is a number that rises with the order and splits a key into pieces that
