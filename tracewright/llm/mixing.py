@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, running
@@ -38,7 +38,7 @@ SLOTS, SLOTS_EACH, MAX_SLOTS = 1 << 20, 256, 1 << 30
 CIRCLE, PHI = 1 << 32, (math.sqrt(5) - 1) / 2
 #: Parts of a wanted slot that shares are counted in; rows of a piece that is ordered in one task.
 FINE, PIECE = 1 << 16, 1024
-#: Sources that are broadcast at most; beyond, rows meet them in a join salted into SALT parts.
+#: Sources that are broadcast, or sorted in one task, at most; beyond, they are numbered in ranges, and rows meet them in a join salted into SALT parts.
 BROADCAST, SALT = 100_000, 64
 
 
@@ -46,15 +46,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS) -> DataFrame:
-    """Adds source_no, weight and target to (source, source_size, ..), one row a source.
+def targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, few: bool = False) -> DataFrame:
+    """Adds source_no, weight and target to (source, source_size, ..), one row a source; few: at most BROADCAST rows, which one task may sort.
 
     Open sources share what is left in proportion to their weights. That ratio
     only rises as sources stop at `repeats` times their size, so a source has
     stopped just when the last ratio would give it more; each round is one sum.
     """
-    named = stats.withColumn("__name", F.concat(F.col("source").isNull().cast("int").cast("string"), F.coalesce("source", F.lit(""))))
-    st = numbered(named, "__name", "source_no").drop("__name")
+    if few:
+        first = Window.orderBy(F.col("source").isNull(), "source")
+        st = stats.withColumn("source_no", (F.row_number().over(first) - 1).cast("long"))
+    else:
+        named = stats.withColumn("__name", F.concat(F.col("source").isNull().cast("int").cast("string"), F.coalesce("source", F.lit(""))))
+        st = numbered(named, "__name", "source_no").drop("__name")
     st = cut(st.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))), "sources")
     most = F.col("source_size") * F.lit(float(repeats))
     row = st.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
@@ -71,14 +75,17 @@ def targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
     return st.withColumn("target", F.greatest(share, F.lit(0.0)))
 
 
-def shares(goals: DataFrame, block: int) -> tuple[DataFrame, int]:
+def shares(goals: DataFrame, block: int, few: bool = False) -> tuple[DataFrame, int]:
     """Adds blocks, low and high to the goals: the arc [low, high) of the circle that is a source's; and the number of slots."""
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     want = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size") * FINE)).otherwise(F.lit(0)).cast("long")
     rows = goals.withColumn("blocks", blocks).withColumn("want", want).withColumn("__all", F.lit(0))
     whole = rows.agg(F.sum("want").alias("n")).first()["n"] or 0
     at = lambda x: F.floor(x.cast("double") / F.lit(float(max(whole, 1))) * F.lit(float(CIRCLE))).cast("long")
-    placed = running(rows, "__all", ["source_no"], F.floor(F.col("source_no") / PIECE), F.col("want"), "before")
+    if few:
+        placed = rows.withColumn("before", F.coalesce(F.sum("want").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        placed = running(rows, "__all", ["source_no"], F.floor(F.col("source_no") / PIECE), F.col("want"), "before")
     arcs = placed.withColumn("low", at(F.col("before"))).withColumn("high", at(F.col("before") + F.col("want")))
     return arcs.drop("__all", "before", "want"), round(whole / FINE)
 
@@ -113,10 +120,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float =
     row = stats.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
     sources, words = row["n"], row["words"] or 0
     block = block or max(1, words // min(MAX_SLOTS, max(SLOTS, SLOTS_EACH * sources)))
-    arcs, slots = shares(targets(stats, weights, repeats), block)
+    few = sources <= BROADCAST
+    arcs, slots = shares(targets(stats, weights, repeats, few), block, few)
     arcs = cut(arcs.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("long")), "arcs")
     known = arcs.select(F.col("source").alias("__name"), "source_no", "source_size", "target", "pieces")
-    if sources <= BROADCAST:
+    if few:
         named = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__name")))
     else:
         salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -125,12 +133,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: float =
     piece = F.floor(F.col("h") / (F.lit(float(2**63)) / F.col("pieces")))
     full = running(named.filter("size > 0"), "source_no", ["h", "doc_id", "size", *keep], piece, F.col("size"), "begin")
     full = cut(full.select(*keep, "doc_id", "size", "source_no", "source_size", "target", "begin"), "placed")
-    taken = schedule(arcs, slots, sources, repeats).groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"), F.min("position").alias("first"))
-    parts = full.select("source_no", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
+    taken = cut(schedule(arcs, slots, sources, repeats).groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"), F.min("position").alias("first")), "taken")
+    parts = full.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     words_in = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
-    joined = parts.join(taken, ["source_no", "block"])
-    got = joined.groupBy("source_no", "begin").agg(F.sum(words_in * F.col("times")).alias("taken"), F.min("first").alias("first_slot"), F.sum("times").alias("slots"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    every = full.join(got, ["source_no", "begin"], "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("slots"), *keep)
+    times = F.coalesce("times", F.lit(0))
+    joined = parts.join(taken, ["source_no", "block"], "left")
+    # begin tells rows of a source apart
+    got = joined.groupBy("source_no", "begin", "doc_id", "size", "source_size", "target", *keep).agg(F.sum(words_in * times).cast("long").alias("taken"), F.min("first").alias("first_slot"), F.sum(times).cast("long").alias("slots"))
+    every = got.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots", *keep)
     none = named.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("slots"), *keep)
     return every.unionByName(none)
