@@ -150,6 +150,7 @@ def test_chunks_are_what_the_tokenizer_says(tokenizer):
     rng = random.Random(1)
     odd = ["it's a ΣΑΣ test", "été Été ÉCOLE", "x1y2, a.b,c!! <|endoftext|>q", "İstanbul ǅ ﬁ ａｂ", "don't,can't. 12,5 € – „ja“ ...", "中文字 한국어 كتاب。", "a b c\x1cd\x85e", "", "The|the|THE", "été, naïve"]
     odd += ["".join(rng.choice("abcZÉßΣσçñ'.,!?| \n\t19中́ ") for _ in range(60)) for _ in range(500)]
+    odd += ["".join(rng.choice("abst's.#$%&*()-_/<>|~^`{}@+= ") for _ in range(60)) for _ in range(2000)] + ["a's's' b'' 's <|a|> x<|endoftext|> y|> <|startoftext|>z rock'n'roll' it's''"]
     chunks = packing.ChunkTokenizer(packing.tokenizer_path())
     assert chunks.encoder is not None
     for t, b in zip(odd, chunks.ids([t.encode() for t in odd]), strict=True):
@@ -413,12 +414,21 @@ def test_simhash_awkward(awkward, empty):
     assert {r["component_id"] for r in rows if r["doc_id"] in (3, 4, 10)} == {3}
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_of_a_path_and_a_star(spark, few):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
 
 
+def test_components_both_ways_agree(spark):
+    rng = random.Random(41)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(380)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, two = ({(r["node"], r["root"]) for r in graph.components(df, few).collect()} for few in (0, 10**6))
+    assert one == two and graph.components(df.limit(0)).count() == 0
+
+
 # 8
 
 

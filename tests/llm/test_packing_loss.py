@@ -63,7 +63,13 @@ def test_memory_of_chunks_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 100_000)
     chunks = packing.ChunkTokenizer(packing.tokenizer_path())
     texts = [" ".join(f"w{'abcdefghij'[k % 10]}{chr(97 + k // 260)}{chr(97 + k % 26)}" for k in range(i, i + 50)) for i in range(3000)] + [b"x".decode() * 60_000]
+    size = lambda: sum(len(k) + len(v) + packing.ENTRY for r in (chunks.seen, chunks.words) for d in (r.young, r.old) for k, v in d.items())
+    turned = 0
     for _ in chunks.ids([t.encode() for t in texts]):
-        assert chunks.held <= 100_000 + 400_000
-    assert sum(len(k) + len(v) for d in (chunks.seen, chunks.words) for k, v in d.items()) <= 100_000
+        assert size() <= 100_000 + 2 * 400_000  # the long chunk's ids stand in both
+        turned += bool(chunks.seen.old)
+    for _ in chunks.ids([b"a b", b"c"] * 2000):
+        pass
+    assert size() <= 100_000 + 400_000 and turned > 100
     assert packing.ChunkTokenizer(packing.tokenizer_path()).tokenizer is chunks.tokenizer
+    packing.loaded().clear()

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import slices
+
 # Fixed values of HTML: elements without content, with raw text, that are blocks, and that a start tag closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noembed noframes noscript xmp template".split())
@@ -232,7 +234,7 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", out: str = "t
     source = pages.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)), F.col(f"`{html}`").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             *kept, pages_ = batch.columns
             yield pa.RecordBatch.from_arrays([*kept, pa.array([main_text(p) for p in pages_.to_pylist()], pa.string())], [*names, "t"])
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import slices
+
 #: Bytes a window holds, hidden units for each direction.
 WINDOW, HIDDEN = 64, 8
 #: Bounds of what the driver gathers for training: labels, documents for each label, characters of each document.
@@ -217,7 +219,7 @@ def identify(df: DataFrame, net: BiGru, text: str = "text", keep: list[str] | No
     source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.num_columns - 1)
             texts = column.to_pylist()
             lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]

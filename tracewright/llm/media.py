@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import cut, scratch
+from tracewright.llm.common import cut, scratch, slices
 
 UNIT, WIDTH, SHARD_BYTES = 576, 24, 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -143,7 +143,7 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in batches:
+        for batch in slices(batches):
             writer = writer or ShardWriter(folder)
             sizes, wholes, digests, at = [], [], [], []
             for text_ in batch.column(1).cast(pa.binary()).to_pylist():
@@ -198,7 +198,7 @@ def _read(places: DataFrame, folder: str, most: int | None, schema: str, values)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = opened(folder)
         shard, source = None, None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if name != shard:

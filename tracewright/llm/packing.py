@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, slices
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 CAPACITY = (2048, 256, 2048)
 #: Pieces that are packed together in one task; rests are cut at this length; bytes of chunks and ids that a worker remembers, and what an entry takes beside them.
-GROUP, MAX_REST, REMEMBERED, ENTRY = 8192, 1024, 192 << 20, 170
+GROUP, MAX_REST, REMEMBERED, ENTRY = 8192, 1024, 96 << 20, 170
 END_ID = 1
 
 
@@ -102,12 +102,22 @@ class WordEncoder:
             ranks.setdefault(raw(left + right), len(ranks) + 1)
         special = {t["content"] for t in spec["added_tokens"]}
         ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.ids = {rank: ids.get(key) for key, rank in ranks.items()}
+        self.raw = {rank: struct.pack("<I", i) for key, rank in ranks.items() if (i := ids.get(key)) is not None}
         self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __call__(self, word: bytes) -> bytes:
-        ids = [self.ids[r] for r in self.encode(word + b"\xff")]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.raw.__getitem__, self.encode(word + b"\xff")))
+
+
+class Remembered:
+    """Values by key in two generations: when the young one is as large as it may be it becomes the old one, and what is asked for again is young again. At most `most` bytes, and those of one turn()."""
+
+    def __init__(self, most: int):
+        self.young, self.old, self.most, self.held = {}, {}, most, 0
+
+    def turn(self) -> None:
+        if self.held > self.most // 2:
+            self.young, self.old, self.held = {}, self.young, 0
 
 
 def loaded() -> dict[str, tuple]:
@@ -122,11 +132,11 @@ class ChunkTokenizer:
     are those of its white-space chunks in a row. A chunk of letters, with
     signs of PUNCTUATION behind them or not, is a word and a run of signs; all
     other chunks go to the tokenizer itself. Ids of chunks and words are
-    remembered for as long as the worker lives, up to REMEMBERED bytes (and
-    those of one text).
+    remembered for as long as the worker lives, up to REMEMBERED bytes, a
+    quarter of them words (and what one text adds).
     """
 
-    PUNCTUATION = b".,;:!?|"
+    PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,9 +147,8 @@ class ChunkTokenizer:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             words = spec["model"].get("end_of_word_suffix") == "</w>" and "[\\p{L}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
-            known[path] = (tokenizers.Tokenizer.from_file(path), WordEncoder(spec) if words else None, {}, {})
+            known[path] = (tokenizers.Tokenizer.from_file(path), WordEncoder(spec) if words else None, Remembered(REMEMBERED // 4 * 3), Remembered(REMEMBERED // 4))
         self.tokenizer, self.encoder, self.seen, self.words = known[path]
-        self.held = sum(len(k) + len(v) + ENTRY for d in (self.seen, self.words) for k, v in d.items())
 
     def _whole(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -157,30 +166,40 @@ class ChunkTokenizer:
             if not text.isalpha() or "\u03a3" in text or len(low) != len(text) or not unicodedata.is_normalized("NFC", text):
                 return self._whole(chunk)
             word = low.encode()
-        ids = self.words.get(word)
+        ids = self._word(word)
+        return ids if len(body) == len(chunk) else ids + self._sign(chunk[len(body) :])
+
+    def _word(self, word: bytes) -> bytes:
+        words = self.words
+        ids = words.young.get(word)
+        if ids is None:
+            ids = words.young[word] = words.old.get(word) or self.encoder(word)
+            words.held += len(word) + len(ids) + ENTRY
+        return ids
+
+    def _sign(self, tail: bytes) -> bytes:
+        ids = self.words.young.get(tail)
         if ids is None:
-            ids = self.words[word] = self.encoder(word)
-            self.held += len(word) + len(ids) + ENTRY
-        if len(body) == len(chunk):
-            return ids
-        tail = chunk[len(body) :]
-        if tail not in self.words:
-            self.words[tail] = self._whole(tail)
-        return ids + self.words[tail]
+            ids = self.words.young[tail] = self._whole(tail)
+            self.words.held += len(tail) + len(ids) + ENTRY
+        return ids
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         seen = self.seen
         for text in texts:
             chunks = (text or b"").split()
-            if new := set(chunks).difference(seen):
+            if new := set(chunks).difference(seen.young):
+                young, old, grown = seen.young, seen.old, 0
                 for c in new:
-                    ids = seen[c] = self._chunk(c)
-                    self.held += len(c) + len(ids) + ENTRY
-            yield b"".join(map(seen.__getitem__, chunks))
-            if self.held > REMEMBERED:
-                seen.clear()
-                self.words.clear()
-                self.held = 0
+                    ids = old.get(c)
+                    if ids is None:
+                        ids = self._chunk(c)
+                    young[c] = ids
+                    grown += len(c) + len(ids)
+                seen.held += grown + ENTRY * len(new)
+            yield b"".join(map(seen.young.__getitem__, chunks))
+            seen.turn()
+            self.words.turn()
 
 
 def piece_bounds(n: int, length: int, max_rest: int) -> list[tuple[int, int]]:
@@ -200,7 +219,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = CAPACITY[0], max_rest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, slot = ChunkTokenizer(tokenizer), TaskContext.get().partitionId() << 34
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0)
             rows, starts, lengths, sums, sizes = [], [], [], [], []
             for i, buf in enumerate(chunks.ids(batch.column(1).cast(pa.binary()).to_pylist())):
@@ -262,7 +281,7 @@ def instruction_examples(turns: DataFrame, tokenizer: str | None = None, loss_ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTokenizer(path)
-        for batch in batches:
+        for batch in slices(batches):
             sizes = [len(b) // 4 + 1 for b in chunks.ids(batch.column(2).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["d", "r", "n"])
 
