@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, dedup, html, langid, media, mixing, packing, pii, simhash, urls
+from tracewright.llm import chat, dedup, html, langid, media, middle, mixing, packing, pii, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,11 @@ def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_vector_packing, op3_html_text_density, op4_pii_deobfuscation, op5_media_shards, op6_mixing_schedule, op7_simhash_popcount, op8_chat_format, op9_exact_dedup_lsm, op10_url_sweep)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.transform(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_vector_packing, op3_html_text_density, op4_pii_deobfuscation, op5_media_shards, op6_mixing_schedule, op7_simhash_popcount, op8_chat_format, op9_exact_dedup_lsm, op10_url_sweep, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op8_chat_format": rf"""
@@ -91,4 +95,15 @@ ORACLE_SQL = {
               FROM d LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
         SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op13_fill_in_middle": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                     CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+        f AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, '<P>' || substr(text, 1, a) AS prefix, '<M>' || substr(text, a + 1, b - a) AS middle, '<S>' || substr(text, b + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN suffix || prefix || middle ELSE prefix || suffix || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
