@@ -43,6 +43,15 @@ def materialised(df: DataFrame, name: str = "table", **options: str) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of an address and the path there, for tasks; s3a and s3n are names that Hadoop has for s3."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    uri = f"s3://{rest}" if scheme in ("s3a", "s3n") else uri
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def first_existing(spark: SparkSession, patterns: list[str]) -> list[str]:
     """The paths that the first pattern with any gives, sorted; none where no pattern has."""
     for pattern in patterns:
@@ -99,9 +108,7 @@ def write_folder_rows(df: DataFrame, path: str, folder: str) -> None:
     names = [c for c in df.columns if c != folder]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        filesystem, base = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        filesystem, base = opened(path)
         for batch in batches:
             for row in batch.to_pylist():
                 filesystem.create_dir(f"{base}/{row[folder]}", recursive=True)
