@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import cut, scratch, slices
+from tracewright.sources.files import opened
 
 UNIT, WIDTH, SHARD_BYTES = 576, 24, 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -100,15 +101,6 @@ def tar_header(name: str, size: int) -> bytes:
     return bytes(head)
 
 
-def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of an address and the path there; s3a and s3n are names that Hadoop has for s3."""
-    from pyarrow import fs
-
-    scheme, _, rest = uri.partition("://")
-    uri = f"s3://{rest}" if scheme in ("s3a", "s3n") else uri
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class ShardWriter:
     """Tar shards of one task; add() gives shard, offset and length of the stored bytes."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, dedup, html, langid, media, middle, mixing, packing, pii, simhash, urls
+from tracewright.llm import chat, codes, dedup, html, langid, media, middle, mixing, packing, pii, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,48 @@ def op10_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op12_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages have no time of capture: it follows from the id, as if they had been fetched in that order, one a second
+    date = F.timestamp_seconds(F.lit(1_577_836_800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)))
+    index, folder = warc.archive(table(spark, sf_dir, "pages"), date=date)
+    read = warc.read_records(index, folder)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "position", "url_key")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(middle.transform(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_vector_packing, op3_html_text_density, op4_pii_deobfuscation, op5_media_shards, op6_mixing_schedule, op7_simhash_popcount, op8_chat_format, op9_exact_dedup_lsm, op10_url_sweep, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_vector_packing, op3_html_text_density, op4_pii_deobfuscation, op5_media_shards, op6_mixing_schedule, op7_simhash_popcount, op8_chat_format, op9_exact_dedup_lsm, op10_url_sweep, op11_vector_codes, op12_warc_merge, op13_fill_in_middle)}
+
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round as two steps: parts with their nearest entry, then entries at the floor of the means."""
+    steps = [f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        v AS MATERIALIZED (SELECT vec_id, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM k, range({parts}) AS r(p)),
+        b0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT vec_id, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM v JOIN b{i} USING (p)),
+        a{i} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min(e) FILTER (far = least_far) AS e, any_value(least_far) AS far FROM (SELECT *, min(far) OVER (PARTITION BY vec_id, p) AS least_far FROM d{i}) GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS (SELECT p, e, j, sum(x[j + 1]) AS s, count(*) AS n FROM a{i}, range(64) AS t(j) WHERE j < len(x) GROUP BY p, e, j),
+        m{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM u{i} GROUP BY p, e),
+        b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(list_transform(m.c, lambda x: CAST(x AS BIGINT)), b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (p, e))""")
+    return ",\n        ".join(steps) + f""",
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+        f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
+
 
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
     "op8_chat_format": rf"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -95,6 +130,18 @@ ORACLE_SQL = {
               FROM d LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
         SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op12_warc_merge": r"""
+        WITH t AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, instr(coalesce(url, ''), '://') AS mark FROM pages),
+        u AS (SELECT *, CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^([^/?#]*)', 1, 's') ELSE '' END AS raw FROM t),
+        k AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id,
+                     array_to_string(list_reverse(string_split(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',') || ')'
+                     || regexp_replace(CASE WHEN mark > 0 THEN substr(url, mark + 3 + length(raw)) ELSE url END, '#.*', '', 's') AS url_key FROM u)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * i // 4 + 1 AS INT), 2) AS INT) >> CAST(3 - 5 * i % 4 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+               row_number() OVER (ORDER BY url_key, page_id) - 1 AS position, url_key
+        FROM k
+    """,
     "op13_fill_in_middle": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         d AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
