@@ -72,15 +72,15 @@ def markdown_table(spark, sf_dir):
     return files.audit_table(spark.read.text(path)).select(F.col("id").cast("long").alias("id"), "score", "reason")
 
 
-@query("S6_folder_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS folder, n_name AS question, CAST(n_regionkey AS VARCHAR) AS answer FROM nation")
+@query("S6_folder_rows", "SELECT CAST(p_partkey AS VARCHAR) AS folder, p_name AS question, p_brand AS answer FROM part")
 def folder_rows(spark, sf_dir):
-    """A row spread over the files of a folder."""
-    from tracewright.sources import files
+    """A row spread over the files of a folder, by a sink whose writes are there whole or not at all."""
+    from tracewright.sources import folders
 
     path = _scratch(spark) + "/folders"
-    n = table(spark, sf_dir, "nation")
-    files.write_folder_rows(n.select(F.col("n_nationkey").cast("string").alias("folder"), F.col("n_name").alias("question"), F.col("n_regionkey").cast("string").alias("answer")), path, "folder")
-    return files.read_folder_rows(spark, path, ["question", "answer"])
+    p = table(spark, sf_dir, "part")
+    folders.write_folder_rows(p.select(F.col("p_partkey").cast("string").alias("folder"), F.col("p_name").alias("question"), F.col("p_brand").alias("answer")), path, "folder")
+    return folders.read_folder_rows(spark, path, ["question", "answer"])
 
 
 @query("S13_tree_walk", "SELECT depth, CAST(count(*) AS BIGINT) AS n FROM (SELECT floor(log2(p_partkey)) AS depth FROM part WHERE p_partkey > 0) GROUP BY depth")

@@ -1,9 +1,8 @@
-"""Formats of puzzle corpora: CSV with every field a string, markdown tables, a folder for each row."""
+"""Formats of puzzle corpora: CSV with every field a string, markdown tables; the shared folder."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,28 +100,3 @@ def audit_table(lines: DataFrame) -> DataFrame:
     score = F.regexp_extract(cells[2], r"\b(10|[0-9])\b", 1)
     rows = lines.filter(F.startswith(F.trim("value"), F.lit("|"))).select(cells.alias("cells"), score.alias("score"))
     return rows.filter((F.size("cells") >= 4) & (F.col("score") != "")).select(F.col("cells")[1].alias("id"), F.col("score").cast("int").alias("score"), F.col("cells")[3].alias("reason"))
-
-
-def write_folder_rows(df: DataFrame, path: str, folder: str) -> None:
-    """A folder for each row, a text file for each other column."""
-    names = [c for c in df.columns if c != folder]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = opened(path)
-        for batch in batches:
-            for row in batch.to_pylist():
-                filesystem.create_dir(f"{base}/{row[folder]}", recursive=True)
-                for name in names:
-                    with filesystem.open_output_stream(f"{base}/{row[folder]}/{name}.txt") as out:
-                        out.write((row[name] or "").encode())
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
-def read_folder_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """folder and the text of each named file in it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    parts = F.split("path", "/")
-    rows = files.select(F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("name"), F.decode("content", "UTF-8").alias("text"))
-    return rows.groupBy("folder").pivot("name", names).agg(F.first("text"))
