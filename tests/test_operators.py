@@ -4,7 +4,7 @@ import itertools
 import random
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import balance, bitrules, merge, ranges, report, rewards, solve
@@ -74,6 +74,55 @@ def test_rate_balance_against_a_loop(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("pieces", [1, 2, 7, 40])
+def test_rate_balance_for_every_cut(spark, pieces):
+    rng = random.Random(pieces)
+    rows = [(i, rng.choice("aaaaab"), rng.random() < 0.5 if i % 10 else None) for i in range(400)] + [(7, None, True)]
+    df = spark.createDataFrame(rows, "id long, grp string, flag boolean").repartition(3)
+    got = sorted((r["grp"], r["id"]) for r in balance.balance_rate(df, "id", "flag", "grp", 0.7, 25, pieces).collect())
+    want = []
+    for g in "ab":
+        taken = hits = 0
+        for i, h, f in rows:
+            if h == g and taken < 25 and bool(f) == (hits < 0.7 * (taken + 1)):
+                want.append((g, i))
+                taken, hits = taken + 1, hits + bool(f)
+    assert got == sorted(want)
+    assert balance.balance_rate(df.limit(0), "id", "flag", "grp", 0.7, 25, pieces).count() == balance.balance_rate(df, "id", "flag", "grp", 0.7, 0, pieces).count() == 0
+
+
+def slow_cover(rows, quota):
+    """{group: chosen ids in order}; rows are (id, group, items)."""
+    out = {}
+    for g in {r[1] for r in rows if r[1] is not None}:
+        mine = [(i, {x for x in items or [] if x is not None}) for i, h, items in rows if h == g]
+        count = lambda x: sum(x in s for _, s in mine)  # noqa: B023, E731
+        covered, chosen = set(), []
+        for x in sorted({x for _, s in mine for x in s}, key=lambda x: (count(x), x)):
+            if x not in covered and len(chosen) < quota:
+                best = max((r for r in mine if x in r[1]), key=lambda r: (len(r[1] - covered), -r[0]))
+                chosen.append(best[0])
+                covered |= best[1]
+        if chosen:
+            out[g] = chosen
+    return out
+
+
+@pytest.mark.parametrize(("items", "quota", "broadcast"), [(9, 100, 100), (90, 6, 100), (200, 100, 0)])
+def test_cover_of_many_items_against_a_loop(spark, monkeypatch, items, quota, broadcast):
+    monkeypatch.setattr(balance, "BROADCAST", broadcast)
+    monkeypatch.setattr(balance, "PRUNE", 2)
+    rng = random.Random(items)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", "c"]), sorted({f"i{int(rng.random() ** 3 * items)}" for _ in range(rng.randrange(items // 4 + 2))})) for i in range(150)]
+    rows += [(500, None, ["x"]), (501, "d", []), (502, "e", None), (503, "b", ["i1", None, "i1"]), (504, "f", ["y"]), (505, "f", ["y"])]
+    df = spark.createDataFrame(rows, "id long, grp string, items array<string>").repartition(3)
+    got = balance.greedy_cover(df, "id", "items", "grp", quota).orderBy("place").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["grp"], []).append(r["id"])
+    assert found == slow_cover(rows, quota)
+
+
 def test_cover_then_fill_against_a_loop(spark):
     rng = random.Random(32)
     rows = [(i, rng.choice("gh"), rng.choice(["p", "q", "r"]), sorted(rng.sample("abcdefghij", rng.randrange(1, 4)))) for i in range(120)]
@@ -131,10 +180,37 @@ def test_overlap_join(spark):
     rng = random.Random(1)
     a = [(i, x := rng.randrange(500), x + rng.randrange(90)) for i in range(60)]
     b = [(i, x := rng.randrange(500), x + rng.randrange(90)) for i in range(60)]
-    got = ranges.overlap_join(spark.createDataFrame(a, "i long, l long, h long"), spark.createDataFrame(b, "j long, m long, k long"), ("l", "h"), ("m", "k"), 25)
+    got = ranges.overlap_join(spark.createDataFrame(a, "i long, l long, h long"), spark.createDataFrame(b, "j long, m long, k long"), ("l", "h"), ("m", "k"))
     assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, l, h in a for j, m, k in b if l <= k and m <= h)
 
 
+def test_overlap_join_of_all_widths(spark):
+    rng = random.Random(2)
+    some = lambda: (x := rng.randrange(-10**6, 10**6), x + rng.choice([0, 1, 7, 1000, 10**6, 10**9]))
+    a, b = [(i, *some()) for i in range(150)], [(i, *some()) for i in range(150)]
+    a += [(900, None, 5), (901, 5, None), (902, 9, 3), (903, -(2**40), 2**41), (3, 0, 0), (3, 0, 0)]
+    got = ranges.overlap_join(spark.createDataFrame(a, "i long, l long, h long"), spark.createDataFrame(b, "j long, m long, k long"), ("l", "h"), ("m", "k"))
+    fine = [x for x in a if x[1] is not None and x[2] is not None and x[1] <= x[2]]
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, l, h in fine for j, m, k in b if l <= k and m <= h)
+
+
+def test_overlap_join_of_fractions_and_empty(spark):
+    rng = random.Random(3)
+    a = [(i, x := rng.random() * 20 - 10, x + rng.random() * 3) for i in range(80)]
+    b = [(i, x := rng.random() * 20 - 10, x + rng.random() * 3) for i in range(80)]
+    left, right = spark.createDataFrame(a, "i long, l double, h double"), spark.createDataFrame(b, "j long, m double, k double")
+    got = ranges.overlap_join(left, right, ("l", "h"), ("m", "k"))
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, l, h in a for j, m, k in b if l <= k and m <= h)
+    assert ranges.overlap_join(left.limit(0), right, ("l", "h"), ("m", "k")).count() == 0
+
+
+def test_blocks_of_an_interval_are_few_and_apart(spark):
+    rows = spark.range(-20, 20).selectExpr("id AS l").crossJoin(spark.range(0, 45).selectExpr("id AS w")).select("l", (F.col("l") + F.col("w")).alias("h"))
+    for r in rows.select("l", "h", ranges.dyadic_nodes(F.col("l"), F.col("h")).alias("n")).collect():
+        held = [x for n in r["n"] for x in range(n["at"] << n["k"], (n["at"] + 1) << n["k"])]
+        assert sorted(held) == list(range(r["l"], r["h"] + 1)) and len(r["n"]) <= 2 * (r["h"] - r["l"] + 1).bit_length()
+
+
 def test_numbered_and_tiles(spark):
     df = ranges.numbered(spark.range(103).select((F.col("id") * 7 % 103).alias("id")), "id", total="rows")
     rows = df.withColumn("t", ranges.tile(F.col("row_no"), F.col("rows"), 10)).collect()

@@ -58,9 +58,58 @@ def tile(row_no: Column, rows: Column, tiles: int) -> Column:
     return F.when(row_no < edge, F.floor(row_no / (small + 1)) + 1).otherwise(more + F.floor((row_no - edge) / F.greatest(small, F.lit(1))) + 1).cast("int")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], cell: float) -> DataFrame:
-    """Pairs whose closed intervals overlap. An interval goes to the grid cells it touches; a pair counts in the cell of its later start alone."""
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    l, r = left.withColumn("__c", cells(*a)), right.withColumn("__c", cells(*b))
-    meet = l.join(r, "__c").filter((F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])))
-    return meet.filter(F.col("__c") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / cell)).drop("__c")
+def in_ranges(df: DataFrame, order: list[str], out: str = "__piece", pieces: int | None = None) -> DataFrame:
+    """df as a table with the number of the range that each row is in: ranges rise with the order, are about equal, and rows that are equal in it share one."""
+    n = pieces or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialised(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id().cast("long")))
+
+
+def _shifted(x: Column, k: Column, up: bool) -> Column:
+    """x / 2^k, rounded up or down, of whole numbers of either sign."""
+    return F.negate(F.call_function("shiftright", F.negate(x), k)) if up else F.call_function("shiftright", x, k)
+
+
+def dyadic_nodes(low: Column, high: Column) -> Column:
+    """The fewest aligned blocks of 2^k whole numbers that are low..high together, as (k, number of the block): at most two for each k, none where high is below low."""
+    end = high + 1
+
+    def of_level(k: Column) -> Column:
+        l, r = _shifted(low, k, True), _shifted(end, k, False)
+        first, last = F.when((l < r) & (l.bitwiseAND(F.lit(1)) == 1), l), F.when((l < r) & (r.bitwiseAND(F.lit(1)) == 1), r - 1)
+        return F.filter(F.array(F.struct(k.alias("k"), first.alias("at")), F.struct(k.alias("k"), last.alias("at"))), lambda n: n["at"].isNotNull())
+
+    top = F.floor(F.log2(F.greatest(end - low, F.lit(1)).cast("double"))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), of_level))
+
+
+def stabbed(points: DataFrame, intervals: DataFrame, at: Column, low: Column, high: Column) -> DataFrame:
+    """Rows of points beside those of intervals whose floor(low)..floor(high) holds floor(at), each pair once.
+
+    A point lies in one block of each size, an interval is a few blocks that are
+    apart; so they meet by an equal join, in one block or none, and a pair that
+    meets is a result: no key gathers rows that don't belong together. Blocks are
+    at most as large as the widest interval, which settles how many a point has.
+    """
+    widest = intervals.agg(F.max(F.floor(high) - F.floor(low) + 1)).first()[0]
+    if widest is None or widest < 1:
+        top = -1
+    else:
+        top = int(widest).bit_length() - 1
+    blocks = intervals.withColumn("__node", F.explode(dyadic_nodes(F.floor(low), F.floor(high))))
+    levels = F.sequence(F.lit(0), F.lit(max(top, 0)))
+    met = points.withColumn("__node", F.explode(F.transform(levels, lambda k: F.struct(k.alias("k"), _shifted(F.floor(at), k, False).alias("at")))))
+    return met.join(blocks, "__node").drop("__node")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs whose closed intervals overlap, of any widths up to 2^62: the later start lies in the other interval.
+
+    Rows go to as many blocks as the logarithm of a width, not to as many as the
+    width. Intervals with a null end, or an end below the start, overlap nothing.
+    """
+    la, ha, lb, hb = F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])
+    fine_l, fine_r = left.filter(la <= ha), right.filter(lb <= hb)
+    starts_right = stabbed(fine_l, fine_r, la, lb, hb).filter((lb <= la) & (la <= hb))
+    starts_left = stabbed(fine_r, fine_l, lb, la, ha).filter((la < lb) & (lb <= ha))
+    names = [*left.columns, *right.columns]
+    return starts_right.select(*names).unionByName(starts_left.select(*names))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import balance as ops
 from tracewright.operators.corpus import hash_order, ranked_by_pieces
-from tracewright.operators.ranges import tile
+from tracewright.operators.ranges import in_ranges, tile
 from tracewright.plans.inputs import CORPUS, corpus, table
 from tracewright.plans.registry import query
 from tracewright.sources.files import materialised
@@ -29,9 +29,25 @@ def deficit(spark, sf_dir):
     return corpus(spark, sf_dir).groupBy("label").agg(F.greatest(F.lit(0), F.bround(F.lit(500 * 0.3)).cast("long") - F.count("*")).alias("deficit"))
 
 
-@query("B9_set_cover")
+#: Cover, turns and rest of a group by a recursive statement: each step of it takes a row for the rarest item that isn't covered.
+COVER = """WITH RECURSIVE t AS (SELECT p_partkey AS id, p_brand AS brand, p_type AS kind, list_distinct(string_split(p_name, '')) AS items FROM part),
+    n AS (SELECT brand, item, count(*) AS n FROM (SELECT brand, unnest(items) AS item FROM t) GROUP BY 1, 2),
+    o AS (SELECT brand, list(item ORDER BY n, item) AS ord FROM n GROUP BY 1),
+    c AS (SELECT brand, ord, CAST([] AS VARCHAR[]) AS covered, CAST(NULL AS BIGINT) AS id, 0 AS place FROM o
+        UNION ALL
+        SELECT brand, ord, list_distinct(list_concat(covered, items)), id, place + 1 FROM (
+            SELECT c.brand, c.ord, c.covered, c.place, t.id, t.items, row_number() OVER (PARTITION BY c.brand ORDER BY len(list_filter(t.items, lambda x: NOT list_contains(c.covered, x))) DESC, t.id) AS k
+            FROM c JOIN t ON t.brand = c.brand AND list_contains(t.items, list_filter(c.ord, lambda x: NOT list_contains(c.covered, x))[1]) WHERE c.place < 50) WHERE k = 1),
+    h AS (SELECT brand, id FROM c WHERE place > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY brand, kind ORDER BY id) AS turn FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.brand = t.brand AND h.id = t.id)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY CAST(turn > 1 AS INT), CASE WHEN turn = 1 THEN kind END, id) AS k FROM r)
+    SELECT brand, id, 1 AS phase FROM h UNION ALL
+    SELECT f.brand, f.id, CASE WHEN turn = 1 THEN 2 ELSE 3 END FROM f LEFT JOIN (SELECT brand, count(*) AS have FROM h GROUP BY 1) g ON f.brand = g.brand WHERE k + coalesce(have, 0) <= 50"""
+
+
+@query("B9_set_cover", COVER)
 def set_cover(spark, sf_dir):
-    """Cover of name letters within a brand, then types in turn, then the rest, up to a quota; checked by tests, as SQL can't say it."""
+    """Cover of name letters within a brand, then types in turn, then the rest, up to a quota."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.array_distinct(F.split("p_name", "")).alias("items"))
     return ops.cover_then_fill(p, "id", "items", "brand", "kind", 50)
 
@@ -53,7 +69,8 @@ def tercile_rates(spark, sf_dir):
     """Rates by tercile of length within a category, then the shortest row of each cell (category, label, band) that got none."""
     c = corpus(spark, sf_dir).select("id", "category", "label", F.col("token_length").cast("int").alias("n"))
     sizes = c.groupBy("category").agg(F.count("*").alias("rows"))
-    ranked = ranked_by_pieces(c, ["category"], ["n", "id"], F.col("n")).join(sizes, "category")
+    # ranges of (category, n, id): a length that most rows have is spread too
+    ranked = ranked_by_pieces(in_ranges(c, ["category", "n", "id"]), ["category"], ["n", "id"], F.col("__piece")).join(sizes, "category")
     banded = materialised(ranked.withColumn("band", tile(F.col("rank") - 1, F.col("rows"), 3)).select("id", "category", "label", "n", "band"))
     rate = F.when(F.col("band") == 1, 0.8).when(F.col("band") == 2, 0.55).otherwise(0.15)
     picked = banded.filter(ops.hash_uniform(9, "id") < rate)
@@ -89,7 +106,17 @@ def gap_fill(spark, sf_dir):
     return c.join(fill, "id", "left").select("id", F.coalesce("fill", "solver_cot").alias("solver_cot"))
 
 
-@query("B16_rate_balance")
+#: Row after row of every category at once; taken and hits are what came before the row.
+RATE = f"""WITH RECURSIVE c AS (SELECT id, category, origin = 'gold' AS flag, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM ({CORPUS}) WHERE category IS NOT NULL),
+    s AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS rn, 0 AS taken, 0 AS hits, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BOOLEAN) AS flag, false AS kept FROM c
+        UNION ALL
+        SELECT c.category, c.rn, s.taken + CAST(s.kept AS INT), s.hits + CAST(s.kept AND s.flag AS INT), c.id, c.flag,
+            s.taken + CAST(s.kept AS INT) < 30 AND c.flag = (s.hits + CAST(s.kept AND s.flag AS INT) < CAST(0.34 AS DOUBLE) * (s.taken + CAST(s.kept AS INT) + 1))
+        FROM s JOIN c ON c.category = s.category AND c.rn = s.rn + 1)
+    SELECT category, id, flag FROM s WHERE kept"""
+
+
+@query("B16_rate_balance", RATE)
 def rate_balance(spark, sf_dir):
     c = corpus(spark, sf_dir).select("id", "category", (F.col("origin") == "gold").alias("flag"))
     return ops.balance_rate(c, "id", "flag", "category", 0.34, 30)

@@ -223,13 +223,28 @@ def order_replay(spark, sf_dir):
 
 @query("J12_interval_overlap", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_orderkey < b.o_orderkey AND floor(a.o_totalprice) <= floor(b.o_totalprice) + 20 AND floor(b.o_totalprice) <= floor(a.o_totalprice) + 20")
 def interval_overlap(spark, sf_dir):
-    """Overlapping intervals by a grid: an interval goes to the cells it touches, pairs meet in the cell of the later start."""
+    """Overlapping intervals by aligned blocks of all sizes: an interval is a few of them, and a start lies in one of each size."""
     from tracewright.operators import ranges
 
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("low"), (F.floor("o_totalprice") + 20).alias("high"))
     left = o.toDF("a", "low_a", "high_a")
     right = o.toDF("b", "low_b", "high_b")
-    return ranges.overlap_join(left, right, ("low_a", "high_a"), ("low_b", "high_b"), 200).filter("a < b").select("a", "b")
+    return ranges.overlap_join(left, right, ("low_a", "high_a"), ("low_b", "high_b")).filter("a < b").select("a", "b")
+
+
+@query("J12_interval_widths", """WITH i AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 1000003 AS BIGINT) AS low, CAST(c_custkey * 7919 % 1000003 + CAST(pow(10, c_custkey % 10) AS BIGINT) AS BIGINT) AS high FROM customer),
+    p AS (SELECT o_orderkey AS o, CAST(floor(o_totalprice) * 1000 AS BIGINT) AS low, CAST(floor(o_totalprice) * 1000 + o_orderkey % 3 AS BIGINT) AS high FROM orders)
+    SELECT id, count(*) AS orders, min(o) AS first FROM i JOIN p ON i.low <= p.high AND p.low <= i.high GROUP BY 1""")
+def interval_widths(spark, sf_dir):
+    """Intervals of widths from 1 to 10^9 against narrow ones: rows are as many as the logarithms of the widths."""
+    from tracewright.operators import ranges
+
+    low = F.col("c_custkey") * 7919 % 1000003
+    wide = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), low.cast("long").alias("low"), (low + F.pow(F.lit(10.0), F.col("c_custkey") % 10).cast("long")).alias("high"))
+    price = (F.floor("o_totalprice") * 1000).cast("long")
+    narrow = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), price.alias("l"), (price + F.col("o_orderkey") % 3).alias("h"))
+    met = ranges.overlap_join(wide, narrow, ("low", "high"), ("l", "h"))
+    return met.groupBy("id").agg(F.count("*").alias("orders"), F.min("o").alias("first"))
 
 
 @query("J13_candidate_product", f"SELECT puzzle, CAST(count(*) AS BIGINT) AS combos FROM (SELECT puzzle, unnest(range(CAST(n * n AS INT))) FROM (SELECT puzzle, count(DISTINCT out % 3) AS n FROM ({EQUATIONS}) GROUP BY 1)) GROUP BY 1")
