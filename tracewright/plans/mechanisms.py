@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import phrases, trees
+from tracewright.operators import merges, phrases, report, trees
 from tracewright.plans.inputs import table
 from tracewright.plans.registry import query
+from tracewright.sources.files import materialised
 
 #: Documents with objects in arrays in objects, as deep as the id says.
 NESTED = """'{"id":' || event_id || ',"props":' || props || ',"tags":["' || event_type || '",' || (user_id % 7) || ',null,true],"deep":' || repeat('{"n":[', CAST(event_id % 6 AS INT)) || '1.5' || repeat(']}', CAST(event_id % 6 AS INT)) || ',"empty":{}}'"""
@@ -85,3 +86,53 @@ def forbidden_table(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     counted = hits.join(langs, "id").filter("scope IS NULL OR lang = scope").groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("n").alias("uses"))
     return found.select("phrase").join(counted, "phrase", "left").select("phrase", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+#: Merges that are learned of the documents; the number is the operator's parameter.
+LEARNED = 64
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = materialised(merges.words(table(spark, sf_dir, "documents"), "text"), "words")
+    return counted, merges.learn(counted, LEARNED)
+
+
+@query("A22_learned_merges")
+def learned_merges(spark, sf_dir):
+    """The first merges of the documents' words and how often each pair stood when its turn came; tests hold them against a plain loop."""
+    return _learned(spark, sf_dir)[1]
+
+
+@query("A22_merge_dictionary")
+def merge_dictionary(spark, sf_dir):
+    """Merged symbols as they stand in the words in the end: uses, distinct words with it (counted by place), bytes."""
+    counted, found = _learned(spark, sf_dir)
+    return merges.dictionary(counted, found).withColumn("size", F.octet_length("symbol"))
+
+
+@query("P11_learned_symbols")
+def learned_symbols(spark, sf_dir):
+    """P11 and P12 with learned merges: the merged symbols of each benchmark item in the order of their first appearance, and how many there are."""
+    _, found = _learned(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("at", "word"))
+    cut = merges.segmented(items.filter("word <> ''"), "word", found)
+    parts = cut.select("item_id", "at", F.posexplode("symbols").alias("in_word", "symbol")).filter(merges.is_merged(F.col("symbol")))
+    firsts = parts.groupBy("item_id", "symbol").agg(F.min(F.struct("at", "in_word")).alias("first"), F.count("*").alias("n"))
+    return firsts.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "symbol"))), lambda x: x["symbol"]), " ").alias("fused"), F.count("*").alias("distinct"), F.sum("n").alias("uses"))
+
+
+#: What a fallback may look at: nothing, the source, the length, both.
+PREDICTORS = {"mode": [], "mode by source": ["source"], "mode by length": ["size"], "mode by source and length": ["source", "size"]}
+
+
+@query("K36_scored_fallbacks", """WITH d AS (SELECT lang AS v, coalesce(source, '') AS source, n_chars // 500 AS size FROM documents WHERE lang IS NOT NULL),
+    g AS (SELECT 'mode' AS predictor, '' AS g, v FROM d UNION ALL SELECT 'mode by source', source, v FROM d UNION ALL SELECT 'mode by length', CAST(size AS VARCHAR), v FROM d UNION ALL SELECT 'mode by source and length', source || '|' || size, v FROM d),
+    c AS (SELECT predictor, g, v, count(*) AS n FROM g GROUP BY ALL),
+    t AS (SELECT a.predictor, a.g, a.v, a.n, b.v AS said, row_number() OVER (PARTITION BY a.predictor, a.g, a.v ORDER BY b.n - CAST(a.v = b.v AS INT) DESC, b.v) AS k
+        FROM c a LEFT JOIN c b ON a.predictor = b.predictor AND a.g IS NOT DISTINCT FROM b.g AND b.n - CAST(a.v = b.v AS INT) > 0),
+    s AS (SELECT predictor, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (said IS NOT NULL), 0) AS BIGINT) AS told, CAST(coalesce(sum(n) FILTER (said = v), 0) AS BIGINT) AS hits FROM t WHERE k = 1 GROUP BY 1)
+    SELECT predictor, rows, told, hits, round(hits / told, 6) AS accuracy, CAST(row_number() OVER (ORDER BY hits DESC, predictor) AS INT) AS rank FROM s""")
+def scored_fallbacks(spark, sf_dir):
+    """Fallbacks scored by leaving each row out, and ranked."""
+    d = table(spark, sf_dir, "documents").select("lang", F.coalesce("source", F.lit("")).alias("source"), F.floor(F.col("n_chars") / 500).alias("size"))
+    return report.leave_one_out(d, "lang", PREDICTORS)
