@@ -102,26 +102,22 @@ DIGIT_WORDS = {
 }
 PLUS_WORDS, DOT_WORDS, AT_WORDS = ("plus", "más"), ("dot", "point", "punkt", "punto"), ("klammeraffe", "arobase", "arroba")
 
-WORD, PLUS, POINT, SURE_AT = (f"(?:{'|'.join(words)})" for words in (DIGIT_WORDS, PLUS_WORDS, DOT_WORDS, AT_WORDS))
 LETTER = r"[^\W\d_]"
-GAP = r"[\s,.\-]+"
-SPELLED = re.compile(rf"(?<!{LETTER})(?:{PLUS}{GAP})?{WORD}(?:{GAP}(?:{WORD}|{POINT}))*{GAP}{WORD}(?!{LETTER})", re.I)
-SPELLED_PART = re.compile(rf"({PLUS})|({WORD}(?!{LETTER}))|({POINT})", re.I)
-HARD_AT = rf"(?:\s*[\[({{<]\s*(?:at|{SURE_AT}|@)\s*[\])}}>]\s*|\s+{SURE_AT}\s+)"
-AT = rf"(?:{HARD_AT}|\s+at\s+|\s*@\s*)"
-DOT = rf"(?:\s*[\[({{<]\s*(?:{POINT}|\.)\s*[\])}}>]\s*|\s+{POINT}\s+)"
-LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-#: An address whose sign or dots are disguised: an at that is sure, or any at with a disguised dot in the domain.
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+\-]++)*+(?:{HARD_AT}{LABEL}(?:(?:\.|{DOT}){LABEL})+|{AT}{LABEL}(?:\.{LABEL})*{DOT}{LABEL}(?:(?:\.|{DOT}){LABEL})*)",
-    re.I,
-)
+#: Words, and figures, as what digits in words are read from.
+PARTS = re.compile(rf"{LETTER}+|[0-9]+")
+GAP = re.compile(r"[\s,.\-]+")
+#: Where an address may have its sign; what follows says whether it's one.
+SIGN = re.compile(rf"@|(?<!{LETTER})(?:at|{'|'.join(AT_WORDS)})(?!{LETTER})", re.I)
+POINT = re.compile(rf"(?:{'|'.join(DOT_WORDS)})(?!{LETTER})", re.I)
+LABEL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?")
+OPEN, CLOSE = "[({<", "])}>"
+#: What follows a plain "at" in prose, and never names a host.
+DETERMINERS = frozenset("the a an this that these those our my your his her their its".split())
 #: What a word may hint at: digits or plus (1), an at that is sure (2), a dot (3).
 HINTS = dict.fromkeys([*DIGIT_WORDS, *PLUS_WORDS], 1) | dict.fromkeys(AT_WORDS, 2) | dict.fromkeys(DOT_WORDS, 3)
 WORDS = re.compile(rf"{LETTER}+")
-BRACKETED = re.compile(rf"[\[({{<]\s*(?:at|@|{SURE_AT}|{POINT}|\.)", re.I)
-RUN = re.compile(rb"[\x01\x03]{2}")
-DISGUISE_PART = re.compile(rf"({AT})|({DOT})", re.I)
+BRACKETED = re.compile(rf"[\[({{<]\s*+(?:at|@|{'|'.join((*AT_WORDS, *DOT_WORDS))}|\.)|@\s|\s\.\s", re.I)
+RUN, FIGURE = re.compile(rb"[\x01\x03]{2}"), re.compile("[0-9]")
 ODD_SIGNS = frozenset([*LOOKALIKES, *SIGNS, *INVISIBLE, *map(chr, range(0xFF01, 0xFF5F)), *(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())])
 
 
@@ -167,35 +163,160 @@ def plain_signs(r: Rewriting) -> Rewriting:
     return r.replace([(m.start(), m.end(), _sign(m[0])) for m in re.finditer(f"[{re.escape(''.join(sorted(odd)))}]", r.text)]) if odd else r
 
 
+def _blank(text: str, at: int, step: int, low: int, high: int) -> int:
+    """The end of the white space that begins at `at`, to the right (step 1) or before it (step -1)."""
+    while low < at and step < 0 and text[at - 1].isspace():
+        at -= 1
+    while at < high and step > 0 and text[at].isspace():
+        at += 1
+    return at
+
+
+def _framed(text: str, a: int, b: int, low: int, high: int) -> tuple[int, int, bool, bool]:
+    """A sign at a..b with its brackets and white space: start, end, whether brackets are around it, whether white space is on both sides."""
+    l, r = _blank(text, a, -1, low, high), _blank(text, b, 1, low, high)
+    if l > low and r < high and text[l - 1] in OPEN and text[r] in CLOSE:
+        return _blank(text, l - 1, -1, low, high), _blank(text, r + 1, 1, low, high), True, False
+    return l, r, False, l < a and b < r
+
+
+def _dot(text: str, at: int, low: int, high: int, spaced: bool) -> tuple[int, bool] | None:
+    """The end of a dot that begins at `at`, and whether it is disguised. spaced: a plain dot may stand between blanks."""
+    if at < high and text[at] == ".":
+        return (at + 1, False) if at + 1 < high and not text[at + 1].isspace() else None
+    i = _blank(text, at, 1, low, high)
+    bracket = i < high and text[i] in OPEN
+    if bracket:
+        i = _blank(text, i + 1, 1, low, high)
+    m = POINT.match(text, i, high)
+    end = m.end() if m else i + 1 if i < high and text[i] == "." and (bracket or (spaced and i > at)) else 0
+    if not end:
+        return None
+    after = _blank(text, end, 1, low, high)
+    if bracket:
+        return (_blank(text, after + 1, 1, low, high), True) if after < high and text[after] in CLOSE else None
+    return (after, True) if i > at and after > end else None
+
+
+def _dot_before(text: str, at: int, low: int, spaced: bool) -> tuple[int, bool] | None:
+    """The start of a dot that ends at `at`, and whether it is disguised."""
+    if at > low and text[at - 1] == ".":
+        return at - 1, False
+    i = _blank(text, at, -1, low, at)
+    bracket = i > low and text[i - 1] in CLOSE
+    if bracket:
+        i = _blank(text, i - 1, -1, low, at)
+    start = next((i - len(w) for w in DOT_WORDS if text[max(low, i - len(w)) : i].lower() == w), 0)
+    if start and start > low and text[start - 1].isalpha():
+        start = 0
+    if not start and i > low and text[i - 1] == "." and (bracket or (spaced and i < at)):
+        start = i - 1
+    if not start:
+        return None
+    before = _blank(text, start, -1, low, at)
+    if bracket:
+        return (_blank(text, before - 1, -1, low, at), True) if before > low and text[before - 1] in OPEN else None
+    return (before, True) if i < at and before < start else None
+
+
+def _part_before(text: str, at: int, low: int) -> int:
+    while at > low and (text[at - 1] in LOCAL and text[at - 1] != "."):
+        at -= 1
+    return at
+
+
+def _address(text: str, a: int, b: int, low: int) -> tuple[list[tuple[int, int, str]], int] | None:
+    """Edits that make an address with its sign at a..b plain, and where it ends; None where there's none or it's plain already.
+
+    First the domain is read to the right, then the local part to the left, not
+    beyond what an address before took: each stretch of a text is read a few times
+    however often what might be a sign stands in it.
+    """
+    high, word = len(text), text[a] != "@"
+    left, right, bracket, blanks = _framed(text, a, b, low, high)
+    if (word and not bracket and not blanks) or left == low or text[left - 1] not in LOCAL or text[left - 1] == ".":
+        return None
+    hard = bracket or (word and text[a:b].lower() in AT_WORDS)
+    m = LABEL.match(text, right)
+    if not m or (word and not hard and m[0].lower() in DETERMINERS):
+        return None
+    edits, end, dots, disguised = [(left, right, "@")] if bracket or word or left < a or b < right else [], m.end(), 0, False
+    while (d := _dot(text, end, low, high, not word)) is not None and (m := LABEL.match(text, d[0])):
+        if d[1]:
+            edits.append((end, d[0], "."))
+            disguised = True
+        dots, end = dots + 1, m.end()
+    if not dots or not (hard or disguised):
+        return None
+    start, before = _part_before(text, left, low), []
+    letters = start
+    while left - start == 1 and letters - 2 >= low and text[letters - 1] == " " and text[letters - 2].isalnum() and (letters - 2 == low or text[letters - 3].isspace()):
+        letters -= 2
+    if (start - letters) // 2 >= 2:  # single signs with a blank between: three or more are a name in pieces
+        before = [(i - 1, i, "") for i in range(letters + 2, start + 1, 2)]
+        start = letters
+    while (d := _dot_before(text, start, low, not word)) is not None and (part := _part_before(text, d[0], low)) < d[0]:
+        if d[1]:
+            before.append((d[0], start, "."))
+        start = part
+    if start > low and text[start - 1] in LOCAL:
+        return None
+    return sorted(before) + edits, end
+
+
 def plain_addresses(r: Rewriting) -> Rewriting:
-    edits = []
-    for m in DISGUISED.finditer(r.text):
-        edits += [(p.start(), p.end(), "@" if p[1] else ".") for p in DISGUISE_PART.finditer(r.text, *m.span())]
+    edits, low, at = [], 0, SIGN.search(r.text)
+    while at:
+        found = _address(r.text, *at.span(), low)
+        if found:
+            edits += found[0]
+            low = found[1]
+        at = SIGN.search(r.text, max(low, at.end()))
     return r.replace(edits)
 
 
-def plain_digits(r: Rewriting) -> Rewriting:
+def _spelled(run: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
+    """Edits for a run of parts (start, end, what it says, whether in words). Dots stand between digits; figures keep what is between them."""
+    while run and run[-1][2] in ".+":
+        run.pop()
+    while run and run[0][2] == ".":
+        run.pop(0)
+    if len(run) < 2 or not any(p[3] for p in run):
+        return []
     edits = []
-    for m in SPELLED.finditer(r.text):
-        at = m.start()
-        for p in SPELLED_PART.finditer(r.text, *m.span()):
-            new = "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "."
-            if p.start() > at:
-                edits.append((at, p.start(), ""))  # what stands between spelled signs
-            edits.append((p.start(), p.end(), new))
-            at = p.end()
-    return r.replace(edits)
+    for i, (a, b, said, words) in enumerate(run):
+        if i and (words or run[i - 1][3]):
+            edits.append((run[i - 1][1], a, ""))
+        if words:
+            edits.append((a, b, said))
+    return edits
+
+
+def plain_digits(r: Rewriting) -> Rewriting:
+    edits, run, end = [], [], 0
+    for m in PARTS.finditer(r.text):
+        part = m[0].lower()
+        said = part if "0" <= part[0] <= "9" else DIGIT_WORDS.get(part) or ("+" if part in PLUS_WORDS else "." if part in DOT_WORDS else "")
+        if run and (not said or said == "+" or (said == "." and run[-1][2] in ".+") or not GAP.fullmatch(r.text, end, m.start())):
+            edits += _spelled(run)
+            run = []
+        if said:
+            run.append((m.start(), m.end(), said, not "0" <= part[0] <= "9"))
+        end = m.end()
+    return r.replace(edits + _spelled(run))
 
 
 def hints(text: str) -> tuple[bool, bool]:
     """Whether a text may hold a disguised address, and spelled digits.
 
-    Every DISGUISED match has a bracket, or a word for an at that is sure or for a
-    dot; every SPELLED match has two words next to each other for digits, plus or
-    dots. One pass over the words says so for far less than the patterns take.
+    Every disguised address has a bracket or blanks beside a sign, or a word for an
+    at that is sure or for a dot; digits in words are two words next to each other
+    for digits, plus or dots, or one beside a figure. One pass over the words says
+    so for far less than reading them does.
     """
     codes = bytes(map(HINTS.get, WORDS.findall(text.casefold()), repeat(0)))
-    return b"\x02" in codes or b"\x03" in codes or BRACKETED.search(text) is not None, RUN.search(codes) is not None
+    mixed = (b"\x01" in codes or b"\x03" in codes) and FIGURE.search(text) is not None
+    return b"\x02" in codes or b"\x03" in codes or BRACKETED.search(text) is not None, mixed or RUN.search(codes) is not None
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
