@@ -42,7 +42,11 @@ SCOPE = set("html body table td th caption article section div ul ol dl main asi
 NEVER = set("head script style noscript template nav footer aside form iframe embed button select textarea dialog menu noembed noframes search title".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = set("nav navbar navigation menu footer masthead sidebar ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup breadcrumb breadcrumbs pagination pager toolbar login paywall disclaimer".split())
-COMMENTS = set("comment comments commentlist disqus replies responses discussion".split())
+COMMENTS = set("comment comments commentlist disqus".split())
+HINTS |= set("replies responses discussion".split())
+#: Elements that hold text of their own: inside an article no name alone makes them anything else.
+TEXTUAL = set("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption ul ol li dl dt dd table tr td th caption".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
@@ -112,21 +116,22 @@ class Dom:
 
 
 def _hinted(tag: str, attributes: str, in_article: bool) -> int:
-    """0: nothing says so; 1: a class or id says it isn't article text, if it is a small part; 2: it surely isn't."""
+    """What an element, its role, or its class and id say: 0: nothing; 1: a word of a name that it isn't article text; 2: a whole name; 3: it surely isn't."""
     if tag in NEVER or tag == "header" and not in_article:
-        return 2
+        return 3
     if not attributes or tag in ("html", "body", "article", "main", "#root"):
         return 0
     level = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":
-            level = 2 if value.lower() in ROLES else level
+            level = 3 if value.lower() in ROLES else level
         else:
-            words = {w.lower() for w in WORDS.findall(value)}
-            level = max(level, 2 if words & COMMENTS else 1 if words & HINTS or "header" in words and not in_article else 0)
-        if level == 2:
-            return 2
+            for one in value.split():
+                words = {w.lower() for w in WORDS.findall(one)}
+                level = max(level, 3 if words & COMMENTS else 2 if one.lower() in HINTS else 1 if words & HINTS or "header" in words and not in_article else 0)
+        if level == 3:
+            return 3
     return level
 
 
@@ -151,19 +156,24 @@ def main_text(page: str | None) -> str:
     own = [0] * n
     for i, s in texts:
         own[i] += len("".join(s.split()))
-    whole = own[:]
+    whole, links = own[:], [0] * n
     article, special = [False] * n, [False] * n
     for i in range(1, n):
         article[i] = article[parent[i]] or tag[i] in ("article", "main")
         special[i] = tag[i] in ("article", "main", "h1")
     for i in range(n - 1, 0, -1):
+        links[i] = whole[i] if tag[i] == "a" else links[i]
         whole[parent[i]] += whole[i]
+        links[parent[i]] += links[i]
         special[parent[i]] |= special[i]
     gone, linked = [False] * n, [False] * n
     for i in range(1, n):
         p = parent[i]
         level = 0 if gone[p] else _hinted(tag[i], dom.attributes[i], article[p])
-        gone[i] = gone[p] or level == 2 or level == 1 and not special[i] and 2 * whole[i] <= whole[0]
+        # a name is borne out by links, outside articles by being a small part; in an article a container's whole name will do
+        mostly_links = 2 * links[i] >= whole[i]
+        borne = mostly_links or (level == 2 and tag[i] not in TEXTUAL if article[p] else 2 * whole[i] <= whole[0])
+        gone[i] = gone[p] or level == 3 or level > 0 and not special[i] and borne
         linked[i] = linked[p] or tag[i] == "a"
     c, t, lc, lt = ([0] * n for _ in range(4))
     for i in range(n):
@@ -202,10 +212,22 @@ def main_text(page: str | None) -> str:
     # the threshold is the least density on the way to the body; where the best node lies in an article, on the way to that
     marked = next((k for k in range(len(path) - 1, -1, -1) if tag[path[k]] in ("article", "main")), None)
     threshold = min([dense[i] for i in (path if marked is None else path[: marked + 1]) if block[i]] + [dense[body]] * (marked is None))
+    # the best node may be a part of its article: the whole of that is kept. Where there's none, headings, paragraphs and
+    # bare text beside the way up are, as long as what lies there isn't links
+    root = next((i for i in path if tag[i] == "article" and dense[i]), next((i for i in path if tag[i] == "main" and dense[i]), None))
+    climbed, bare, i = [False] * n, [False] * n, best
+    while root is None and i > 0 and i != body:
+        p = up[i]
+        if p < 0 or gone[p] or 2 * (lc[p] - lc[i]) > c[p] - c[i] or not dense[p]:
+            break
+        climbed[p], i = True, p
+    best = best if root is None else root
     chosen = [False] * n
     for i in range(n):
         p = parent[i]
-        chosen[i] = i == best or p >= 0 and chosen[p] or block[i] and inside[i] and not t[i] and dense[i] >= max(threshold, 1e-9)
+        bare[i] = climbed[i] or not block[i] and p >= 0 and bare[p] and tag[i] != "a"
+        beside = p >= 0 and (bare[p] or climbed[p]) and tag[i] in HEADINGS and 2 * lc[i] <= c[i]
+        chosen[i] = i == best or p >= 0 and chosen[p] or beside or block[i] and inside[i] and not t[i] and dense[i] >= max(threshold, 1e-9)
     blocks, line = [], []
 
     def flush() -> None:
@@ -218,7 +240,7 @@ def main_text(page: str | None) -> str:
     for i, s in dom.events:
         k = i if i >= 0 else ~i
         if s is not None:
-            if chosen[k] and not gone[k]:
+            if (chosen[k] or bare[k]) and not gone[k]:
                 line.append(s)
         elif block[k]:
             flush()
