@@ -1,12 +1,13 @@
 """Stages of the pipeline decide on rows: null, repeated and shared ids."""
 
 import collections
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tracewright.llm import mixing
+from tracewright.llm import langid, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ROWS = [
@@ -75,3 +76,14 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         assert stage(spark, docs, "").count() == 0
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sample_of_rows_that_share_an_id_and_of_long_texts(spark):
+    """A label whose rows all share one id is learned like others, and no label gives more than its bound."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"one of many {i} texts " * 9, "aa") for i in range(900)] + [(ids[i % 40], f"another text {i}", "bb") for i in range(100)] + [(ids[1], "long " * 50_000, "cc"), (None, "no id", "dd"), (ids[2], None, "ee")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = collections.Counter(label for _, label in langid.labelled_sample(docs, per_label=70))
+    assert got == {"aa": 70, "bb": 70, "cc": 1}
+    assert sorted(langid.labelled_sample(docs, 70)) == sorted(langid.labelled_sample(docs.repartition(2), 70))
+    assert max(len(t) for t, _ in langid.labelled_sample(docs, 70)) == langid.SAMPLE_CHARS

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import slices
@@ -186,22 +186,24 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> list[tuple[bytes, str]]:
-    """At most per_label documents of each label, and SAMPLE_CHARS characters of each, from rows that aren't held out; by a hash of the id, so reruns agree."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS + 1).collect()}
-    if len(counts) > MAX_LABELS:
+    """per_label documents of each label, or all where there are fewer, and a window of SAMPLE_CHARS characters from anywhere in each, of rows that aren't held out.
+
+    Those of the least hashes of id and text are taken, so reruns agree, rows that
+    share an id are drawn apart; repeated rows count each. Each task keeps its least
+    hashes, so at most per_label rows of a label leave a task, and what the
+    driver gets is per_label windows a label. The bound is on labelled rows that a
+    network is fitted on, and on how much of each; predictions read whole texts.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
+    labels = rows.select("lang").distinct().limit(MAX_LABELS + 1).count()
+    if labels > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    if not counts:
-        return []
-    space = 1 << 40
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * per_label / n) * space)))])
-    at = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(space))
-    skip = F.pmod(F.xxhash64("doc_id", F.lit("offset")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    rows = rows.withColumn("__at", at).filter(F.col("__at") < share[F.col("lang")]).filter(F.col("text").isNotNull())
-    got: dict[str, list] = {}
-    for r in rows.select("lang", "__at", "doc_id", F.substring("text", skip + 1, F.lit(SAMPLE_CHARS)).alias("t")).toLocalIterator():
-        got.setdefault(r["lang"], []).append((r["__at"], r["doc_id"], r["t"]))
-    return [(t.encode(), lang) for lang in sorted(got) for _, _, t in sorted(got[lang])[:per_label]]
+    # a rank with a bound: Spark keeps per_label rows of a label in each task before anything is dealt out
+    at = F.xxhash64("doc_id", "text", F.lit("sample"))
+    skip = F.pmod(F.xxhash64("doc_id", "text", F.lit("offset")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    drawn = rows.select("lang", at.alias("at"), F.substring("text", skip + 1, F.lit(SAMPLE_CHARS)).alias("t"))
+    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).filter(F.col("k") <= per_label)
+    return [(r["t"].encode(), r["lang"]) for r in first.select("lang", "at", "t").orderBy("lang", "at").collect()]
 
 
 def fit(docs: DataFrame, per_label: int = DOCS_PER_LABEL, steps: int = STEPS) -> BiGru:
