@@ -48,3 +48,15 @@ def test_very_long_conversation(spark):
         mine = sorted([x for x in rows if x[0] == c], key=lambda x: (x[1], x[2], x[3]))
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest() and r["n_turns"] == len(mine)
         assert r["loss_sha256"] == hashlib.sha256("".join(x[3] for x in mine if x[2] == "assistant").encode()).hexdigest()
+
+
+def test_extras_are_passed_over_beside_turns_and_nowhere_else():
+    turn = {"role": "user", "content": "hi"}
+    for record in ({"messages": [turn | {"id": 7, "name": "x"}], "metadata": {"a": [1]}, "id": 1}, [turn | {"id": 1}], {"prompt": "a", "response": "b", "tags": ["x"], "score": 0.5}):
+        assert chat.canonical(record)
+    for record in (
+        {"messages": [turn | {"tool_calls": [{"id": 1}]}]}, {"messages": [turn], "tool_calls": [{"id": 1}]}, {"messages": [turn | {"metadata": {"text": "said"}}]}, {"prompt": {"name": "a"}, "response": "b"},
+        {"prompt": "a", "response": "b", "context": {"source": "s"}}, [turn | {"meta": ["x"]}], {"messages": [{"role": "user", "content": {"name": "n"}}]},
+    ):
+        with pytest.raises(chat.UnknownLayout):
+            chat.canonical(record)

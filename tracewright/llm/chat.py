@@ -47,14 +47,24 @@ LAYOUTS = {
     "instruction and output": {"paths": ["input?", "instruction", "output", "system?"], "turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]},
     "question and answer": {"paths": ["answer", "question", "system?"], "turns": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
 }
-#: Fields that no layout is known by: a path that names one is left out of the fingerprint.
+#: Fields that no layout is known by, at the top of a record and beside a turn's fields.
 EXTRAS = frozenset("id uuid name source lang language category tags metadata meta weight score created timestamp model".split())
 
 
+#: Lists whose elements are turns, as paths.
+TURN_LISTS = frozenset(f"{layout['each']}[]" for layout in LAYOUTS.values() if "each" in layout)
+
+
 def paths(record, at: str = "") -> set[str]:
-    """Nested field paths of a parsed JSON value; `[]` stands for any element, or for none; EXTRAS are left out."""
+    """Nested field paths of a parsed JSON value; `[]` stands for any element, or for none.
+
+    EXTRAS are left out of the record itself, whatever they hold, and beside a
+    turn's fields where they hold a plain value. Anywhere else they count: what is
+    nested in a turn or in another field is content, and makes a layout of its own.
+    """
     if isinstance(record, dict):
-        return {p for k, v in record.items() if k not in EXTRAS for p in paths(v, f"{at}.{k}" if at else k)}
+        extra = lambda k, v: k in EXTRAS and (at == "" or (at in TURN_LISTS and not isinstance(v, (dict, list))))
+        return {p for k, v in record.items() if not extra(k, v) for p in paths(v, f"{at}.{k}" if at else k)}
     if isinstance(record, list):
         return {p for v in record for p in paths(v, f"{at}[]")} if record else {f"{at}[]"}
     return {at}
