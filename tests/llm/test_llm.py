@@ -605,7 +605,7 @@ def test_sql(spark, name):
 def test_pipeline(spark, documents, tokenizer):
     import corpus_pipeline as pipeline
 
-    assert [n for n, _ in pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "mixing to target weights", "packing"]
+    assert [n for n, _ in pipeline.STAGES] == ["language ID", "exact dedup", "near-dedup", "mixing to target weights", "packing"]
     docs = documents
     seen = []
     for _, stage in pipeline.STAGES[:4]:
