@@ -29,6 +29,8 @@ from tracewright.llm.common import slices
 WINDOW, HIDDEN = 64, 8
 #: Bounds of what the driver gathers for training: labels, documents for each label, characters of each document.
 MAX_LABELS, DOCS_PER_LABEL, SAMPLE_CHARS = 256, 300, 2048
+#: Places in which the tasks' candidates for a label meet first.
+SLOTS = 128
 #: Training steps, windows a step.
 STEPS, BATCH = 420, 192
 UNKNOWN = "und"
@@ -189,10 +191,12 @@ def labelled_sample(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> list[tu
     """per_label documents of each label, or all where there are fewer, and a window of SAMPLE_CHARS characters from anywhere in each, of rows that aren't held out.
 
     Those of the least hashes of id and text are taken, so reruns agree, rows that
-    share an id are drawn apart; repeated rows count each. Each task keeps its least
-    hashes, so at most per_label rows of a label leave a task, and what the
-    driver gets is per_label windows a label. The bound is on labelled rows that a
-    network is fitted on, and on how much of each; predictions read whole texts.
+    share an id are drawn apart; repeated rows count each. At most per_label rows of
+    a label leave a task; they meet in SLOTS places, and what those leave meets by
+    label, so no task reads more than its share of the tasks' rows or SLOTS *
+    per_label of them. The driver gets per_label windows a label. The bound is on
+    labelled rows that a network is fitted on, and on how much of each; predictions
+    read whole texts.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     labels = rows.select("lang").distinct().limit(MAX_LABELS + 1).count()
@@ -201,8 +205,9 @@ def labelled_sample(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> list[tu
     # a rank with a bound: Spark keeps per_label rows of a label in each task before anything is dealt out
     at = F.xxhash64("doc_id", "text", F.lit("sample"))
     skip = F.pmod(F.xxhash64("doc_id", "text", F.lit("offset")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    drawn = rows.select("lang", at.alias("at"), F.substring("text", skip + 1, F.lit(SAMPLE_CHARS)).alias("t"))
-    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).filter(F.col("k") <= per_label)
+    drawn = rows.select("lang", at.alias("at"), F.substring("text", skip + 1, F.lit(SAMPLE_CHARS)).alias("t"), (F.spark_partition_id() % SLOTS).alias("slot"))
+    least = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).filter(F.col("k") <= per_label).drop("k")
+    first = least(least(drawn, "lang", "slot"), "lang")
     return [(r["t"].encode(), r["lang"]) for r in first.select("lang", "at", "t").orderBy("lang", "at").collect()]
 
 
