@@ -1,4 +1,4 @@
-"""Order replays, order sweeps, early stops, scenarios and coverage."""
+"""Order replays, order sweeps, early stops, scenarios, coverage, checkpoints, reports and claims."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from tracewright.operators.ranges import numbered
 from tracewright.plans.inputs import CORPUS, EQUATIONS, corpus, equations, table
 from tracewright.plans.registry import query
 from tracewright.plans.solving import VOCABULARY
+from tracewright.sources.files import scratch
 
 
 @query("J11_replay_repeats", """SELECT step, id, segment, step // 64 AS batch, times FROM (
@@ -129,3 +130,54 @@ def unsolved(spark, sf_dir):
     lost = c.filter("gt_match <> 'True'")
     joined = lost.join(cells, lost["category"].eqNullSafe(F.col("k")) & lost["label"].eqNullSafe(F.col("l")))
     return joined.select("category", "label", "id", "matched", "n", F.round(F.col("matched") * 100.0 / F.col("n"), 4).alias("yield"))
+
+
+#: Orders of a checkpoint; the first run is cut within one.
+EVERY, CUT = 64, 5000
+
+
+@query("S23_resumed_checkpoints", f"""WITH o AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) AS k FROM orders)
+    SELECT k // {EVERY} AS batch, CASE WHEN k // {EVERY} < {CUT} // {EVERY} THEN 1 ELSE 2 END AS run, count(*) AS n, min(o_orderkey) AS first FROM o GROUP BY 1, 2""")
+def resumed_checkpoints(spark, sf_dir):
+    """Results that are kept every 64 rows: a run that is cut between two checkpoints loses what it had since the last, and the next run goes on from there, none twice."""
+    path = scratch(spark, "checkpoints") + "/t"
+    o = numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "at").withColumn("batch", F.floor(F.col("at") / EVERY))
+    whole = o.filter(F.col("at") < CUT - CUT % EVERY)
+    whole.select("o_orderkey", "batch", F.lit(1).alias("run")).write.parquet(path)
+    there = spark.read.schema("o_orderkey long, batch long, run int").parquet(path)
+    o.join(there.select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey", "batch", F.lit(2).alias("run")).write.mode("append").parquet(path)
+    return spark.read.schema("o_orderkey long, batch long, run int").parquet(path).groupBy("batch", "run").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("S25_report_in_order", """WITH g AS (SELECT coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, count(*) AS n FROM documents GROUP BY 1, 2),
+    r AS (SELECT row_number() OVER (ORDER BY n DESC, source, lang) + 3 AS place, '| ' || source || ' | ' || lang || ' | ' || n || ' |' AS line FROM g)
+    SELECT * FROM r UNION ALL SELECT 1, '# Documents' UNION ALL SELECT 2, '| source | lang | n |' UNION ALL SELECT 3, '|-|-|-|'""")
+def report_in_order(spark, sf_dir):
+    """A report as one file, title and header first, rows by size; read back in its order. Cells of the report are few."""
+    path = scratch(spark, "report") + "/report.md"
+    g = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("n"))
+    rows = g.select(F.lit(1).alias("part"), "n", "source", "lang", F.concat(F.lit("| "), "source", F.lit(" | "), "lang", F.lit(" | "), "n", F.lit(" |")).alias("value"))
+    head = spark.createDataFrame([("# Documents\n| source | lang | n |\n|-|-|-|",)], "value string").select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("").alias("source"), F.lit("").alias("lang"), "value")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("part", F.desc("n"), "source", "lang").select("value").write.text(path)
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
+    return whole.select((F.col("at") + 1).cast("long").alias("place"), F.trim("line").alias("line"))
+
+
+#: A claim of a trace: a value, two numbers and the sign between them.
+CLAIM = r"(-?\d+) = (\d+) (\S) (\d+)\."
+_TRACES = f"SELECT puzzle, string_agg((out + CASE WHEN CAST('0x' || substr(md5(puzzle || ':' || ex), 1, 6) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END) || ' = ' || a || ' ' || op || ' ' || b || '.', chr(10)) AS t FROM ({EQUATIONS}) GROUP BY 1"
+_WORTH = "CASE {op} WHEN '*' THEN {a} * {b} WHEN '+' THEN {a} + {b} WHEN '-' THEN abs({a} - {b}) WHEN '$' THEN {a} * {b} + 1 WHEN '#' THEN {a} - {b} ELSE {a} + {b} - 1 END"
+
+
+@query("K33_claims_read", f"""WITH t AS ({_TRACES}), c AS (SELECT puzzle, unnest(regexp_extract_all(t, '{CLAIM}')) AS line FROM t),
+    p AS (SELECT puzzle, CAST(regexp_extract(line, '{CLAIM}', 1) AS BIGINT) AS v, CAST(regexp_extract(line, '{CLAIM}', 2) AS BIGINT) AS a, regexp_extract(line, '{CLAIM}', 3) AS op, CAST(regexp_extract(line, '{CLAIM}', 4) AS BIGINT) AS b FROM c)
+    SELECT puzzle, count(*) AS claims, count(*) FILTER (v <> {_WORTH.format(op='op', a='a', b='b')}) AS wrong FROM p GROUP BY 1""")
+def claims_read(spark, sf_dir):
+    """Claims of all six signs read out of traces and worked out anew, as one expression over the text."""
+    h = F.conv(F.substring(F.md5(F.concat("puzzle", F.lit(":"), "ex").cast("binary")), 1, 6), 16, 10).cast("long")
+    line = F.concat((F.col("out") + F.when(h % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(" = "), "a", F.lit(" "), "op", F.lit(" "), "b", F.lit("."))
+    traces = equations(spark, sf_dir).groupBy("puzzle").agg(F.array_join(F.collect_list(line), "\n").alias("t"))
+    group = lambda x, i: F.regexp_extract(x, CLAIM, i)
+    read = F.transform(F.regexp_extract_all("t", F.lit(CLAIM), F.lit(0)), lambda x: F.struct(group(x, 1).cast("long").alias("v"), group(x, 2).cast("long").alias("a"), group(x, 3).alias("op"), group(x, 4).cast("long").alias("b")))
+    wrong = F.expr(f"size(filter(c, x -> x.v <> {_WORTH.format(op='x.op', a='x.a', b='x.b')}))")
+    return traces.select("puzzle", read.alias("c")).select("puzzle", F.size("c").cast("long").alias("claims"), wrong.cast("long").alias("wrong"))
