@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of queries."""
-    from tracewright.plans import balance, corpus, evaluation, features, mechanisms, more, puzzles, replays, report, rewards, solving, training  # noqa: F401
+    from tracewright.plans import balance, corpus, evaluation, features, launch, mechanisms, more, puzzles, replays, report, rewards, solving, training  # noqa: F401
