@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_FOUND = "NOT_FOUND"
-PHRASES = [r"(?i)The final answer is:\s*([^\n]+)", r"(?i)Final answer is:\s*([^\n]+)", r"(?i)Final answer\s*[:\uff1a]\s*([^\n]+)"]
+# Phrases before an answer, in the order in which they are tried.
+PHRASES = [r"(?i)The final answer is:\s*([^\n]+)", r"(?i)Final answer is:\s*([^\n]+)", r"(?i)Final answer\s*[:：]\s*([^\n]+)"]
 NUMBER = r"-?\d+(?:\.\d+)?"
 
 

@@ -41,7 +41,7 @@ def boxed_legacy(spark, sf_dir):
 
 
 @query("X3_answer_phrase", rf"""SELECT id, coalesce(trim(regexp_extract_all(output, '(?i)The final answer is:\s*([^\n]+)', 1)[-1]), trim(regexp_extract_all(output, '(?i)Final answer is:\s*([^\n]+)', 1)[-1]),
-    trim(regexp_extract_all(output, '(?i)Final answer\s*[:' || chr(65306) || ']\s*([^\n]+)', 1)[-1])) AS phrase FROM ({OUTPUTS})""")
+    trim(regexp_extract_all(output, '(?i)Final answer\s*[:：]\s*([^\n]+)', 1)[-1])) AS phrase FROM ({OUTPUTS})""")
 def answer_phrase(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.answer_phrase(F.col("output")).alias("phrase"))
 

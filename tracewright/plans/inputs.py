@@ -24,7 +24,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(body, F.lit("\\boxed{} then \\boxed{"), ans),
         F.concat(F.lit("\\boxed{"), ans, F.lit("}} end")),
         F.concat(F.lit("The final answer is: "), ans, F.lit("\nbye")),
-        F.concat(F.lit("steps\nFinal answer\uff1a "), ans, F.lit("  ")),
+        F.concat(F.lit("steps\nFinal answer： "), ans, F.lit("  ")),
         F.concat(F.lit("from 12.5 we get "), ans, F.lit(" units")),
         F.concat(F.lit("<think>no idea</think>\n  nothing at all \n\n")),
     ]
@@ -42,7 +42,7 @@ OUTPUTS = r"""
         WHEN 2 THEN coalesce(text, '') || '\boxed{} then \boxed{' || (doc_id % 97)
         WHEN 3 THEN '\boxed{' || (doc_id % 97) || '}} end'
         WHEN 4 THEN 'The final answer is: ' || (doc_id % 97) || chr(10) || 'bye'
-        WHEN 5 THEN 'steps' || chr(10) || 'Final answer' || chr(65306) || ' ' || (doc_id % 97) || '  '
+        WHEN 5 THEN 'steps' || chr(10) || 'Final answer： ' || (doc_id % 97) || '  '
         WHEN 6 THEN 'from 12.5 we get ' || (doc_id % 97) || ' units'
         ELSE '<think>no idea</think>' || chr(10) || '  nothing at all ' || chr(10) || chr(10) END AS output
     FROM documents
@@ -56,7 +56,7 @@ PREDICTED = rf"""
         ELSE coalesce(
             trim(regexp_extract_all(output, '(?i)The final answer is:\s*([^\n]+)', 1)[-1]),
             trim(regexp_extract_all(output, '(?i)Final answer is:\s*([^\n]+)', 1)[-1]),
-            trim(regexp_extract_all(output, '(?i)Final answer\s*[:' || chr(65306) || ']\s*([^\n]+)', 1)[-1]),
+            trim(regexp_extract_all(output, '(?i)Final answer\s*[:：]\s*([^\n]+)', 1)[-1]),
             regexp_extract_all(output, '-?\d+(?:\.\d+)?')[-1],
             list_filter(list_transform(string_split(output, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1],
             'NOT_FOUND') END AS predicted
