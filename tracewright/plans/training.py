@@ -12,7 +12,7 @@ from tracewright.operators import trainset as ops
 from tracewright.operators.ranges import numbered
 from tracewright.plans.inputs import CORPUS, OUTPUTS, PREDICTED, corpus, outputs, table
 from tracewright.plans.registry import query
-from tracewright.plans.solving import by_puzzle, words
+from tracewright.plans.solving import by_puzzles, words
 
 
 @query("T1_chat_prompt", "SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || chr(10) || 'Put the answer in \\boxed{}.<|im_end|>' || chr(10) AS prompt FROM conversations WHERE role = 'user'")
@@ -169,7 +169,7 @@ def sequence_logprob(spark, sf_dir):
 def failure_correction(spark, sf_dir):
     """Behind each puzzle's failed guess the bits that it got wrong, with the rule that an example refutes and one that holds: as many of three as fit, or why none is there."""
     kind = "struct<reason:string,corrected:int,text:string>"
-    rows = words(spark, sf_dir).withColumn("c", by_puzzle(kind, lambda xs, ys: dict(zip(("reason", "corrected", "text"), bitrules.correction(xs, ys, limit=60), strict=True))))
+    rows = words(spark, sf_dir).withColumn("c", by_puzzles(kind, lambda xs, ys: bitrules.corrections(xs, ys, limit=60)))
     return rows.select("puzzle", "c.*")
 
 
