@@ -6,6 +6,7 @@ import os
 import sys
 import types
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,13 +32,18 @@ def _loaded(path: str):
     return kept[path]
 
 
+def ids_of(texts: pd.Series, path: str) -> pd.Series:
+    """Ids of each text as an array. What the tokenizer makes beside ids is held for one text at a time."""
+    encode = _loaded(path).encode
+    return pd.Series([np.array(encode(t or "", add_special_tokens=False).ids, np.int32) for t in texts], dtype=object)
+
+
 def token_ids(text: Column, path: str | None = None) -> Column:
     """Ids of a text; none of a null one."""
     path = path or tokenizer_path()
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        found = _loaded(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([e.ids for e in found])
+        return ids_of(texts, path)
 
     return run(text)
