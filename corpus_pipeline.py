@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import dedup, langid, mixing, nearcopies, packing
+from tracewright.llm import dedup, langid, mixing, nearcopies, packing, simhash
 from tracewright.llm.common import cut
 from tracewright.llm.graph import components
 
@@ -70,15 +70,18 @@ def text_digest() -> Column:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose sets of five-word shingles are alike by 0.8 or more the row with the smallest id stays.
 
-    Candidates come from MinHash bands, not from SimHash: at a similarity of 0.8
-    fingerprints are too far apart (see the README). Nodes are known by 64 bits,
+    Candidates are the components of the SimHash popcount join, at four bits or
+    fewer, and, since fingerprints are farther apart at a similarity of 0.8 (see
+    the README), the cells of MinHash bands; both are held to the similarity by
+    their whole sets of shingles. Nodes are known by 64 bits,
     decisions fall on SHA-256 digests: of texts that collide in those bits one is
     the node, the others stay. Null ids lose to others, ties go to the smaller key of the text, then to the
     least row by its columns. Texts without words (null too) are near copies of
     each other; equal texts are one node of a component.
     """
     keyed = docs.select(nearcopies.text_key(F.col("text")).alias("key"), text_digest().alias("digest"), "doc_id", "text")
-    roots = cut(components(cut(nearcopies.links(keyed.select("key", "text")), "links")), "components")
+    alike = simhash.near_duplicates(keyed, doc_id="key").select(F.col("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component_id").alias("cell")).distinct()
+    roots = cut(components(cut(nearcopies.links(keyed.select("key", "text"), also=cut(alike, "simhash")), "links")), "components")
     texts = keyed.groupBy("key", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least"), F.count("*").alias("n"))
     rows = texts.groupBy("key").agg(F.min(F.struct("digest", "least", "n")).alias("text")).select("key", "text.*")
     firsts = keyed.groupBy("digest", "doc_id").agg(F.count("*").alias("times"))

@@ -4,8 +4,9 @@ Candidates come from MinHash bands: ROWS minima of a band agree with
 probability s ** ROWS at similarity s, so that of BANDS bands at least one does
 with 1 - (1 - s ** ROWS) ** BANDS, which is 0.9996 at 0.8 and more above. (A
 SimHash radius as wide as 0.8 needs, ten bits on average and up to seventeen in
-short texts, leaves no group of bits that is equal and selective.) Texts of a
-band's cell are then held to the similarity of their whole shingle sets.
+short texts, leaves no group of bits that is equal and selective.) Cells from
+elsewhere, such as the pipeline's SimHash components, may be added. Texts of a
+cell are then held to the similarity of their whole shingle sets.
 
 A cell never gives all its pairs: a search from the least unvisited member
 gives edges of a spanning forest of the links in it, which has the same
@@ -96,8 +97,11 @@ def forest(keys: list[int], sets: list[np.ndarray], least: float = LEAST) -> lis
     return edges
 
 
-def links(docs: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between text keys whose components are those of all near copies among docs (key, text)."""
+def links(docs: DataFrame, least: float = LEAST, cell: int = CELL, *, also: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between text keys whose components are those of all near copies among docs (key, text).
+
+    also (key, cell), where given, has further cells of candidates, held to the same similarity; a key has a cell once.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -132,7 +136,7 @@ def links(docs: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(docs.mapInArrow(sign, "key long, bands array<long>"), "signatures").groupBy("key").agg(F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
     signed = cut(signed, "distinct")
-    wanted = cut(_units(signed, cell), "units")
+    wanted = cut(_units(signed, cell, also), "units")
     row = wanted.agg(F.count("*").alias("n"), F.max("copies").alias("copies")).first()
     if not row["n"]:
         return docs.sparkSession.createDataFrame([], "a long, b long")
@@ -149,7 +153,7 @@ def links(docs: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(search, "a long, b long").distinct()
 
 
-def _units(signed: DataFrame, cell: int) -> DataFrame:
+def _units(signed: DataFrame, cell: int, also: DataFrame | None = None) -> DataFrame:
     """(key, copies, units) of the keys that share a cell: the searches that a key's text takes part in.
 
     Texts that cells join, over others too, are one cluster. A cluster of at
@@ -157,6 +161,7 @@ def _units(signed: DataFrame, cell: int) -> DataFrame:
     larger one each cell is, and of a larger cell each pair of its chunks.
     """
     keyed = signed.select("key", F.explode("bands").alias("cell"))
+    keyed = keyed if also is None else keyed.unionByName(also.select("key", "cell"))
     members = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all"))
     # cells of the same members are one
     cells = cut(members.filter("n > 1").groupBy("n", "low", "high", "all").agg(F.min("cell").alias("cell")).select("cell", "low", "n"), "cells")
