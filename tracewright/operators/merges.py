@@ -19,6 +19,9 @@ so that aaa holds the pair (a, a) twice.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from tracewright.sources.files import materialised
 
 #: Merges tried in a round; merges after which words are written anew.
 TRIED, WRITE = 8, 32
+#: Merges that are written out in a plan; more are an array that is walked.
+NESTED = 64
 
 MERGES = "rank int, left string, right string, n long"
 
@@ -38,7 +43,8 @@ def symbols(word: Column) -> Column:
 def words(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) of all texts."""
     found = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1)).alias("word")).filter("word <> ''")
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    # words are small: as many tasks as there are cores, whatever their bytes
+    return found.groupBy("word").agg(F.count("*").alias("n")).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def pairs_of(s: Column) -> Column:
@@ -54,23 +60,31 @@ def _rules(pairs: list[tuple[str, str]]) -> Column:
 
 
 def merged(s: Column, pairs: list[tuple[str, str]]) -> Column:
-    """A word after the merges, one after the other."""
-    return F.aggregate(_rules(pairs), s, lambda now, m: F.replace(now, m["old"], m["new"])) if pairs else s
+    """A word after the merges, one after the other: up to NESTED as one expression that Spark compiles."""
+    if len(pairs) > NESTED:
+        return F.aggregate(_rules(pairs), s, lambda now, m: F.replace(now, m["old"], m["new"]))
+    for a, b in pairs:
+        s = F.replace(s, F.lit(f"<{a}><{b}>"), F.lit(f"<{a}{b}>"))
+    return s
 
 
 def _changes(state: DataFrame, tried: list[tuple[str, str]]) -> list[dict[tuple[str, str], int]]:
-    """How each of the merges, upon those before, changes the counts of pairs. Only words that hold one of the pairs are looked at further."""
+    """How each of the merges, upon those before, changes the counts of pairs. Only words that hold one of the pairs are looked at further, and words are read once.
+
+    A word that holds none of them at first holds none later: a merge makes no pair of older symbols.
+    """
     none = F.array().cast("array<struct<step:int,old:string,new:string>>")
 
     def step(acc: Column, m: Column) -> Column:
         new = F.replace(acc["now"], m["old"], m["new"])
         told = F.struct(m["step"].alias("step"), acc["now"].alias("old"), new.alias("new"))
-        return F.struct(new.alias("now"), F.concat(acc["told"], F.array(told)).alias("told"))
+        return F.struct(new.alias("now"), F.when(new != acc["now"], F.concat(acc["told"], F.array(told))).otherwise(acc["told"]).alias("told"))
 
+    held = reduce(or_, (F.contains("s", F.lit(f"<{a}><{b}>")) for a, b in tried))
     told = F.aggregate(_rules(tried), F.struct(F.col("s").alias("now"), none.alias("told")), step)["told"]
-    changed = state.select("n", F.explode(told).alias("x")).filter("x.old <> x.new")
-    each = lambda c, sign: changed.select("x.step", F.explode(pairs_of(F.col(f"x.{c}"))).alias("p"), (F.col("n") * sign).alias("by"))
-    sums = each("old", -1).unionByName(each("new", 1)).groupBy("step", "p.left", "p.right").agg(F.sum("by").alias("by")).filter("by <> 0")
+    changed = state.filter(held).select("n", F.explode(told).alias("x"))
+    each = lambda c, sign: F.transform(pairs_of(F.col(f"x.{c}")), lambda p: F.struct(p["left"].alias("left"), p["right"].alias("right"), F.lit(sign).alias("sign")))
+    sums = changed.select("x.step", "n", F.explode(F.concat(each("old", -1), each("new", 1))).alias("p")).groupBy("step", "p.left", "p.right").agg(F.sum(F.col("n") * F.col("p.sign")).alias("by")).filter("by <> 0")
     out: list[dict] = [{} for _ in tried]
     for r in sums.collect():
         out[r["step"]][r["left"], r["right"]] = r["by"]
@@ -80,7 +94,8 @@ def _changes(state: DataFrame, tried: list[tuple[str, str]]) -> list[dict[tuple[
 def learn(counted: DataFrame, merges: int, least: int = 2) -> DataFrame:
     """(rank, left, right, n) of the merges, from (word, n); left and right in hex."""
     spark = counted.sparkSession
-    state = materialised(counted.select(symbols(F.col("word")).alias("s"), "n"), "words")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    state = materialised(counted.select(symbols(F.col("word")).alias("s"), "n").repartition(tasks), "words")
     first = state.select("n", F.explode(pairs_of(F.col("s"))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
     count = {(r["left"], r["right"]): r["n"] for r in first.collect()}
     best = lambda k: sorted(count, key=lambda p: (-count[p], p))[:k]
@@ -125,6 +140,9 @@ def is_merged(symbol: Column) -> Column:
 
 
 def dictionary(counted: DataFrame, merges: DataFrame) -> DataFrame:
-    """(symbol, uses, places) of merged symbols as they stand in the words after all merges."""
-    cut = segmented(counted.filter("word IS NOT NULL"), "word", merges).select("n", F.explode("symbols").alias("symbol"))
-    return cut.filter(is_merged(F.col("symbol"))).groupBy("symbol").agg(F.sum("n").alias("uses"), F.count("*").alias("places"))
+    """(symbol, uses, places) of merged symbols as they stand in the words after all merges; they are counted in hex, and of these each is made text once."""
+    rules = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
+    parts = F.filter(F.split(merged(symbols(F.col("word")), rules), "[<>]+", -1), lambda x: F.length(x) > 2)
+    each = counted.filter("word IS NOT NULL").select("n", F.explode(parts).alias("hex")).groupBy("hex").agg(F.sum("n").alias("uses"), F.count("*").alias("places"))
+    told = each.select(_as_text(F.col("hex")).alias("symbol"), "uses", "places").filter(is_merged(F.col("symbol")))
+    return told.groupBy("symbol").agg(F.sum("uses").alias("uses"), F.sum("places").alias("places"))
