@@ -135,7 +135,8 @@ def links(docs: DataFrame, least: float = LEAST, cell: int = CELL, *, also: Data
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(docs.mapInArrow(sign, "key long, bands array<long>"), "signatures").groupBy("key").agg(F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
-    signed = cut(signed, "distinct")
+    # a key has twenty cells, so keys are dealt out before cells are made of them
+    signed = cut(signed.repartition(n, "key"), "distinct")
     wanted = cut(_units(signed, cell, also), "units")
     row = wanted.agg(F.count("*").alias("n"), F.max("copies").alias("copies")).first()
     if not row["n"]:

@@ -25,7 +25,9 @@ result; extra columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -112,14 +114,25 @@ def links(fps: DataFrame, most: int = 4, cell: int = CELL) -> DataFrame:
     equal = GROUPS - most
     if equal < 1:
         raise ValueError(f"at most {GROUPS - 1} differing bits")
-    masks = []
-    for chosen in combinations(range(GROUPS), equal):
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    choices, masks = list(combinations(range(GROUPS), equal)), []
+    for chosen in choices:
         mask = sum(0xFF << (8 * g) for g in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    grids = F.transform(F.array(*map(F.lit, masks)), lambda m: F.xxhash64(m, F.col("v").bitwiseAND(m)))
     # a cell is known by a hash of its grid and coordinates: cells that meet by chance give pairs that fail the check
-    keyed = fps.select("fp", embedding(F.col("fp")).alias("v")).select("fp", F.explode(grids).alias("cell"))
-    large = cut(keyed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell).select("cell", F.ceil(F.col("n") / cell).cast("int").alias("chunks")), "large")
+    grids = [F.xxhash64(F.lit(m), F.col("v").bitwiseAND(F.lit(m))) for m in masks]
+    # a fingerprint has few bytes and many cells, so fingerprints are dealt out before cells are made of them
+    vectors = fps.select("fp", embedding(F.col("fp")).alias("v")).repartition(n, "fp")
+    keyed = vectors.select("fp", F.explode(F.array(*grids)).alias("cell"))
+    # each group's coordinates in a large cell stand in more than `cell` vectors, and a group has at most 81
+    at = [F.shiftrightunsigned("v", 8 * g).bitwiseAND(F.lit(255)) for g in range(GROUPS)]
+    each = vectors.select(F.explode(F.array(*(F.struct(F.lit(g).alias("g"), x.alias("x")) for g, x in enumerate(at)))).alias("c"))
+    common = each.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") > cell).select("c.*").collect()
+    often = [x.isin([r["x"] for r in common if r["g"] == g]) for g, x in enumerate(at)]
+    marked = vectors.withColumns({f"often{g}": x for g, x in enumerate(often)})
+    likely = F.array_compact(F.array(*(F.when(reduce(and_, (F.col(f"often{g}") for g in chosen)), h) for chosen, h in zip(choices, grids, strict=True))))
+    counted = marked.select(F.explode(likely).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    large = cut(counted.filter(F.col("n") > cell).select("cell", F.ceil(F.col("n") / cell).cast("int").alias("chunks")), "large")
     spread = keyed
     if large.count():
         # large cells: member i goes with every pair of chunks that has its own
@@ -160,7 +173,6 @@ def links(fps: DataFrame, most: int = 4, cell: int = CELL) -> DataFrame:
         if len(rest[0]):
             yield search(*rest)
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spread.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
