@@ -25,14 +25,18 @@ LINES = [
 ]
 
 
+def dealt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of orders, dealt out before their texts are made: to so many tasks by number, since of keys alone, which are small, Spark would make one task again."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     lines = [F.when(k % m == 0, F.lit(b)).otherwise(F.lit(a)) for m, a, b in LINES]
     gold = (k % 89).cast("string")
     end = F.when(k % 6 == 0, F.lit("no box")).when(k % 6 == 1, F.concat(F.lit("\\boxed{"), gold, F.lit("}<|im_end|>"))).when(k % 6 == 2, F.concat(F.lit("\\boxed{unknown} \\boxed{"), gold, F.lit("}"))).otherwise(F.concat(F.lit("I will now return the answer in \\boxed{}, the answer is \n\\boxed{"), (k % 89 + (k % 6 == 5).cast("int") * 40).cast("string"), F.lit("}")))
     category = F.when(k % 2 == 0, "cryptarithm_deduce").otherwise("equation_numeric_deduce")
-    # keys are dealt out before their texts are made: one file's rows go to all cores
-    return table(spark, sf_dir, "orders").select("o_orderkey").repartition("o_orderkey").select(k.alias("id"), category.alias("category"), gold.alias("gold"), F.lit("0123456789AB").alias("pool"), F.concat_ws("\n", *lines, end).alias("text"), (k % 3000).alias("tokens"))
+    return dealt_keys(spark, sf_dir).select(k.alias("id"), category.alias("category"), gold.alias("gold"), F.lit("0123456789AB").alias("pool"), F.concat_ws("\n", *lines, end).alias("text"), (k % 3000).alias("tokens"))
 
 
 def _q(s: str) -> str:
@@ -103,7 +107,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("read each equation one symbol"), F.when(fault == 5, "* -> f").otherwise("+ -> f"), F.lit("* -> g"), F.concat(F.lit("EX1 "), a, F.lit("+"), b, F.lit("=77 becomes "), first),
         F.when(fault != 3, second), F.when(fault == 4, F.concat(F.lit("EX1 "), b, F.lit(" becomes 1"))), F.concat(F.lit("QUERY "), b, F.lit("+"), a, F.lit(" becomes "), spaced(F.concat(b, F.lit("f"), a))),
     ]
-    return table(spark, sf_dir, "orders").select("o_orderkey").repartition("o_orderkey").select(k.alias("id"), fault.alias("fault"), prompt.alias("prompt"), F.concat_ws("\n", *lines).alias("text"))
+    return dealt_keys(spark, sf_dir).select(k.alias("id"), fault.alias("fault"), prompt.alias("prompt"), F.concat_ws("\n", *lines).alias("text"))
 
 
 FAULT = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6)) AS BIGINT) % 6"
