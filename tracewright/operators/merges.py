@@ -1,10 +1,10 @@
 """Merged tokens learned from a corpus: pairs of neighbouring symbols, the most frequent first.
 
-Words are counted first, so that a round goes over distinct words. A word is a
-string of symbols, each a run of bytes in hex between < and >; a merge is then
-a plain replacement. The counts of pairs are small (pairs of symbols, of which
-there are 256 and one a merge) and are held in the driver; a round goes over the
-words that hold the merged pair and returns how much each count changes.
+Words are counted first, so that a round goes over distinct words. Some thousand
+of them are a block: one array of the numbers of their symbols. A symbol is a run
+of bytes, told by its hex. The counts of pairs are small (pairs of symbols, of
+which there are 256 and one a merge) and are held in the driver; a round goes
+over the blocks and returns how much each count changes.
 
 A round tries the next few merges in the order of the counts so far, each upon
 the one before, and tells their changes apart; as many are kept as were right,
@@ -19,16 +19,18 @@ so that aaa holds the pair (a, a) twice.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Iterator
+from heapq import nsmallest
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.sources.files import materialised
 
 #: Merges tried in a round; merges after which words are written anew.
-TRIED, WRITE = 8, 32
+TRIED, WRITE = 12, 24
 #: Merges that are written out in a plan; more are an array that is walked.
 NESTED = 64
 
@@ -47,13 +49,6 @@ def words(docs: DataFrame, text: str) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("n")).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
-def pairs_of(s: Column) -> Column:
-    """Neighbouring symbols of a word, as (left, right). The word is split once: its parts are the element of an array of one."""
-    both = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    parts = F.split(F.substring(s, F.lit(2), F.length(s) - 2), "><", -1)
-    return F.flatten(F.transform(F.array(parts), both))
-
-
 def _rules(pairs: list[tuple[str, str]]) -> Column:
     """Merges as an array of replacements: a plan stays small however many there are."""
     return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(f"<{a}><{b}>").alias("old"), F.lit(f"<{a}{b}>").alias("new")) for i, (a, b) in enumerate(pairs)))
@@ -68,55 +63,148 @@ def merged(s: Column, pairs: list[tuple[str, str]]) -> Column:
     return s
 
 
-def _changes(state: DataFrame, tried: list[tuple[str, str]]) -> list[dict[tuple[str, str], int]]:
-    """How each of the merges, upon those before, changes the counts of pairs. Only words that hold one of the pairs are looked at further, and words are read once.
+#: A block: numbers of symbols, END behind each word, and the words' counts.
+BLOCK = "flat binary, uses binary"
+END = -1
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of each batch of (word as bytes, n)."""
+    for batch in batches:
+        words, n = batch.column("word").to_pylist(), np.array(batch.column("n").to_pylist(), np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.full(int(sizes.sum()) + len(words), END, np.int32)
+        flat[np.arange(sizes.sum()) + np.repeat(np.arange(len(words)), sizes)] = np.frombuffer(b"".join(words), np.uint8)
+        yield pa.RecordBatch.from_pydict({"flat": pa.array([flat.tobytes()], pa.binary()), "uses": pa.array([n.tobytes()], pa.binary())})
+
+
+def _pair_sums(flat: np.ndarray, uses: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left << 32 | right, uses) of the pairs that begin at the places, summed; a place may be named twice and is one."""
+    at = np.unique(at)
+    at = at[(at >= 0) & (at < len(flat) - 1)]
+    at = at[(flat[at] != END) & (flat[at + 1] != END)]
+    keys, inverse = np.unique(flat[at].astype(np.int64) << 32 | flat[at + 1], return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, inverse, uses[at])
+    return keys, sums
+
+
+def _merge(flat: np.ndarray, uses: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and uses of their words after a merge, places of what is merged before, and where the new symbols are after."""
+    at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
+    if left == right and len(at):
+        # in a run every other one, from the left
+        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+    if not len(at):
+        return flat, uses, at, at
+    stays = np.ones(len(flat), bool)
+    stays[at + 1] = False
+    flat = flat.copy()
+    flat[at] = new
+    return flat[stays], uses[stays], at, at - np.arange(len(at))
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of each block, and of each the uses of its word."""
+    for flat, uses in zip(batch.column("flat").to_pylist(), batch.column("uses").to_pylist(), strict=True):
+        flat = np.frombuffer(flat, np.int32)
+        yield flat, np.repeat(np.frombuffer(uses, np.int64), np.diff(np.flatnonzero(flat == END), prepend=-1))
+
+
+def _summed(rows: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(step, left, right, by) of what blocks give."""
+    sums = rows.groupBy("step", "pair").agg(F.sum("by").alias("by")).filter("by <> 0")
+    return [(r["step"], r["pair"] >> 32, r["pair"] & 0xFFFFFFFF, r["by"]) for r in sums.collect()]
 
-    A word that holds none of them at first holds none later: a merge makes no pair of older symbols.
-    """
-    none = F.array().cast("array<struct<step:int,old:string,new:string>>")
 
-    def step(acc: Column, m: Column) -> Column:
-        new = F.replace(acc["now"], m["old"], m["new"])
-        told = F.struct(m["step"].alias("step"), acc["now"].alias("old"), new.alias("new"))
-        return F.struct(new.alias("now"), F.when(new != acc["now"], F.concat(acc["told"], F.array(told))).otherwise(acc["told"]).alias("told"))
+def _rows(step: int, keys: np.ndarray, by: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"step": pa.array(np.full(len(keys), step, np.int32)), "pair": pa.array(keys), "by": pa.array(by)})
+
+
+CHANGE = "step int, pair long, by long"
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a block."""
+    for batch in batches:
+        for flat, uses in _opened(batch):
+            yield _rows(0, *_pair_sums(flat, uses, np.arange(len(flat))))
+
+
+def _changes(state: DataFrame, pending: list[tuple[int, int, int]], tried: list[tuple[int, int, int]]) -> list[dict[tuple[int, int], int]]:
+    """How each of the merges, upon those before and what is pending, changes the counts of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, uses in _opened(batch):
+                for rule in pending:
+                    flat, uses, _, _ = _merge(flat, uses, *rule)
+                for step, rule in enumerate(tried):
+                    before, before_uses = flat, uses
+                    flat, uses, old, new = _merge(flat, uses, *rule)
+                    keys, by = _pair_sums(before, before_uses, np.concatenate([old - 1, old, old + 1]))
+                    yield _rows(step, keys, -by)
+                    yield _rows(step, *_pair_sums(flat, uses, np.concatenate([new - 1, new])))
 
-    held = reduce(or_, (F.contains("s", F.lit(f"<{a}><{b}>")) for a, b in tried))
-    told = F.aggregate(_rules(tried), F.struct(F.col("s").alias("now"), none.alias("told")), step)["told"]
-    changed = state.filter(held).select("n", F.explode(told).alias("x"))
-    each = lambda c, sign: F.transform(pairs_of(F.col(f"x.{c}")), lambda p: F.struct(p["left"].alias("left"), p["right"].alias("right"), F.lit(sign).alias("sign")))
-    sums = changed.select("x.step", "n", F.explode(F.concat(each("old", -1), each("new", 1))).alias("p")).groupBy("step", "p.left", "p.right").agg(F.sum(F.col("n") * F.col("p.sign")).alias("by")).filter("by <> 0")
     out: list[dict] = [{} for _ in tried]
-    for r in sums.collect():
-        out[r["step"]][r["left"], r["right"]] = r["by"]
+    for step, left, right, by in _summed(state.mapInArrow(run, CHANGE)):
+        out[step][left, right] = by
     return out
 
 
+def _written(state: DataFrame, pending: list[tuple[int, int, int]]) -> DataFrame:
+    """Blocks after the merges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for flat, uses in _opened(batch):
+                for rule in pending:
+                    flat, uses, _, _ = _merge(flat, uses, *rule)
+                made.append(flat.tobytes())
+            yield pa.RecordBatch.from_pydict({"flat": pa.array(made, pa.binary()), "uses": batch.column("uses")})
+
+    return materialised(state.mapInArrow(run, BLOCK), "words")
+
+
 def learn(counted: DataFrame, merges: int, least: int = 2) -> DataFrame:
     """(rank, left, right, n) of the merges, from (word, n); left and right in hex."""
     spark = counted.sparkSession
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    state = materialised(counted.select(symbols(F.col("word")).alias("s"), "n").repartition(tasks), "words")
-    first = state.select("n", F.explode(pairs_of(F.col("s"))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
-    count = {(r["left"], r["right"]): r["n"] for r in first.collect()}
-    best = lambda k: sorted(count, key=lambda p: (-count[p], p))[:k]
+    # a symbol has the number of its bytes, whichever merges make it
+    hexes = [f"{i:02X}" for i in range(256)]
+    number = {h: i for i, h in enumerate(hexes)}
+    counted = counted.filter("word IS NOT NULL").select(F.col("word").cast("binary").alias("word"), F.col("n").cast("long").alias("n"))
+    state = materialised(counted.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_blocks, BLOCK), "words")
+    count = {(left, right): by for _, left, right, by in _summed(state.mapInArrow(_first, CHANGE))}
+    told = lambda p: (hexes[p[0]], hexes[p[1]])
+    best = lambda k: nsmallest(k, count, key=lambda p: (-count[p], told(p)))
     found: list[tuple[int, str, str, int]] = []
-    pending: list[tuple[str, str]] = []
+    pending: list[tuple[int, int, int]] = []
     while len(found) < merges:
-        tried = [p for p in best(min(TRIED, merges - len(found))) if count[p] >= least]
+        tried = []
+        for p in best(min(TRIED, merges - len(found))):
+            if count[p] >= least:
+                made = "".join(told(p))
+                if made not in number:
+                    number[made] = len(hexes)
+                    hexes.append(made)
+                tried.append((*p, number[made]))
         if not tried:
             break
-        for pair, changes in zip(tried, _changes(state.select(merged(F.col("s"), pending).alias("s"), "n"), tried), strict=True):
+        for (left, right, new), changes in zip(tried, _changes(state, pending, tried), strict=True):
+            pair = (left, right)
             if best(1) != [pair]:
                 break
-            found.append((len(found), *pair, count[pair]))
-            pending.append(pair)
+            found.append((len(found), *told(pair), count[pair]))
+            pending.append((left, right, new))
             for p, by in changes.items():
                 count[p] = count.get(p, 0) + by
             count = {p: n for p, n in count.items() if n}
-            if pair in count and pair[0] != pair[1]:
-                raise ValueError(f"merge {pair} left some of its pairs")
+            if pair in count and left != right:
+                raise ValueError(f"merge {told(pair)} left some of its pairs")
         if len(pending) >= WRITE:
-            state, pending = materialised(state.select(merged(F.col("s"), pending).alias("s"), "n"), "words"), []
+            state, pending = _written(state, pending), []
     return spark.createDataFrame(found, MERGES)
 
 
