@@ -50,23 +50,22 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.explode(F.concat(*(of(k) for k in (1, 2, 3, 6)))).alias("phrase")).distinct()
 
 
-def _index(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
-    words = found.select(F.explode(F.split("phrase", " ")).alias("token"))
-    return phrases.index(table(spark, sf_dir, "documents"), "doc_id", "text", words)
+def _hits(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return phrases.hits_in(table(spark, sf_dir, "documents"), "doc_id", "text", found, "phrase", "phrase")
 
 
 @query("S18_phrase_index", f"{GRAMS} SELECT b.phrase, count(h.phrase) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS uses FROM b LEFT JOIN h ON b.phrase = h.phrase GROUP BY 1")
 def phrase_index(spark, sf_dir):
     """Thousands of phrases counted in all documents, those that are found nowhere too."""
     found = windows(spark, sf_dir)
-    return phrases.totals(found, _index(spark, sf_dir, found), "phrase", "phrase")
+    return phrases.totals_of(_hits(spark, sf_dir, found), found, "phrase")
 
 
 @query("A18_phrase_languages", f"{GRAMS} SELECT phrase, lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS uses FROM h GROUP BY 1, 2")
 def phrase_languages(spark, sf_dir):
     """The same phrases by the documents' language: a matrix in long form."""
     found = windows(spark, sf_dir)
-    hits = phrases.hits(found, _index(spark, sf_dir, found), "phrase", "phrase")
+    hits = _hits(spark, sf_dir, found)
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     return hits.join(langs, "id").groupBy("phrase", "lang").agg(F.count("*").alias("docs"), F.sum("n").alias("uses"))
 
@@ -82,7 +81,7 @@ FORBIDDEN = [("the", None), ("and the", "en"), ("und", "de"), ("der die", "de"),
 def forbidden_table(spark, sf_dir):
     """Forbidden phrases from a table, some for one language alone, by the index."""
     found = spark.createDataFrame(FORBIDDEN, "phrase string, scope string")
-    hits = phrases.hits(found, _index(spark, sf_dir, found), "phrase", "phrase").join(F.broadcast(found), "phrase")
+    hits = _hits(spark, sf_dir, found).join(F.broadcast(found), "phrase")
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     counted = hits.join(langs, "id").filter("scope IS NULL OR lang = scope").groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("n").alias("uses"))
     return found.select("phrase").join(counted, "phrase", "left").select("phrase", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("uses", F.lit(0)).alias("uses"))
