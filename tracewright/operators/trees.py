@@ -39,8 +39,8 @@ def kind_of(node: Column) -> Column:
     return F.when(F.is_variant_null(node), "null").when(is_("map<string,variant>"), "object").when(is_("array<variant>"), "array").otherwise(other)
 
 
-def walk(docs: DataFrame, key: str, document: str, levels: int = LEVELS, rows: int = ROWS, lenient: bool = False) -> DataFrame:
-    """key, path, depth, kind and value (JSON text) of every node of the documents; a table, so what is walked once stays."""
+def walk(docs: DataFrame, key: str, document: str, levels: int = LEVELS, rows: int = ROWS, lenient: bool = False, whole: bool = True) -> DataFrame:
+    """key, path, depth, kind and value (JSON text) of every node of the documents, or of the leaves alone where not `whole`; a table, so what is walked once stays."""
     spark = docs.sparkSession
     parse = F.try_parse_json if lenient else F.parse_json
     nodes = materialised(docs.select(F.col(key).alias("id"), F.col(document).alias("text")).filter("text IS NOT NULL"), "documents").select("id", parse("text").alias("node"))
@@ -49,7 +49,8 @@ def walk(docs: DataFrame, key: str, document: str, levels: int = LEVELS, rows: i
     spark.conf.set(limit, str(rows))
     try:
         found = spark.sql(_WALK.format(levels=levels), documents=nodes)
-        return materialised(found.select(F.col("id").alias(key), "path", "depth", kind_of(F.col("node")).alias("kind"), F.to_json("node").alias("value")), "nodes")
+        nodes = found.select(F.col("id").alias(key), "path", "depth", kind_of(F.col("node")).alias("kind"), F.to_json("node").alias("value"))
+        return materialised(nodes if whole else leaves(nodes), "nodes")
     finally:
         spark.conf.set(limit, before)
 

@@ -23,7 +23,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT event_id, {NESTED} AS doc FROM events) e, json_tree(e.doc) t WHERE type NOT IN ('OBJECT', 'ARRAY') OR fullkey = '$.empty'""")
 def json_tree(spark, sf_dir):
     """Every leaf of nested documents: path, depth, kind and value."""
-    return trees.leaves(trees.walk(nested(spark, sf_dir), "event_id", "doc"))
+    return trees.walk(nested(spark, sf_dir), "event_id", "doc", whole=False)
 
 
 @query("S13_tree_compare", f"""WITH l AS (SELECT event_id, fullkey AS path, CAST(atom AS VARCHAR) AS v FROM (SELECT event_id, {NESTED} AS doc FROM events) e, json_tree(e.doc) t WHERE type NOT IN ('OBJECT', 'ARRAY')),
@@ -32,7 +32,7 @@ def json_tree(spark, sf_dir):
 def tree_compare(spark, sf_dir):
     """What differs between two states of each document, leaf by leaf."""
     other = table(spark, sf_dir, "events").select("event_id", F.expr(NESTED.replace("user_id % 7", "user_id % 5").replace("event_id % 6", "event_id % 4")).alias("doc"))
-    return trees.compare(trees.walk(nested(spark, sf_dir), "event_id", "doc"), trees.walk(other, "event_id", "doc"), "event_id")
+    return trees.compare(trees.walk(nested(spark, sf_dir), "event_id", "doc", whole=False), trees.walk(other, "event_id", "doc", whole=False), "event_id")
 
 
 #: Windows of one to six tokens of the benchmark's items, some thousand of them, as phrases.
